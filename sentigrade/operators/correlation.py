@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import effect_size, verdict
 from . import tails
-from .ordering import average_rank, largest_group
+from .ordering import average_rank
 
 # The feature and outcome columns that are related to each other.
 SENTIMENT_FEATURES = (
@@ -54,16 +54,20 @@ def pair_rows(
     """One row per source row and complete (feature, outcome) pair: feature, outcome, x, y, z."""
 
     def listed(columns: Sequence[str], name: str, value: str) -> Column:
-        entries = [
-            F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns
-        ]
-        return F.filter(F.array(*entries), lambda e: e[value].isNotNull() & ~F.isnan(e[value]))
+        return F.array(
+            *[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns]
+        )
+
+    def known(value: str) -> Column:
+        return F.col(value).isNotNull() & ~F.isnan(value)
 
     z = F.col(control).cast("double") if control else F.lit(None).cast("double")
     return (
         df.select(listed(features, "feature", "x").alias("f"), listed(outcomes, "outcome", "y").alias("o"), z.alias("z"))
         .select(F.inline("f"), "o", "z")
+        .where(known("x"))
         .select("feature", "x", F.inline("o"), "z")
+        .where(known("y"))
     )
 
 
@@ -87,12 +91,11 @@ def correlate_pairs(
         usable = (
             F.col("outcome").isin(list(controlled)) & (F.col("feature") != control) & F.col("z").isNotNull()
         )
-    kinds = F.filter(
-        F.array(F.lit("plain"), F.when(usable, F.lit("partial"))), lambda kind: kind.isNotNull()
-    )
+    kinds = F.when(usable, F.array(F.lit("plain"), F.lit("partial"))).otherwise(F.array(F.lit("plain")))
     long = pairs.select("feature", "outcome", F.explode(kinds).alias("kind"), "x", "y", "z")
     group = ["feature", "outcome", "kind"]
-    largest = largest_group(long, group)
+    # A pair has at most one row per row of df, so its count bounds every group.
+    largest = df.count()
     ranked = average_rank(long, group, "x", "rx", rows=rows, largest=largest)
     ranked = average_rank(ranked, group, "y", "ry", rows=rows, largest=largest)
     if control:
@@ -156,7 +159,7 @@ def _ranked_columns(df: DataFrame, columns: Sequence[str], rows: int | None) ->
     complete = df.select(
         F.lit("all").alias("scope"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     ).na.drop()
-    largest = largest_group(complete, ["scope"])
+    largest = complete.count()
     for i in range(len(columns)):
         complete = average_rank(complete, ["scope"], f"v{i}", f"r{i}", rows=rows, largest=largest)
     return complete

@@ -194,17 +194,17 @@ def average_rank(
     """
     groups = list(groups)
     rows = ROWS_PER_SORT if rows is None else rows
-    known = F.col(value).isNotNull()
     if (largest_group(df, groups) if largest is None else largest) <= rows:
-        by_value = W.partitionBy(*groups, known).orderBy(value)
-        same = W.partitionBy(*groups, value)
-        size = F.count(F.lit(1)).over(same)
-        ranked = df.withColumn("_size", size).withColumn(
-            out, F.when(known, F.rank().over(by_value) + (F.col("_size") - 1) / F.lit(2.0))
-        )
+        # Rank and number of equal rows share one window, so several ranks of the same groups need
+        # one shuffle and one sort each.
+        known = F.col(value).isNotNull()
+        by_value = W.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())
+        equal = F.count(value).over(by_value.rangeBetween(W.currentRow, W.currentRow))
+        rank = F.rank().over(by_value) + (equal - 1) / F.lit(2.0)
+        ranks = {out: F.when(known, rank)}
         if ties:
-            ranked = ranked.withColumn(ties, F.when(known, F.col("_size")))
-        return ranked.drop("_size")
+            ranks[ties] = F.when(known, equal)
+        return df.withColumns(ranks)
 
     counts = value_counts_in_order(df, groups, value, rows)
     columns = {out: F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)}

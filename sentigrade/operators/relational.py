@@ -119,23 +119,24 @@ def training_plan(
 def varying_columns(df: DataFrame, columns: Sequence[str], minimum: int = 5) -> DataFrame:
     """Per column: counts and whether it varies enough to be correlated.
 
-    One wide aggregate: 0/1 columns need two of each kind, others two distinct values.  Two
-    distinct values exist exactly when minimum and maximum differ, so no distinct count is needed.
+    One pass over the values in long form, pre-aggregated per column: 0/1 columns need two of each
+    kind, others two distinct values, which exist exactly when minimum and maximum differ.
     """
-    measures = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        measures.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(x).alias("n"),
-                F.sum(x).alias("total"),
-                F.min(x).alias("low"),
-                F.max(x).alias("high"),
-                F.coalesce(F.every(x.isin(0.0, 1.0)), F.lit(False)).alias("is_binary"),
-            )
+    listed = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]
+    )
+    x = F.col("x")
+    table = (
+        df.select(F.inline(listed))
+        .groupBy("feature")
+        .agg(
+            F.count(x).alias("n"),
+            F.sum(x).alias("total"),
+            F.min(x).alias("low"),
+            F.max(x).alias("high"),
+            F.coalesce(F.every(x.isin(0.0, 1.0)), F.lit(False)).alias("is_binary"),
         )
-    table = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
+    )
     binary_ok = (F.col("total") >= 2) & (F.col("n") - F.col("total") >= 2)
     varies = F.when(F.col("is_binary"), binary_ok).otherwise(F.col("low") < F.col("high"))
     keep = (F.col("n") >= minimum) & F.coalesce(varies, F.lit(False))

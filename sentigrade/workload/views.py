@@ -97,26 +97,28 @@ VIEWS = {
         FROM part""",
     # Outcome columns as collected; revenue, tier and completeness are derived by the library.
     "outcomes": """
-        SELECT l.l_partkey AS app_id, p.p_name AS app_name,
-               CAST(1000 * min(l.l_quantity) AS BIGINT) AS steamspy_owners_min,
-               CAST(1000 * max(l.l_quantity) AS BIGINT) AS steamspy_owners_max,
-               count(DISTINCT l.l_orderkey) AS steamspy_players_forever,
-               CAST(sum(l.l_quantity) AS BIGINT) AS steamspy_avg_playtime,
-               count(CASE WHEN l.l_returnflag = 'R' THEN 1 END) AS steamspy_positive,
-               count(CASE WHEN l.l_returnflag = 'N' THEN 1 END) AS steamspy_negative,
-               CASE WHEN count(*) >= 28 THEN 40 + CAST(max(l.l_linenumber) + min(l.l_quantity) AS BIGINT) END
-                 AS steam_metacritic_score,
-               CASE WHEN p.p_size < 48 THEN count(*) ELSE 0 END AS steam_total_reviews,
-               CAST(CAST(max(l.l_shipdate) AS DATE) AS STRING) AS steam_release_date,
-               CASE WHEN p.p_size <> 7 THEN CAST((l.l_partkey % 50) * power(10, l.l_partkey % 4) AS DOUBLE) END
+        SELECT l.app_id, p.p_name AS app_name, steamspy_owners_min, steamspy_owners_max, steamspy_players_forever,
+               steamspy_avg_playtime, steamspy_positive, steamspy_negative,
+               CASE WHEN n_lines >= 28 THEN score END AS steam_metacritic_score,
+               CASE WHEN p.p_size < 48 THEN n_lines ELSE 0 END AS steam_total_reviews,
+               CAST(CAST(last_ship AS DATE) AS STRING) AS steam_release_date,
+               CASE WHEN p.p_size <> 7 THEN CAST((l.app_id % 50) * power(10, l.app_id % 4) AS DOUBLE) END
                  AS steam_current_price_usd,
                p.p_type AS steamspy_genre,
                CASE WHEN p.p_size % 2 = 0 THEN 'Multiplayer|Open World' ELSE 'Singleplayer' END
                  || CASE WHEN p.p_size % 3 = 0 THEN '|Co-op|Pixel Graphics' ELSE '|2D' END AS steamspy_tags,
                CASE p.p_size % 3 WHEN 0 THEN 'English, French, German' WHEN 1 THEN 'English' ELSE '' END
                  AS steamspy_languages
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-        GROUP BY l.l_partkey, p.p_name, p.p_size, p.p_type""",
+        FROM (SELECT l_partkey AS app_id, count(*) AS n_lines, max(l_shipdate) AS last_ship,
+                     CAST(1000 * min(l_quantity) AS BIGINT) AS steamspy_owners_min,
+                     CAST(1000 * max(l_quantity) AS BIGINT) AS steamspy_owners_max,
+                     CAST(sum(l_linenumber) AS BIGINT) AS steamspy_players_forever,
+                     CAST(sum(l_quantity) AS BIGINT) AS steamspy_avg_playtime,
+                     count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS steamspy_positive,
+                     count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS steamspy_negative,
+                     40 + CAST(max(l_linenumber) + min(l_quantity) AS BIGINT) AS score
+              FROM lineitem GROUP BY l_partkey) l
+        JOIN part p ON l.app_id = p.p_partkey""",
     # Ranked columns are rounded, so that ties do not depend on the order of additions.
     "game_features": """
         SELECT l_partkey AS app_id, 'part' || CAST(l_partkey AS STRING) AS game_name,
@@ -137,8 +139,9 @@ VIEWS = {
         SELECT o_custkey AS app_id, 'part' || CAST(o_custkey AS STRING) AS app_name,
                count(*) AS yt_comment_count,
                round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0e0 ELSE 0.0e0 END), 8) AS yt_predicted_positive_ratio,
-               round(avg(o_totalprice) / 1000000, 8) AS yt_avg_positive_probability,
-               round(stddev_pop(o_totalprice) / 1000000, 8) AS yt_sentiment_std,
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100000000.0e0)
+                 AS yt_avg_positive_probability,
+               round(stddev_pop(o_totalprice) / 1000000, 10) AS yt_sentiment_std,
                round(avg(length(o_orderpriority)), 8) AS yt_mean_comment_length,
                round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0e0 ELSE 0.0e0 END), 8) AS yt_long_comment_ratio
         FROM orders GROUP BY o_custkey""",
