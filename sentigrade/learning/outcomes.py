@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -11,8 +12,8 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,8 @@ FEATURE_SETS = {
 }
 
 SMALLEST_SAMPLE = 5
+# A fit runs a job per iteration, so small tables are kept in few tasks.
+ROWS_PER_TASK = 20_000
 
 
 def feature_columns(feature_set: str, df: DataFrame) -> list[str]:
@@ -164,10 +167,22 @@ def feature_matrix(
     )
 
 
+def _all_known(values_column: str):
+    return ~F.exists(values_column, lambda v: v.isNull() | F.isnan(v))
+
+
+def _features(columns: Sequence[str]):
+    return F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
+
+
 def complete_rows(df: DataFrame, key: str, target: str, features: Sequence[str]) -> DataFrame:
-    """key, target and features as doubles, without rows that miss any of them."""
-    columns = [values.null_if_nan(F.col(c).cast("double")).alias(c) for c in features]
-    return df.select(key, target, *columns).na.drop(subset=[target, *features])
+    """key, target and the features as one array ``_x``, without rows that miss any of them.
+
+    One array instead of a column per feature: the optimizer derives a constraint for every way
+    of renaming the columns of a filter, which doubles with each column.
+    """
+    rows = df.select(key, target, _features(features))
+    return rows.where(F.col(target).isNotNull() & _all_known("_x"))
 
 
 # --- Revenue: exact leave-one-out ridge regression from one set of sums -------------------------
@@ -203,28 +218,31 @@ def _solve(n, x, xx, xy, y, centre, alpha):
     return mean, scale, weights, y / n
 
 
-def ridge_sums(df: DataFrame, features: Sequence[str], target: str) -> RidgeSums:
-    """Centred sums in two passes; every task reduces its batches to one small array.
+def _matrix(batch: pd.DataFrame, centre: np.ndarray) -> np.ndarray:
+    return np.stack(batch["_x"].to_numpy()).astype(float) - centre
+
+
+def ridge_sums(rows: DataFrame, d: int, target: str) -> RidgeSums:
+    """Centred sums of ``_x`` in two passes; every task reduces its batches to one small array.
 
     What reaches the driver is 2 + 2d + d*d numbers for d features, whatever the row count.
     """
-    d = len(features)
-    means = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in features]).first()
-    if not means["_n"]:
+    means = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("_x", F.lit(i))) for i in range(d)]).alias("m")
+    ).first()
+    if not means["n"]:
         return RidgeSums(0, np.zeros(d), np.zeros(d), np.zeros((d, d)), np.zeros(d), 0.0)
-    centre = np.array([means[c] for c in features])
-    names = list(features)
+    centre = np.array(means["m"])
 
     def reduce(batches):
         total = np.zeros(2 + 2 * d + d * d)
         for batch in batches:
-            x = batch[names].to_numpy(float) - centre
-            y = batch[target].to_numpy(float)
-            parts = ([len(y), y.sum()], x.sum(0), x.T @ y, (x.T @ x).ravel())
-            total += np.concatenate(parts)
+            if len(batch):
+                x, y = _matrix(batch, centre), batch[target].to_numpy(float)
+                total += np.concatenate(([len(y), y.sum()], x.sum(0), x.T @ y, (x.T @ x).ravel()))
         yield pd.DataFrame({"sums": [total.tolist()]})
 
-    partial = df.select(*names, target).mapInPandas(reduce, "sums array<double>")
+    partial = rows.select("_x", target).mapInPandas(reduce, "sums array<double>")
     added = partial.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s"))
     total = np.array([r["s"] for r in added.orderBy("pos").collect()])
     return RidgeSums(
@@ -243,17 +261,17 @@ def loo_ridge(
     """
     complete = complete_rows(df, key, target, features).where(F.col(target) > 0)
     rows = complete.withColumn("_y", F.log1p(target))
-    sums = ridge_sums(rows, features, "_y")
+    sums = ridge_sums(rows, len(features), "_y")
     if sums.n < SMALLEST_SAMPLE:
         return None
-    names, n = list(features), sums.n - 1
+    n = sums.n - 1
     kind = dict(complete.dtypes)[key]
 
     def predict(batches):
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                x = part[names].to_numpy(float) - sums.centre
+                x = _matrix(part, sums.centre)
                 y = part["_y"].to_numpy(float)
                 mean, scale, weights, level = _solve(
                     n,
@@ -267,7 +285,7 @@ def loo_ridge(
                 fitted = ((x - mean) / scale * weights).sum(1) + level
                 yield pd.DataFrame({key: part[key], "_y": y, "_fit": fitted})
 
-    predicted = rows.select(key, *names, "_y").mapInPandas(predict, f"{key} {kind}, _y double, _fit double")
+    predicted = rows.select(key, "_x", "_y").mapInPandas(predict, f"{key} {kind}, _y double, _fit double")
     actual, estimate = F.expm1("_y"), F.greatest(F.expm1("_fit"), F.lit(0.0))
     return predicted.select(
         key,
@@ -289,7 +307,7 @@ def revenue_scores(predictions: DataFrame) -> DataFrame:
 # --- Tier: multinomial logistic regression with held-out folds ----------------------------------
 
 
-def _tier_model(train: DataFrame, features: Sequence[str], n: int, inverse_penalty: float = 1.0):
+def _tier_model(train: DataFrame, n: int, inverse_penalty: float = 1.0):
     """Multinomial model on scaled features, penalty 1/C on the summed loss.
 
     The scaler divides by the sample deviation; the factor (n - 1) / n in the penalty makes the
@@ -297,8 +315,7 @@ def _tier_model(train: DataFrame, features: Sequence[str], n: int, inverse_penal
     """
     penalty = (n - 1) / (inverse_penalty * n * n)
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+        StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(
             featuresCol="features",
             labelCol="_label",
@@ -306,11 +323,16 @@ def _tier_model(train: DataFrame, features: Sequence[str], n: int, inverse_penal
             regParam=penalty,
             standardization=False,
             maxIter=1000,
+            tol=1e-4,
         ),
     ]
     return Pipeline(stages=stages).fit(train)
 
 
+def _with_vector(df: DataFrame) -> DataFrame:
+    return df.withColumn("_v", array_to_vector("_x")).drop("_x")
+
+
 def _present_tiers(df: DataFrame, tier: str) -> dict[str, int]:
     """Rows per tier that occurs, in tier order."""
     counts = {r[tier]: r["count"] for r in df.groupBy(tier).count().collect()}
@@ -338,15 +360,14 @@ def loo_classify(
     rows, above that one per hashed fold.  A training part with a single tier predicts that tier.
     None for fewer than five rows.
     """
-    complete = complete_rows(df, key, tier, features).persist(StorageLevel.MEMORY_AND_DISK)
+    complete = _with_vector(complete_rows(df, key, tier, features))
     n = complete.count()
     if n < SMALLEST_SAMPLE:
-        complete.unpersist()
         return None
     k = n if n <= loo_limit else folds
     numbered = number_by_hash(complete.withColumn("_all", F.lit(0)), "_all", key, seed, "_number")
     dealt = numbered.withColumn("_fold", F.col("_number") % k).drop("_number", "_all")
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = dealt.coalesce(math.ceil(n / ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     counts: dict[int, dict[str, int]] = {f: {} for f in range(k)}
     for r in dealt.groupBy("_fold", tier).count().collect():
         counts[r["_fold"]][r[tier]] = r["count"]
@@ -358,7 +379,7 @@ def loo_classify(
         present = [t for t, c in rest.items() if c > 0]
         if len(present) == 1:
             return held_out.select(key, tier, F.lit(present[0]).alias("predicted_tier"))
-        model = _tier_model(_with_label(train, tier, present), features, sum(rest.values()))
+        model = _tier_model(_with_label(train, tier, present), sum(rest.values()))
         names = F.array(*[F.lit(t) for t in present])
         scored = model.transform(held_out)
         return scored.select(key, tier, F.get(names, F.col("prediction").cast("int")).alias("predicted_tier"))
@@ -399,27 +420,28 @@ def predict_new(
     names = [c for c in features if c in new.columns and c in train.columns]
     if not names:
         return None
-    columns = [values.null_if_nan(F.col(c).cast("double")).alias(c) for c in names]
-    known = train.select(tier, F.log1p(revenue).alias("_y"), *columns).na.drop()
+    known = train.select(tier, F.log1p(revenue).alias("_y"), _features(names))
+    known = known.where(F.col(tier).isNotNull() & F.col("_y").isNotNull() & _all_known("_x"))
     known = known.persist(StorageLevel.MEMORY_AND_DISK)
     present = _present_tiers(known, tier)
     n = sum(present.values())
     if n < SMALLEST_SAMPLE:
         known.unpersist()
         return None
-    sums = ridge_sums(known, names, "_y")
+    sums = ridge_sums(known, len(names), "_y")
     mean, scale, weights, level = (part[0] for part in sums.solve(alpha))
-    fit = F.lit(float(level))
-    for c, m, s, w in zip(names, mean + sums.centre, scale, weights):
-        fit = fit + (F.col(c) - float(m)) / float(s) * float(w)
-    games = new.select(key, *columns).na.drop(subset=names)
+    slopes = weights / scale
+    start = float(level - ((mean + sums.centre) * slopes).sum())
+    terms = F.zip_with("_x", F.array(*[F.lit(float(v)) for v in slopes]), lambda x, w: x * w)
+    fit = F.aggregate(terms, F.lit(start), lambda total, term: total + term)
+    games = new.select(key, _features(names)).where(_all_known("_x"))
     games = games.withColumn("predicted_revenue_usd", F.greatest(F.expm1(fit), F.lit(0.0)))
     order = list(present)
     if len(order) == 1:
         scored = games.withColumn("_p", F.array(F.lit(1.0)))
     else:
-        model = _tier_model(_with_label(known, tier, order), names, n)
-        scored = model.transform(games).withColumn("_p", vector_to_array("probability"))
+        model = _tier_model(_with_vector(_with_label(known, tier, order)), n)
+        scored = model.transform(_with_vector(games)).withColumn("_p", vector_to_array("probability"))
     known.unpersist()
     best = F.array_position("_p", F.array_max("_p")).cast("int") - 1
     probability = [
