@@ -40,12 +40,15 @@ def _moments(x: str, y: str, prefix: str) -> list[Column]:
     ]
 
 
+def _bounded(r: Column) -> Column:
+    """``r`` without the rounding that carries it beyond 1; NULL stays NULL."""
+    return F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
+
+
 def _r(prefix: str) -> Column:
-    """Correlation from moments; NULL when a side is constant, never beyond 1 by rounding."""
-    r = F.try_divide(
-        F.col(f"{prefix}_cov"), F.sqrt(F.col(f"{prefix}_vx")) * F.sqrt(F.col(f"{prefix}_vy"))
-    )
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    """Correlation from moments; NULL when a side is constant."""
+    spread = F.sqrt(F.col(f"{prefix}_vx")) * F.sqrt(F.col(f"{prefix}_vy"))
+    return _bounded(F.try_divide(F.col(f"{prefix}_cov"), spread))
 
 
 def pair_rows(
@@ -113,7 +116,7 @@ def correlate_pairs(
     rest = F.sqrt(1 - rxz * rxz) * F.sqrt(1 - ryz * ryz)
     partial = F.when(F.col("n") < 4, F.lit(None).cast("double")).when(
         F.col("rxz_vy") == 0, rxy
-    ).otherwise(F.greatest(F.least(F.try_divide(rxy - rxz * ryz, rest), F.lit(1.0)), F.lit(-1.0)))
+    ).otherwise(_bounded(F.try_divide(rxy - rxz * ryz, rest)))
     parts = sums.select(
         *group, "n", plain_only.alias("pearson"), rxy.alias("spearman"), partial.alias("partial")
     )
@@ -188,7 +191,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, rows: int | None = N
     value = (
         F.when(F.col("n_samples") < 4, F.lit(None).cast("double"))
         .when(F.col("xz_vy") == 0, rxy)
-        .otherwise(F.try_divide(rxy - rxz * ryz, rest))
+        .otherwise(_bounded(F.try_divide(rxy - rxz * ryz, rest)))
     )
     return sums.select("n_samples", value.alias("partial_r"))
 

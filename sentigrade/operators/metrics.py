@@ -151,7 +151,7 @@ def mcen(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
         mass = hit + fp + fn
         weight = _ratio(mass, 2 * total)
         value = value + weight * (entropy(fp, mass) + entropy(fn, mass))
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    return F.when(total.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def z_score(confidence: float = 0.95) -> float:
