@@ -22,6 +22,7 @@ from ..functions.text import split_field
 from ..operators.metrics import regression_metrics
 from ..operators.ordering import number_by_hash
 from ..operators.relational import join_games
+from ..session import store
 
 # The feature columns of each set.
 STEAM_FEATURES = (
@@ -360,21 +361,22 @@ def loo_classify(
     rows, above that one per hashed fold.  A training part with a single tier predicts that tier.
     None for fewer than five rows.
     """
-    complete = _with_vector(complete_rows(df, key, tier, features))
+    complete = complete_rows(df, key, tier, features)
     n = complete.count()
     if n < SMALLEST_SAMPLE:
         return None
     k = n if n <= loo_limit else folds
     numbered = number_by_hash(complete.withColumn("_all", F.lit(0)), "_all", key, seed, "_number")
     dealt = numbered.withColumn("_fold", F.col("_number") % k).drop("_number", "_all")
-    dealt = dealt.coalesce(math.ceil(n / ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    opened = store(dealt.coalesce(math.ceil(n / ROWS_PER_TASK)), "dealt")
     counts: dict[int, dict[str, int]] = {f: {} for f in range(k)}
-    for r in dealt.groupBy("_fold", tier).count().collect():
+    for r in opened().groupBy("_fold", tier).count().collect():
         counts[r["_fold"]][r[tier]] = r["count"]
     totals = {t: sum(c.get(t, 0) for c in counts.values()) for t in values.TIERS}
 
     def predict(fold: int) -> DataFrame:
-        held_out, train = dealt.where(F.col("_fold") == fold), dealt.where(F.col("_fold") != fold)
+        rows = _with_vector(opened())
+        held_out, train = rows.where(F.col("_fold") == fold), rows.where(F.col("_fold") != fold)
         rest = {t: totals[t] - counts[fold].get(t, 0) for t in values.TIERS}
         present = [t for t, c in rest.items() if c > 0]
         if len(present) == 1:

@@ -6,6 +6,7 @@ Each flow composes operators into lazy plans and writes its result tables once.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +109,7 @@ def validate(
     }
     scored.unpersist()
     if success is not None:
-        year = as_of_year or int(success.select(F.year(F.current_date())).first()[0])
+        year = as_of_year or date.today().year
         matrix = materialize(outcomes.feature_matrix(games, success, year, metadata=metadata), "matrix")
         tables["success"] = correlation.with_p_values(correlation.correlate_features(matrix))
         tables["metadata"] = correlation.with_p_values(

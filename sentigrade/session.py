@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "sentigrade", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,8 +43,17 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = scratch_folder(df.sparkSession, label)
+def store(df: DataFrame, label: str) -> Callable[[], DataFrame]:
+    """Writes ``df`` to the shared folder; the result opens it anew.
+
+    Threads that plan queries side by side each open their own, so they share no plan objects.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return lambda: spark.read.schema(schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
+    return store(df, label)()

