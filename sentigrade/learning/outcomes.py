@@ -305,11 +305,11 @@ def revenue_scores(predictions: DataFrame) -> DataFrame:
     return units.select("*", logs.select("r2").scalar().alias("r2"))
 
 
-# --- Tier: multinomial logistic regression with held-out folds ----------------------------------
+# --- Tier: logistic regression with held-out folds ----------------------------------------------
 
 
-def _tier_model(train: DataFrame, n: int, inverse_penalty: float = 1.0):
-    """Multinomial model on scaled features, penalty 1/C on the summed loss.
+def _tier_model(train: DataFrame, n: int, classes: int, inverse_penalty: float = 1.0):
+    """Logistic model of ``_v`` on ``_label``, penalty 1/C on the summed loss.
 
     The scaler divides by the sample deviation; the factor (n - 1) / n in the penalty makes the
     fit equal to one on population-scaled features.
@@ -320,7 +320,7 @@ def _tier_model(train: DataFrame, n: int, inverse_penalty: float = 1.0):
         LogisticRegression(
             featuresCol="features",
             labelCol="_label",
-            family="multinomial",
+            family="binomial" if classes == 2 else "multinomial",
             regParam=penalty,
             standardization=False,
             maxIter=1000,
@@ -381,7 +381,7 @@ def loo_classify(
         present = [t for t, c in rest.items() if c > 0]
         if len(present) == 1:
             return held_out.select(key, tier, F.lit(present[0]).alias("predicted_tier"))
-        model = _tier_model(_with_label(train, tier, present), sum(rest.values()))
+        model = _tier_model(_with_label(train, tier, present), sum(rest.values()), len(present))
         names = F.array(*[F.lit(t) for t in present])
         scored = model.transform(held_out)
         return scored.select(key, tier, F.get(names, F.col("prediction").cast("int")).alias("predicted_tier"))
@@ -442,7 +442,7 @@ def predict_new(
     if len(order) == 1:
         scored = games.withColumn("_p", F.array(F.lit(1.0)))
     else:
-        model = _tier_model(_with_vector(_with_label(known, tier, order)), n)
+        model = _tier_model(_with_vector(_with_label(known, tier, order)), n, len(order))
         scored = model.transform(_with_vector(games)).withColumn("_p", vector_to_array("probability"))
     known.unpersist()
     best = F.array_position("_p", F.array_max("_p")).cast("int") - 1
