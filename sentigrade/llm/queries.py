@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, url_filter
+from . import bpe, langid, mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.mix(table(spark, folder, "documents")).taken()
+    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = langid.predict(documents.select("doc_id", "text"), langid.learn(documents))
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
