@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, url_filter
+from . import bpe, langid, mixing, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
