@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, url_filter, warc
+from . import bpe, langid, mixing, parsing, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.compare_edited(table(spark, folder, "documents"))
+
+
 @query
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.mix(table(spark, folder, "documents")).taken()
