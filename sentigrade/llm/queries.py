@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, parsing, url_filter, vectors, warc
+from . import bpe, jaccard, langid, mixing, parsing, url_filter, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
