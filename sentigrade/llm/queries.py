@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, parsing, url_filter, vectors, warc
+from . import bpe, jaccard, langid, mixing, parsing, pii, url_filter, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,11 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.compare_edited(table(spark, folder, "documents"))
 
 
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.with_spans(table(spark, folder, "documents")))
+
+
 @query
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.mix(table(spark, folder, "documents")).taken()
