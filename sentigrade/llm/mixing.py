@@ -39,7 +39,7 @@ TOTAL_SHARE = 1.5
 MOST_PASSES = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def word_count(text: Column) -> Column:
