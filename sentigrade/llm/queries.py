@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, parsing, pii, url_filter, vectors, warc
+from . import blocks, bpe, jaccard, langid, mixing, parsing, pii, url_filter, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return blocks.extract(pages, blocks.fit(blocks.sample_words(pages)))
+
+
 @query
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.compare_edited(table(spark, folder, "documents"))
