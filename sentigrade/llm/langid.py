@@ -281,6 +281,6 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
 
 def keep_known(documents: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """Rows whose language is known and wins its duels; columns stay as they are."""
-    found = documents.withColumn("_guess", guess(model, F.col(text)))
+    found = documents.select(F.struct("*").alias("_doc"), guess(model, F.col(text)).alias("_guess"))
     known = (F.col("_guess.lang_pred") != UNKNOWN) & (F.col("_guess.score") >= min_score)
-    return found.where(known).drop("_guess")
+    return found.where(known).select(*(F.col("_doc")[c].alias(c) for c in documents.columns))

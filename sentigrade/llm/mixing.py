@@ -249,27 +249,25 @@ def mix(
     return Mix(materialize(placed, "mix-rows"), shares, materialize(drawn, "mix-slots"), block_words)
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    """``documents`` written once with a number of its own for each row, ``_row``."""
-    return materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-
-
 def mixed_texts(documents: DataFrame, text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix as rows: for each document and pass the words taken, in their order, with the white space
     that stands around them; other columns are those of the document.  Nothing taken, no row."""
-    rows = numbered(documents)
-    plan = mix(rows, "_row", text, source, **settings)
+    # Written once with a number for each row; the document's own columns travel in one struct.
+    rows = materialize(
+        documents.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-documents"
+    ).withColumns({"_text": F.col("_doc")[text], "_source": F.col("_doc")[source]})
+    plan = mix(rows, "_row", "_text", "_source", **settings)
     taken = (
         plan.taken_pieces()
         .groupBy(F.col("key").alias("_row"), "turn")
         .agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("_pieces"))
     )
     space = r"[\x20\x09-\x0D]"
-    words = F.regexp_extract_all(F.col(text), F.lit(rf"(?:\A{space}*)?{WORD}{space}*"), F.lit(0))
+    words = F.regexp_extract_all("_text", F.lit(rf"(?:\A{space}*)?{WORD}{space}*"), F.lit(0))
     joined = F.concat_ws("", F.flatten(F.transform("_pieces", lambda p: F.slice("_words", p.skip + 1, p.words))))
     return (
-        rows.join(taken, "_row")
+        rows.select("_doc", "_row", "_text")
+        .join(taken, "_row")
         .withColumn("_words", words)
-        .withColumn(text, joined)
-        .select(*documents.columns)
+        .select(*(joined.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in documents.columns))
     )

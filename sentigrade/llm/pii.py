@@ -298,8 +298,12 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", **sett
         )
         .dropDuplicates(["_k", "_h"])
     )
-    columns = documents.columns
-    rows = documents.withColumns({"_text": F.col(text).cast("string"), **row_key(key, text)})
+    # The document's own columns travel in one struct, so none can clash.
+    rows = documents.select(
+        F.struct("*").alias("_doc"),
+        F.col(text).cast("string").alias("_text"),
+        *(c.alias(name) for name, c in row_key(key, text).items()),
+    )
     names = ", ".join(f"'[{k.upper()}]'" for k in NAMES)
     cut = F.expr(
         f"""aggregate(_all, struct(0 AS at, '' AS done),
@@ -308,8 +312,7 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", **sett
               s -> concat(s.done, substr(_text, s.at + 1)))"""
     )
     same = rows["_key"].eqNullSafe(F.col("_k")) & (rows["_hash"] == F.col("_h"))
-    return (
-        rows.join(some, same, "left")
-        .withColumn(text, F.when(F.col("_all").isNull(), F.col("_text")).otherwise(cut))
-        .select(*columns)
+    redacted = F.when(F.col("_all").isNull(), F.col("_text")).otherwise(cut)
+    return rows.join(some, same, "left").select(
+        *(redacted.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in documents.columns)
     )

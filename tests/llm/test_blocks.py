@@ -31,7 +31,7 @@ def texts(page):
         ("<!-- <p>no</p> -->yes<!-- open <p>no", ["yes"]),
         ("1 < 2 and <3", ["1 < 2 and <3"]),
         ('<a title="a>b" href=x>link</a> text', ["link text"]),
-        ("<p title='open>text", []),
+        ("<p title='open>text", ["text"]),
         ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["a", "b", "c", "d"]),
         ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
         ("<h2>a</h3>b", ["a", "b"]),
@@ -48,7 +48,7 @@ def test_blocks(page, want):
 def test_paths():
     page = '<body><div class="mainContent side-bar" id=x1><ul><li><a href=x>abc</a> d</ul></div><p style="display:none">h'
     first, second = blocks.blocks_of(page)
-    assert first.path == ("div", ".main", ".content", ".side", ".bar", ".x", "ul", "li") and first.linked == 3
+    assert first.path == ("div", ".main", ".content", ".side", ".bar", ".x", "ul", "li", "a") and first.linked == 3
     assert second.path == ("p", ".hidden")
 
 
