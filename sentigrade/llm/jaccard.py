@@ -275,25 +275,30 @@ def may_link(percent: int, left: str = "", right: str = "") -> Column:
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """cls and shingles of the classes in ``wanted`` (key of one document of each)."""
+    """cls and shingles of the documents with the keys in ``wanted``; a task sends a class once."""
     source = _source(documents, key, text)
     some = source.join(wanted.select(F.col("key").alias("_key")).distinct(), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        seen: set[tuple[int, int]] = set()
+        rows, size = [], 0
         for batch in batches:
-            rows, size = [], 0
             for one in _sets_of(batch, 0, words):
-                rows.append((*class_of(one), one.view(np.int64)))
+                own = class_of(one)
+                if own in seen:
+                    continue
+                seen.add(own)
+                rows.append((*own, one.view(np.int64)))
                 size += len(one)
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h1", "h2", "shingles"])
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h1", "h2", "shingles"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h1", "h2", "shingles"])
 
     found = some.select("text").mapInArrow(run, "h1 long, h2 long, shingles array<long>")
-    return found.select(F.struct("h1", "h2").alias("cls"), "shingles").dropDuplicates(["cls"])
+    return found.select(F.struct("h1", "h2").alias("cls"), "shingles")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +307,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     all_of_them = F.size("a") + F.size("b") - both
-    return pairs.join(left, "u").join(right, "v").where(F.lit(100) * both >= F.lit(percent) * all_of_them).select("u", "v")
+    linked = F.lit(100) * both >= F.lit(percent) * all_of_them
+    # Tasks that saw copies of a class send its set again, so a pair may come twice.
+    return pairs.join(left, "u").join(right, "v").where(linked).select("u", "v").distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
 
 
 def near_duplicates(
@@ -315,13 +326,11 @@ def near_duplicates(
     live = materialize(shared(prefixes(documents, key, text, words, percent, ranks)), "jaccard-prefixes")
     live = live.withColumns({"cls": F.struct("h1", "h2"), "c_cls": F.struct(F.col("c_h1").alias("h1"), F.col("c_h2").alias("h2"))})
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
-    wanted = classes.join(live.select("cls").distinct(), "cls", "left_semi")
-    sets = materialize(whole_sets(documents, wanted, key, text, words), "jaccard-sets")
-
     first = live.where((F.col("cls") != F.col("c_cls")) & may_link(percent, "", "c_")).select(
         F.least("cls", "c_cls").alias("u"), F.greatest("cls", "c_cls").alias("v")
     )
     first = materialize(first.distinct(), "jaccard-pairs")
+    sets = materialize(whole_sets(documents, classes.join(ends(first), "cls", "left_semi"), key, text, words), "jaccard-sets")
     links = materialize(verify(first, sets, percent), "jaccard-links")
     roots = components(links, "jaccard-components").withColumnRenamed("u", "cls")
 
@@ -339,6 +348,10 @@ def near_duplicates(
         .distinct()
         .join(first, ["u", "v"], "left_anti")
     )
+    across = materialize(across, "jaccard-across")
+    unseen = classes.join(ends(across), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
+    if not unseen.isEmpty():
+        sets = sets.unionByName(materialize(whole_sets(documents, unseen, key, text, words), "jaccard-sets"))
     more = materialize(verify(across, sets, percent), "jaccard-more")
     of_root = roots.withColumnRenamed("cls", "c")
 
@@ -376,10 +389,11 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", **se
     """
     found = materialize(near_duplicates(documents, key, text, **settings), "jaccard-kept")
     kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    repeated = documents.groupBy(F.col(key).alias("_kept")).count().where("count > 1 and _kept is not null").select("_kept")
-    same = documents[key] == F.col("_kept")
-    survivors = documents.join(kept.join(repeated, "_kept", "left_anti"), same, "left_semi")
-    several = documents.join(kept.join(repeated, "_kept", "left_semi"), same, "left_semi")
-    columns = documents.columns
-    one = several.groupBy(F.col(key).alias("_kept")).agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return survivors.unionByName(one).unionByName(documents.where(F.col(key).isNull()))
+    repeated = documents.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")).where("_n > 1 and _kept is not null")
+    repeated = repeated.select("_kept")
+    rows = documents.select(F.struct("*").alias("_doc"), F.col(key).alias("_kept"))  # its columns cannot clash
+    once = rows.join(kept.join(repeated, "_kept", "left_anti"), "_kept", "left_semi").select("_doc")
+    several = rows.join(kept.join(repeated, "_kept", "left_semi"), "_kept", "left_semi")
+    one = several.groupBy("_kept").agg(F.min("_doc").alias("_doc")).select("_doc")
+    unnamed = rows.where("_kept is null").select("_doc")
+    return once.unionByName(one).unionByName(unnamed).select(*(F.col("_doc")[c].alias(c) for c in documents.columns))
