@@ -15,7 +15,7 @@ BUYERS_PER_REVIEW = 30.0
 # Fixed value: end date of a game still in early access.
 STILL_OPEN = 9999999999
 
-DATE_FORMATS = ("MMM d, yyyy", "d MMM, yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "MMM yyyy")
+DATE_FORMATS = ("MMM d, yyyy", "d MMM, yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy", "MMM yyyy", "yyyy")
 
 
 def _col(c) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -79,8 +78,6 @@ FEATURE_SETS = {
 }
 
 SMALLEST_SAMPLE = 5
-# A fit runs a job per iteration, so small tables are kept in few tasks.
-ROWS_PER_TASK = 20_000
 
 
 def feature_columns(feature_set: str, df: DataFrame) -> list[str]:
@@ -90,53 +87,71 @@ def feature_columns(feature_set: str, df: DataFrame) -> list[str]:
     return [c for c in FEATURE_SETS[feature_set] if c in df.columns]
 
 
+def _split_at(separator: str):
+    return lambda c: split_field(c, separator)
+
+
+# What features are made of: a working column, the columns it may come from (the first that the table
+# has), and how it is read.
+_INPUTS = {
+    "_released": (("steam_release_date", "release_date"), lambda c: values.parse_date(c.cast("string"))),
+    "_price": (("steam_current_price_usd", "current_price_usd"), values.to_numeric),
+    "_age": (("required_age",), values.to_numeric),
+    "_genres": (("genres",), _split_at("|")),
+    "_categories": (("categories",), _split_at("|")),
+    "_platforms": (("platforms",), _split_at("|")),
+    "_tags": (("steamspy_tags",), _split_at("|")),
+    "_languages": (("steamspy_languages",), _split_at(",")),
+    "_developers": (("developer",), _split_at(",")),
+    "_publishers": (("publisher",), _split_at(",")),
+    "_later": (("pr_review_count",), lambda c: c),
+    "_early": (("ea_review_count",), lambda c: c),
+}
+
+# Which features follow from which working columns; ``year`` is the year ages are counted to.
+_METADATA_RULES = (
+    (("_released",), lambda year: values.release_features("_released", year)),
+    (("_price",), lambda year: {"price_usd": F.col("_price"), "price_tier": values.price_tier("_price")}),
+    (("_age",), lambda year: {"required_age": F.coalesce("_age", F.lit(0.0))}),
+    (("_genres",), lambda year: lists.flag_columns("_genres", lists.GENRES, "genre_") | lists.list_sizes(num_genres="_genres")),
+    (("_categories",), lambda year: {
+        name: lists.any_contains("_categories", marks).cast("int") for name, marks in lists.CATEGORY_MARKS.items()
+    } | lists.list_sizes(num_categories="_categories")),
+    (("_platforms",), lambda year: lists.flag_columns("_platforms", lists.PLATFORMS, "supports_") | lists.list_sizes(num_platforms="_platforms")),
+    (("_tags",), lambda year: lists.flag_columns("_tags", lists.TAGS, "tag_") | lists.list_sizes(num_top_tags="_tags")),
+    (("_languages",), lambda year: lists.list_sizes(num_languages="_languages")),
+    (("_developers", "_publishers"), lambda year: lists.list_sizes(num_developers="_developers", num_publishers="_publishers")
+        | {"is_self_published": lists.same_set("_developers", "_publishers").cast("int")}),
+    (("_later", "_early"), lambda year: {"ea_to_pr_review_ratio": values.guarded_ratio("_later", "_early")}),
+)
+
+
 def metadata_features(df: DataFrame, as_of_year: int) -> DataFrame:
     """Calendar, price, list and flag features of the metadata columns the table has."""
-    has = set(df.columns)
-    new: dict = {}
-    release = next((c for c in ("steam_release_date", "release_date") if c in has), None)
-    if release:
-        df = df.withColumn("_release", values.parse_date(F.col(release).cast("string")))
-        new |= values.release_features("_release", as_of_year)
-    price = next((c for c in ("steam_current_price_usd", "current_price_usd") if c in has), None)
-    if price:
-        new["price_usd"] = values.to_numeric(price)
-        new["price_tier"] = values.price_tier(values.to_numeric(price))
-    if "required_age" in has:
-        new["required_age"] = F.coalesce(values.to_numeric("required_age"), F.lit(0.0))
-    arrays = {
-        "genres": ("_genres", r"|", "num_genres"),
-        "categories": ("_categories", r"|", "num_categories"),
-        "platforms": ("_platforms", r"|", "num_platforms"),
-        "steamspy_languages": ("_languages", ",", "num_languages"),
-        "steamspy_tags": ("_tags", r"|", "num_top_tags"),
-        "developer": ("_developers", ",", "num_developers"),
-        "publisher": ("_publishers", ",", "num_publishers"),
-    }
-    both_makers = {"developer", "publisher"} <= has
-    used = {
-        source: spec
-        for source, spec in arrays.items()
-        if source in has and (both_makers or source not in ("developer", "publisher"))
-    }
-    for source, (array, separator, _) in used.items():
-        df = df.withColumn(array, split_field(source, separator))
-    new |= lists.list_sizes(**{size: array for array, _, size in used.values()})
-    if "genres" in used:
-        new |= lists.flag_columns("_genres", lists.GENRES, "genre_")
-    if "categories" in used:
-        for name, marks in lists.CATEGORY_MARKS.items():
-            new[name] = lists.any_contains("_categories", marks).cast("int")
-    if "platforms" in used:
-        new |= lists.flag_columns("_platforms", lists.PLATFORMS, "supports_")
-    if "steamspy_tags" in used:
-        new |= lists.flag_columns("_tags", lists.TAGS, "tag_")
-    if both_makers:
-        new["is_self_published"] = lists.same_set("_developers", "_publishers").cast("int")
-    if {"pr_review_count", "ea_review_count"} <= has:
-        new["ea_to_pr_review_ratio"] = values.guarded_ratio("pr_review_count", "ea_review_count")
-    helpers = ["_release", *(array for array, _, _ in arrays.values())]
-    return df.withColumns(new).drop(*helpers)
+    inputs = {}
+    for name, (sources, read) in _INPUTS.items():
+        for source in [c for c in sources if c in df.columns][:1]:
+            inputs[name] = read(F.col(source))
+    made: dict = {}
+    for needed, rule in _METADATA_RULES:
+        if inputs.keys() >= set(needed):
+            made |= rule(as_of_year)
+    return df.withColumns(inputs).withColumns(made).drop(*inputs)
+
+
+_SENTIMENT_RULES = {
+    "sentiment_confidence": ("ea_predicted_positive_ratio", values.confidence),
+    "log_ea_review_count": ("ea_review_count", F.log1p),
+    "yt_sentiment_confidence": ("yt_predicted_positive_ratio", values.confidence),
+    "log_yt_comment_count": ("yt_comment_count", F.log1p),
+}
+
+
+def sentiment_features(df: DataFrame) -> DataFrame:
+    """Confidence and log volume of the sentiment columns the table has."""
+    return df.withColumns(
+        {name: make(source) for name, (source, make) in _SENTIMENT_RULES.items() if source in df.columns}
+    )
 
 
 def feature_matrix(
@@ -156,16 +171,7 @@ def feature_matrix(
         merged = join_games(merged, video, "_yt", "left")
     if metadata is not None:
         merged = join_games(merged, metadata, "_meta", "left")
-    merged = metadata_features(merged, as_of_year)
-    derived = {
-        "sentiment_confidence": ("ea_predicted_positive_ratio", values.confidence),
-        "log_ea_review_count": ("ea_review_count", F.log1p),
-        "yt_sentiment_confidence": ("yt_predicted_positive_ratio", values.confidence),
-        "log_yt_comment_count": ("yt_comment_count", F.log1p),
-    }
-    return merged.withColumns(
-        {name: make(source) for name, (source, make) in derived.items() if source in merged.columns}
-    )
+    return sentiment_features(metadata_features(merged, as_of_year))
 
 
 def _all_known(values_column: str):
@@ -350,25 +356,24 @@ def loo_classify(
     key: str,
     features: Sequence[str],
     tier: str = "success_tier",
-    loo_limit: int = 40,
-    folds: int = 10,
+    folds: int | None = None,
     seed: int = 0,
     parallelism: int = 4,
 ) -> DataFrame | None:
     """Held-out tier predictions: key, actual_tier, predicted_tier, correct.
 
-    Every row is predicted by a model that has not seen it: one model per row up to ``loo_limit``
-    rows, above that one per hashed fold.  A training part with a single tier predicts that tier.
+    Every row is predicted by a model that has not seen it: one model per hashed fold, or one per
+    row where ``folds`` is None; large tables need folds.  A training part with a single tier predicts that tier.
     None for fewer than five rows.
     """
     complete = complete_rows(df, key, tier, features)
     n = complete.count()
     if n < SMALLEST_SAMPLE:
         return None
-    k = n if n <= loo_limit else folds
+    k = n if folds is None else folds
     numbered = number_by_hash(complete.withColumn("_all", F.lit(0)), "_all", key, seed, "_number")
     dealt = numbered.withColumn("_fold", F.col("_number") % k).drop("_number", "_all")
-    opened = store(dealt.coalesce(math.ceil(n / ROWS_PER_TASK)), "dealt")
+    opened = store(dealt, "dealt")
     counts: dict[int, dict[str, int]] = {f: {} for f in range(k)}
     for r in opened().groupBy("_fold", tier).count().collect():
         counts[r["_fold"]][r[tier]] = r["count"]
@@ -415,10 +420,7 @@ def predict_new(
 
     Probabilities are named by the tier the model learned; a tier absent from training gets 0.
     """
-    if "ea_predicted_positive_ratio" in new.columns:
-        new = new.withColumn("sentiment_confidence", values.confidence("ea_predicted_positive_ratio"))
-    if "ea_review_count" in new.columns:
-        new = new.withColumn("log_ea_review_count", F.log1p("ea_review_count"))
+    new = sentiment_features(new)
     names = [c for c in features if c in new.columns and c in train.columns]
     if not names:
         return None
@@ -458,17 +460,16 @@ def ablation(
     matrix: DataFrame,
     key: str = "app_id",
     feature_sets: Sequence[str] = tuple(FEATURE_SETS),
-    loo_limit: int = 40,
-    folds: int = 10,
+    folds: int | None = None,
     baseline: str = "steam",
 ) -> DataFrame:
-    """Both tasks for every feature set, with the differences to the baseline set."""
+    """Both tasks for every feature set, with the differences to the baseline set; ``folds`` as in ``loo_classify``."""
     spark = matrix.sparkSession
     rows = []
     for name in feature_sets:
         features = feature_columns(name, matrix)
         row = {"feature_set": name, "n_features": len(features)}
-        tiers = loo_classify(matrix, key, features, loo_limit=loo_limit, folds=folds) if features else None
+        tiers = loo_classify(matrix, key, features, folds=folds) if features else None
         if tiers is not None:
             measured = tiers.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("a"))
             row["cls_n"], row["cls_accuracy"] = measured.first()

@@ -79,7 +79,9 @@ def find_predictor(
         wanted = model_path(root, name, "*" if seed is None else seed, fold)
         try:
             files = spark.read.text(f"{wanted}/metadata")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         first = files.agg(F.min("_metadata.file_path")).first()[0]
         if first:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_METRICS = ("f1_score", "accuracy", "precision", "recall")
@@ -163,7 +163,10 @@ def margin_of_error(std: Column, n: Column, confidence: float = 0.95) -> Column:
 
 
 def model_summary(results: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Mean, sample deviation and margin of error per model; MCEN where counts were stored."""
+    """Mean, sample deviation and margin of error per model, best first; MCEN where counts were stored.
+
+    The window numbers one row per model.
+    """
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     own = F.when(tp.isNotNull(), mcen(tp, tn, fp, fn))
     measures = [F.count(F.lit(1)).alias("n_runs")]
@@ -187,7 +190,8 @@ def model_summary(results: DataFrame, confidence: float = 0.95) -> DataFrame:
         .withColumn("confidence_level", F.lit(confidence))
         .withColumn("z_score", F.lit(z_score(confidence)))
         .drop("_tp", "_tn", "_fp", "_fn")
-        .orderBy(F.col("f1_score_mean").desc(), "model")
+        .withColumn("position", F.row_number().over(Window.orderBy(F.col("f1_score_mean").desc(), "model")))
+        .orderBy("position")
     )
 
 

@@ -120,14 +120,18 @@ def validate(
 
 
 def predict_success(
-    games: DataFrame, success: DataFrame, as_of_year: int, video: DataFrame | None = None, metadata: DataFrame | None = None
+    games: DataFrame, success: DataFrame, as_of_year: int, video: DataFrame | None = None, metadata: DataFrame | None = None,
+    tier_folds: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Feature matrix once, then ablation and held-out predictions of tier and revenue."""
+    """Feature matrix once, then ablation and held-out predictions of tier and revenue.
+
+    Tiers leave out one row per model, or one of ``tier_folds`` folds.
+    """
     matrix = materialize(outcomes.feature_matrix(games, success, as_of_year, video, metadata), "matrix")
     features = outcomes.feature_columns("steam", matrix)
     tables = {
-        "ablation": outcomes.ablation(matrix),
-        "tiers": outcomes.loo_classify(matrix, "app_id", features),
+        "ablation": outcomes.ablation(matrix, folds=tier_folds),
+        "tiers": outcomes.loo_classify(matrix, "app_id", features, folds=tier_folds),
         "revenue": outcomes.loo_ridge(matrix, "app_id", features, "estimated_revenue_usd"),
     }
     if tables["tiers"] is not None:

@@ -98,7 +98,7 @@ STORE_JSON = _schema(
     developers=T.ArrayType(_string),
     publishers=T.ArrayType(_string),
     release_date=_schema(date=_string),
-    price_overview=_schema(initial=_long),
+    price_overview=T.MapType(_string, _string),
     is_free=_boolean,
     genres=_described,
     categories=_described,

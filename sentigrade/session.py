@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_session(app_name: str = "sentigrade", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,6 +45,22 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def read_if_present(spark: SparkSession, schema: StructType | str, path: str) -> DataFrame:
+    """A Parquet folder; no rows where the folder does not exist.  A damaged one is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store(df: DataFrame, label: str) -> Callable[[], DataFrame]:
     """Writes ``df`` to the shared folder; the result opens it anew.
 

@@ -24,10 +24,10 @@ def _descriptions(entries: Column) -> Column:
 
 
 def _price(doc: Column) -> Column:
-    """Cents as dollars; free games cost 0; otherwise unknown."""
+    """Cents as dollars; free games cost 0; otherwise unknown, as with an empty price object."""
     overview = doc["price_overview"]
-    cents = F.coalesce(overview["initial"], F.lit(0))
-    return F.when(overview.isNotNull(), cents / F.lit(100.0)).when(doc["is_free"], F.lit(0.0))
+    cents = F.coalesce(overview["initial"].try_cast("bigint"), F.lit(0))
+    return F.when(F.size(overview) > 0, cents / F.lit(100.0)).when(doc["is_free"], F.lit(0.0))
 
 
 def flatten_store_json(df: DataFrame, body: str = "body") -> DataFrame:

@@ -14,7 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..functions.text import word_count
+from ..operators.aggregates import LONG_TEXT
 from ..operators.relational import clean_reviews
+from ..session import read_if_present, remove_folder
 from ..sources.readers import with_file_origin
 
 
@@ -83,27 +86,55 @@ def append_stream(stream: DataFrame, output: str, checkpoint: str) -> StreamingQ
     )
 
 
-# Partial sums per game and batch, from which the features below follow.
-_PARTIALS = {
+# Running means and squared deviations are kept of these values: name -> column of a scored review.
+_SPREADS = {"p": "probability", "w": "_words"}
+
+# Sums per game, review type and batch, from which the features below follow.
+_SUMS = {
     "n": lambda: F.count(F.lit(1)),
     "n_predicted": lambda: F.sum("predicted"),
+    "n_labelled": lambda: F.count("positive"),
     "n_positive": lambda: F.sum("positive"),
-    "sum_p": lambda: F.sum("probability"),
-    "sum_pp": lambda: F.sum(F.col("probability") * F.col("probability")),
+    "n_long": lambda: F.count_if(F.col("_words") > LONG_TEXT),
+    "n_pos": lambda: F.count_if(F.col("predicted") == 1),
+    "n_neg": lambda: F.count_if(F.col("predicted") == 0),
+    "words_pos": lambda: F.sum(F.when(F.col("predicted") == 1, F.col("_words"))),
+    "words_neg": lambda: F.sum(F.when(F.col("predicted") == 0, F.col("_words"))),
 }
 
 
+def _state_schema(game: str) -> str:
+    sums = ", ".join(f"{c} bigint" for c in _SUMS)
+    spreads = ", ".join(f"mean_{c} double, m2_{c} double" for c in _SPREADS)
+    first = "first struct<row_id: bigint, app_id: bigint>"
+    return f"{game} string, review_type string, {sums}, {spreads}, {first}"
+
+
 def maintain_sentiment(
-    scored: DataFrame, state: str, checkpoint: str, game: str = "game_name"
+    scored: DataFrame, state: str, checkpoint: str, game: str = "game_name", compact_every: int = 50
 ) -> StreamingQuery:
     """Keeps per-game sums: every batch writes its own folder of partial sums below ``state``.
 
-    A repeated batch overwrites its folder, so a retry counts nothing twice.
+    A repeated batch overwrites its folder, so a retry counts nothing twice.  Every ``compact_every``
+    batches the sums so far are merged, and reading starts from there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy(game, "review_type").agg(*[make().alias(c) for c, make in _PARTIALS.items()])
-        sums.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        rows = batch.withColumn("_words", word_count("review_text"))
+        spreads = [
+            measure.alias(f"{kind}_{c}")
+            for c, source in _SPREADS.items()
+            for kind, measure in (
+                ("mean", F.avg(F.col(source).cast("double"))),
+                ("m2", F.var_pop(F.col(source).cast("double")) * F.count(source)),
+            )
+        ]
+        numbered = (F.col(c).cast("bigint").alias(c) for c in ("row_id", "app_id"))
+        first = F.min(F.struct(*numbered)).alias("first")
+        sums = rows.groupBy(game, "review_type").agg(*[make().alias(c) for c, make in _SUMS.items()], *spreads, first)
+        sums.write.mode("overwrite").parquet(f"{state}/parts/batch_id={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            compact_partials(batch.sparkSession, state, batch_id, game)
 
     return (
         scored.writeStream.foreachBatch(write)
@@ -113,31 +144,83 @@ def maintain_sentiment(
     )
 
 
-def merged_partials(spark: SparkSession, state: str, game: str = "game_name") -> DataFrame:
-    schema = (
-        f"{game} string, review_type string, n bigint, n_predicted bigint, n_positive bigint, "
-        "sum_p double, sum_pp double, batch_id bigint"
+def _partials(spark: SparkSession, state: str, game: str, until: int | None = None) -> tuple[DataFrame, int | None]:
+    """The last merged sums with the batches after them, and the batch the merged sums reach to."""
+    schema = _state_schema(game)
+    merged = read_if_present(spark, f"{schema}, upto bigint", f"{state}/merged")
+    if until is not None:
+        merged = merged.where(F.col("upto") < until)
+    upto = merged.agg(F.max("upto")).first()[0]
+    parts = read_if_present(spark, f"{schema}, batch_id bigint", f"{state}/parts")
+    if until is not None:
+        parts = parts.where(F.col("batch_id") <= until)
+    if upto is None:
+        return parts.drop("batch_id"), None
+    rest = parts.where(F.col("batch_id") > upto).drop("batch_id")
+    return merged.where(F.col("upto") == upto).drop("upto").unionByName(rest), upto
+
+
+def merge_partials(partials: DataFrame, game: str = "game_name") -> DataFrame:
+    """One row per game and review type.  Squared deviations are merged around the common mean."""
+    keys = [game, "review_type"]
+    n = F.col("n")
+    means = partials.groupBy(*keys).agg(
+        *[(F.sum(n * F.col(f"mean_{c}")) / F.sum("n")).alias(f"all_{c}") for c in _SPREADS]
+    )
+    return (
+        partials.join(means, keys)
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in _SUMS],
+            *[F.first(f"all_{c}").alias(f"mean_{c}") for c in _SPREADS],
+            *[
+                F.sum(F.col(f"m2_{c}") + n * F.pow(F.col(f"mean_{c}") - F.col(f"all_{c}"), F.lit(2.0))).alias(f"m2_{c}")
+                for c in _SPREADS
+            ],
+            F.min("first").alias("first"),
+        )
     )
-    partials = spark.read.schema(schema).parquet(state)
-    return partials.groupBy(game, "review_type").agg(*[F.sum(c).alias(c) for c in _PARTIALS])
 
 
 def current_sentiment(spark: SparkSession, state: str, game: str = "game_name") -> DataFrame:
-    """Per-game counts, ratios, mean probability and deviation as of the last batch."""
-    sums = merged_partials(spark, state, game)
+    """The sentiment features of each game as of the last batch, as the batch table has them."""
+    sums = merge_partials(_partials(spark, state, game)[0], game)
     early = sums.where(F.col("review_type") == "early_access")
     n = F.col("n")
-    variance = F.col("sum_pp") / n - (F.col("sum_p") / n) * (F.col("sum_p") / n)
-    return early.select(
+    pos_length = F.coalesce(F.try_divide("words_pos", "n_pos"), F.lit(0.0))
+    neg_length = F.coalesce(F.try_divide("words_neg", "n_neg"), F.lit(0.0))
+    later = sums.where(F.col("review_type") == "post_release").select(
+        game, F.col("n").alias("pr_review_count"), F.try_divide("n_positive", "n_labelled").alias("pr_actual_positive_ratio")
+    )
+    features = early.select(
         game,
+        F.col("first.app_id").alias("app_id"),
         n.alias("ea_review_count"),
         (F.col("n_predicted") / n).alias("ea_predicted_positive_ratio"),
-        (F.col("sum_p") / n).alias("ea_avg_positive_probability"),
-        (F.col("n_positive") / n).alias("ea_actual_positive_ratio"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("ea_sentiment_std"),
+        F.col("mean_p").alias("ea_avg_positive_probability"),
+        F.sqrt(F.col("m2_p") / n).alias("ea_sentiment_std"),
+        F.col("mean_w").alias("ea_mean_review_length"),
+        F.sqrt(F.col("m2_w") / n).alias("ea_std_review_length"),
+        (F.col("n_long") / n).alias("ea_long_review_ratio"),
+        pos_length.alias("ea_mean_pos_review_length"),
+        neg_length.alias("ea_mean_neg_review_length"),
+        F.when(pos_length > 0, neg_length / pos_length).otherwise(0.0).alias("ea_neg_pos_length_ratio"),
+        F.try_divide("n_positive", "n_labelled").alias("ea_actual_positive_ratio"),
     )
+    return features.join(later, game, "left").withColumn("pr_review_count", F.coalesce("pr_review_count", F.lit(0)))
 
 
-def compact_partials(spark: SparkSession, state: str, compacted: str, game: str = "game_name") -> None:
-    """Writes the merged sums as batch -1 of a new state folder, so that reading stays cheap."""
-    merged_partials(spark, state, game).write.mode("overwrite").parquet(f"{compacted}/batch_id=-1")
+def compact_partials(spark: SparkSession, state: str, batch_id: int, game: str = "game_name") -> None:
+    """Merges the sums up to a batch; readers start from there, the running stream goes on unchanged.
+
+    What the merge before this one covered is deleted, so a reader that began before it can end.
+    """
+    partials, before = _partials(spark, state, game, batch_id)
+    merge_partials(partials, game).write.mode("overwrite").parquet(f"{state}/merged/upto={batch_id}")
+    if before is not None:
+        covered = read_if_present(spark, f"{_state_schema(game)}, batch_id bigint", f"{state}/parts")
+        for row in covered.where(F.col("batch_id") <= before).select("batch_id").distinct().collect():
+            remove_folder(spark, f"{state}/parts/batch_id={row['batch_id']}")
+        older = read_if_present(spark, f"{_state_schema(game)}, upto bigint", f"{state}/merged")
+        for row in older.where(F.col("upto") < before).select("upto").distinct().collect():
+            remove_folder(spark, f"{state}/merged/upto={row['upto']}")

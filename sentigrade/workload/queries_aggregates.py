@@ -26,6 +26,10 @@ def scored(df, text="cleaned_text"):
     return score_linear(df, text, WORD_WEIGHTS, BIAS)
 
 
+def scored_labelled(t):
+    return scored_reviews(t).where("positive IS NOT NULL")
+
+
 def scored_reviews(t):
     return scored(relational.dedup_reviews(relational.clean_reviews(t.reviews)))
 
@@ -63,16 +67,20 @@ def _features_sql(prefix: str, noun: str, count: str, early: str) -> str:
         {pos} AS {prefix}_mean_pos_{noun}_length, {neg} AS {prefix}_mean_neg_{noun}_length"""
 
 
-HELPERS["game_table"] = f"""
+def game_table_sql(scored: str) -> str:
+    return f"""
     SELECT *, CASE WHEN ea_mean_pos_review_length > 0 THEN ea_mean_neg_review_length / ea_mean_pos_review_length ELSE 0e0 END
                 AS ea_neg_pos_length_ratio FROM (
       SELECT game_name, arg_min(app_id, row_id) FILTER (WHERE {_EARLY}) AS app_id, {_features_sql("ea", "review", "review_count", _EARLY)},
              avg(positive) FILTER (WHERE {_EARLY}) AS ea_actual_positive_ratio,
              count(*) FILTER (WHERE review_type = 'post_release') AS pr_review_count,
              avg(positive) FILTER (WHERE review_type = 'post_release') AS pr_actual_positive_ratio
-      FROM (SELECT *, {WORDS.format(c="review_text")} AS w FROM scored_reviews) GROUP BY game_name) WHERE ea_review_count > 0"""
+      FROM (SELECT *, {WORDS.format(c="review_text")} AS w FROM {scored}) GROUP BY game_name) WHERE ea_review_count > 0"""
+
+
+HELPERS["game_table"] = game_table_sql("scored_reviews")
 
-_GAME_DOUBLES = (
+GAME_DOUBLES = (
     "ea_predicted_positive_ratio ea_avg_positive_probability ea_sentiment_std ea_mean_review_length "
     "ea_std_review_length ea_long_review_ratio ea_mean_pos_review_length ea_mean_neg_review_length "
     "ea_neg_pos_length_ratio ea_actual_positive_ratio pr_actual_positive_ratio"
@@ -84,7 +92,7 @@ def score_linear_query(t):
     return scored_reviews(t).select("row_id", "probability", "predicted")
 
 
-@query("game_sentiment", "SELECT * FROM game_table", _GAME_DOUBLES)
+@query("game_sentiment", "SELECT * FROM game_table", GAME_DOUBLES)
 def game_sentiment(t):
     games = aggregates.game_sentiment(scored_reviews(t))
     return games.orderBy(F.col("ea_predicted_positive_ratio").desc(), "game_name")
@@ -106,21 +114,21 @@ def text_sentiment(t):
     """SELECT review_type, is_total, n_positive + n_negative AS n, n_positive, n_negative,
               n_positive / (n_positive + n_negative) * 100 AS positive_pct, n_positive / nullif(n_negative, 0) AS pos_neg_ratio
        FROM (SELECT review_type, CAST(grouping(review_type) AS INT) AS is_total, count(*) FILTER (WHERE positive = 1) AS n_positive,
-                    count(*) FILTER (WHERE positive = 0) AS n_negative FROM reviews GROUP BY GROUPING SETS ((), (review_type)))""",
+                    count(*) FILTER (WHERE positive = 0) AS n_negative FROM labelled_reviews GROUP BY GROUPING SETS ((), (review_type)))""",
     "positive_pct pos_neg_ratio",
 )
 def class_balance(t):
-    return aggregates.class_balance(t.reviews)
+    return aggregates.class_balance(t.labelled_reviews)
 
 
 @query(
     "crosstab_pct",
     """SELECT review_type, count(*) FILTER (WHERE positive = 0) / count(*) * 100 AS pct_0,
-              count(*) FILTER (WHERE positive = 1) / count(*) * 100 AS pct_1 FROM reviews GROUP BY review_type""",
+              count(*) FILTER (WHERE positive = 1) / count(*) * 100 AS pct_1 FROM labelled_reviews GROUP BY review_type""",
     "pct_0 pct_1",
 )
 def crosstab_pct(t):
-    return aggregates.crosstab_pct(t.reviews, "review_type", "positive", [0, 1])
+    return aggregates.crosstab_pct(t.labelled_reviews, "review_type", "positive", [0, 1])
 
 
 @query("value_counts", "SELECT game_name, review_type, count(*) AS n FROM reviews GROUP BY ALL")
@@ -185,7 +193,8 @@ _METRICS = ("f1_score", "accuracy", "precision", "recall")
 
 @query(
     "model_summary",
-    f"""SELECT * EXCLUDE (a_tp, a_tn, a_fp, a_fn), {", ".join(f"1.959963984540054e0 * {m}_std / sqrt(n_runs) AS {m}_moe" for m in _METRICS)},
+    f"""SELECT * EXCLUDE (a_tp, a_tn, a_fp, a_fn), CAST(row_number() OVER (ORDER BY f1_score_mean DESC, model) AS INT) AS position,
+          {", ".join(f"1.959963984540054e0 * {m}_std / sqrt(n_runs) AS {m}_moe" for m in _METRICS)},
           CASE WHEN a_tp IS NOT NULL THEN {_mcen_sql("a_tp", "a_tn", "a_fp", "a_fn")} END AS mcen_aggregated,
           0.95e0 AS confidence_level, 1.959963984540054e0 AS z_score FROM (
         SELECT model, type, count(*) AS n_runs,
@@ -243,7 +252,7 @@ def progress(t):
        LEFT JOIN scored_reviews s ON s.positive = a.v AND s.predicted = p.v GROUP BY ALL""",
 )
 def confusion(t):
-    return metrics.confusion(scored_reviews(t), "positive", "predicted", [0, 1])
+    return metrics.confusion(scored_labelled(t), "positive", "predicted", [0, 1])
 
 
 _BINARY = """
@@ -258,16 +267,16 @@ _COUNTS = """count(*) FILTER (WHERE positive = 1 AND predicted = 1) AS tp, count
 @query(
     "binary_metrics",
     f"""SELECT review_type, tp, tn, fp, fn, (tp + tn) / n AS accuracy, (p0 + p1) / 2 AS precision, (r0 + r1) / 2 AS recall, (f0 + f1) / 2 AS f1_score
-        FROM ({_BINARY.format(source=f"SELECT review_type, {_COUNTS} FROM scored_reviews GROUP BY review_type")})""",
+        FROM ({_BINARY.format(source=f"SELECT review_type, {_COUNTS} FROM scored_reviews WHERE positive IS NOT NULL GROUP BY review_type")})""",
     "accuracy precision recall f1_score",
 )
 def binary_metrics(t):
-    return metrics.binary_metrics(scored_reviews(t), "positive", "predicted", ["review_type"])
+    return metrics.binary_metrics(scored_labelled(t), "positive", "predicted", ["review_type"])
 
 
 @query(
     "accuracy_by_game",
-    f"""WITH games AS (SELECT game_name, {_COUNTS} FROM scored_reviews WHERE {_EARLY} GROUP BY game_name),
+    f"""WITH games AS (SELECT game_name, {_COUNTS} FROM scored_reviews WHERE {_EARLY} AND positive IS NOT NULL GROUP BY game_name),
           errors AS (SELECT *, abs((tp + fp) / (tp + tn + fp + fn) - (tp + fn) / (tp + tn + fp + fn)) AS err FROM games),
           rolled AS (SELECT game_name, CAST(grouping(game_name) AS INT) AS is_pooled, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tn) AS BIGINT) AS tn,
                             CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg(err) AS absolute_error
@@ -278,7 +287,7 @@ def binary_metrics(t):
     "predicted_positive_ratio actual_positive_ratio absolute_error accuracy weighted_f1",
 )
 def accuracy_by_game(t):
-    return metrics.accuracy_by_game(scored_reviews(t).where(F.col("review_type") == "early_access"))
+    return metrics.accuracy_by_game(scored_labelled(t).where(F.col("review_type") == "early_access"))
 
 
 HELPERS["tier_guess"] = """
@@ -558,26 +567,39 @@ def stored_matrix(t):
     return materialize(matrix(t), "matrix")
 
 
-_METADATA = (
-    "release_year", "release_month", "release_is_q4", "price_usd", "price_tier", "num_languages", "num_top_tags",
-    "is_self_published", "supports_mac", "supports_linux", "has_cloud_saves", "genre_rpg", "genre_strategy",
-    "genre_sports", "tag_co_op", "tag_horror",
-)
-HELPERS["pairs_meta"] = " UNION ALL ".join(
-    f"SELECT app_id, '{f}' AS feature, '{o}' AS outcome, CAST({f} AS DOUBLE) AS x, CAST({o} AS DOUBLE) AS y, "
-    f"log_ea_review_count AS z FROM matrix WHERE {f} IS NOT NULL AND {o} IS NOT NULL"
-    for f in _METADATA
-    for o in correlation.OUTCOMES
-)
+def _listed(columns) -> str:
+    return ", ".join(f"struct_pack(name := '{c}', v := CAST({c} AS DOUBLE))" for c in columns)
+
+
+HELPERS["pairs_meta"] = f"""
+    SELECT app_id, f.name AS feature, o.name AS outcome, f.v AS x, o.v AS y, z
+    FROM (SELECT app_id, z, f, unnest(os) AS o
+          FROM (SELECT app_id, log_ea_review_count AS z, unnest([{_listed(METADATA_FEATURES)}]) AS f,
+                       [{_listed(correlation.OUTCOMES)}] AS os FROM matrix))
+    WHERE f.v IS NOT NULL AND o.v IS NOT NULL"""
 HELPERS["metadata_pairs"] = (
-    "SELECT * FROM (" + _correlation_sql("SELECT * FROM pairs_meta WHERE feature NOT IN ('genre_sports', 'tag_horror')")
+    "SELECT * FROM ("
+    + _correlation_sql("SELECT * FROM pairs_meta WHERE feature IN (SELECT feature FROM variance_gate WHERE keep)")
     + ") WHERE NOT isnan(spearman_r) AND spearman_r IS NOT NULL"
-)
+)
+
+
+def _significant(r: str, n: str) -> str:
+    """p < 0.05 of a correlation: its t beyond the critical value, by the expansion of the t quantile at 0.975."""
+    z, df = 1.959963984540054, f"({n} - 2)"
+    critical = " + ".join(
+        f"{c!r} / {df} ** {k}"
+        for k, c in enumerate((
+            z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+            (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+        ))
+    )
+    return f"coalesce(abs({r}) * sqrt({df} / nullif(1 - {r} * {r}, 0)) > {critical}, true)"
 
 
 @query("metadata_corr", "SELECT * FROM metadata_pairs", "spearman_r pearson_r partial_r")
 def metadata_corr(t):
-    return correlation.correlate_metadata(stored_matrix(t), _METADATA)
+    return correlation.correlate_metadata(stored_matrix(t), METADATA_FEATURES)
 
 
 @query("metadata_corr_all")
@@ -588,27 +610,38 @@ def metadata_corr_all(t):
 
 @query(
     "correlation_summary",
-    """SELECT feature, outcome, n_samples, spearman_r, significant FROM (SELECT *, abs(spearman_r) > 0.05 AS significant FROM metadata_pairs)
+    f"""SELECT feature, outcome, n_samples, spearman_r, significant
+       FROM (SELECT *, {_significant("spearman_r", "n_samples")} AS significant FROM metadata_pairs)
        ORDER BY significant DESC, abs(spearman_r) DESC, feature, outcome LIMIT 15""",
     "spearman_r",
 )
 def correlation_summary(t):
-    table = correlation.correlate_metadata(stored_matrix(t), _METADATA)
-    # The check cannot compute p, so strength stands in for it here.
-    table = table.withColumn("significant", F.abs("spearman_r") > 0.05)
-    return correlation.correlation_summary(table).select(
+    table = correlation.correlate_metadata(stored_matrix(t), METADATA_FEATURES)
+    return correlation.correlation_summary(correlation.with_p_values(table)).select(
         "feature", "outcome", "n_samples", "spearman_r", "significant"
     )
 
 
+@query(
+    "count_significant",
+    f"""SELECT count(*) AS n_pairs, count(*) FILTER (WHERE {_significant("spearman_r", "n_samples")}) AS n_significant
+        FROM metadata_pairs""",
+)
+def count_significant(t):
+    table = correlation.correlate_metadata(stored_matrix(t), METADATA_FEATURES)
+    return correlation.count_significant(correlation.with_p_values(table))
+
+
 @query(
     "hypothesis",
-    """SELECT count(*) AS n_samples, corr(x, y) AS pearson_r, corr(rank_x, rank_y) AS spearman_r,
-              CASE WHEN corr(rank_x, rank_y) > 0 THEN 'positive' WHEN corr(rank_x, rank_y) < 0 THEN 'negative' ELSE 'none' END AS direction
+    f"""SELECT *, CASE WHEN spearman_r > 0 THEN 'positive' WHEN spearman_r < 0 THEN 'negative' ELSE 'none' END AS direction,
+              CASE WHEN NOT {_significant("spearman_r", "n_samples")} THEN 'NOT SUPPORTED'
+                   WHEN abs(spearman_r) > 0.3 THEN 'SUPPORTED' ELSE 'PARTIALLY SUPPORTED' END AS verdict
+       FROM (SELECT count(*) AS n_samples, corr(x, y) AS pearson_r, corr(rank_x, rank_y) AS spearman_r
        FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0e0 AS rank_x,
                     rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0e0 AS rank_y
              FROM (SELECT round(ea_predicted_positive_ratio, 9) AS x, round(pr_actual_positive_ratio, 9) AS y FROM game_table
-                   WHERE pr_actual_positive_ratio IS NOT NULL))""",
+                   WHERE pr_actual_positive_ratio IS NOT NULL)))""",
     "pearson_r spearman_r",
 )
 def hypothesis(t):
@@ -617,7 +650,7 @@ def hypothesis(t):
         {c: F.round(c, 9) for c in ("ea_predicted_positive_ratio", "pr_actual_positive_ratio")}
     )
     table = correlation.validate_hypothesis(ratios)
-    return table.select("n_samples", "pearson_r", "spearman_r", "direction")
+    return table.select("n_samples", "pearson_r", "spearman_r", "direction", "verdict")
 
 
 _SQUARE = ("ea_predicted_positive_ratio", "pr_actual_positive_ratio", "steam_metacritic_score", "owners_midpoint", "review_score")

@@ -11,7 +11,7 @@ from ..learning.runner import run_cv
 from ..operators import metrics, relational
 from ..session import scratch_folder
 from ..streaming import reviews as streams
-from .queries_aggregates import _SCORE, _TOTAL, scored, stored_matrix
+from .queries_aggregates import _SCORE, _TOTAL, GAME_DOUBLES, game_table_sql, scored, stored_matrix
 from .queries_tables import CLEAN
 from .registry import HELPERS, query
 
@@ -19,6 +19,11 @@ from .registry import HELPERS, query
 HELPERS["scored_long_reviews"] = _SCORE.format(total=_TOTAL.format(c="cleaned_text"), source="long_reviews")
 
 
+def labelled(t):
+    """The built reviews a model can learn from."""
+    return built(t).where("positive IS NOT NULL")
+
+
 def built(t):
     return relational.dedup_reviews(relational.clean_reviews(t.reviews))
 
@@ -29,20 +34,20 @@ def built(t):
 @query(
     "stratified_folds",
     """SELECT row_id, positive, CAST((row_number() OVER (PARTITION BY positive ORDER BY md5('7:' || row_id), row_id) - 1) % 5 AS INT) AS fold
-       FROM reviews""",
+       FROM labelled_reviews""",
 )
 def folds(t):
-    return stratified_folds(t.reviews.select("row_id", "positive"), "row_id", "positive", 5, 7)
+    return stratified_folds(t.labelled_reviews.select("row_id", "positive"), "row_id", "positive", 5, 7)
 
 
 @query(
     "class_weights",
     """SELECT positive, count(*) AS n, sum(count(*)) OVER () / (2 * count(*)) AS balanced_weight,
-              (sum(count(*)) OVER () - count(*)) / count(*) AS ratio_weight FROM reviews GROUP BY positive""",
+              (sum(count(*)) OVER () - count(*)) / count(*) AS ratio_weight FROM labelled_reviews GROUP BY positive""",
     "balanced_weight ratio_weight",
 )
 def weights(t):
-    return class_weights(t.reviews, "positive")
+    return class_weights(t.labelled_reviews, "positive")
 
 
 @query(
@@ -63,12 +68,12 @@ def tfidf(t):
     return tfidf_table(built(t).select("row_id", "cleaned_text"), "row_id", "cleaned_text")
 
 
-# --- Classifiers: every query trains on the whole review set ------------------------------------
+# --- Classifiers: every query trains on all labelled reviews ------------------------------------
 
 
 def _cv(t, models, k=5, **options):
     path = scratch_folder(t.spark, "results")
-    results = run_cv(built(t), path, models, seeds=(0,), k=k, **options)
+    results = run_cv(labelled(t), path, models, seeds=(0,), k=k, parallelism=k, **options)
     return results.select("model", "seed", "fold", "f1_score", "accuracy", "precision", "recall", "tp", "tn", "fp", "fn")
 
 
@@ -89,20 +94,20 @@ def svm_cv(t):
 
 @query("gbt_cv")
 def gbt_cv(t):
-    return _cv(t, ("GradientBoosting",), k=2)
+    return _cv(t, ("GradientBoosting",))
 
 
 @query("gbt2_cv")
 def gbt2_cv(t):
-    return _cv(t, ("GradientBoosting31",), k=2)
+    return _cv(t, ("GradientBoosting31",))
 
 
 @query("cv_results")
 def cv_results(t):
-    """Three models over all folds, summarised as the comparison reads them."""
+    """Three models over two seeds and all folds, summarised as the comparison reads them."""
     path = scratch_folder(t.spark, "results")
     models = ("LogisticRegression", "SVM", "NaiveBayes")
-    results = run_cv(built(t), path, models, seeds=(0,), k=5)
+    results = run_cv(labelled(t), path, models, seeds=(0, 1), k=5, parallelism=5)
     return metrics.checkpoint_summary(results).drop("avg_train_time")
 
 
@@ -112,7 +117,7 @@ def cv_results(t):
 @query("tier_cv")
 def tier_cv(t):
     m = stored_matrix(t)
-    return outcomes.loo_classify(m, "app_id", outcomes.feature_columns("steam", m))
+    return outcomes.loo_classify(m, "app_id", outcomes.feature_columns("steam", m), folds=10)
 
 
 @query("loo_ridge")
@@ -131,7 +136,7 @@ def predict_new(t):
 
 @query("ablation")
 def ablation(t):
-    return outcomes.ablation(stored_matrix(t))
+    return outcomes.ablation(stored_matrix(t), folds=10)
 
 
 # --- Streams, compared with the batch result over the same tables -------------------------------
@@ -160,19 +165,16 @@ def stream_dedup(t):
     # Documents carry no time; one second apart from 2024 on, as times at the epoch count as late.
     written = F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("ts")
     stream = _documents(t).select(F.col("lang").alias("app_id"), F.col("text").alias("review_text"), written)
-    # The kept span covers all of the data, so no copy arrives too late to be recognised.
-    single = streams.dedup_stream(stream, "ts", ["app_id"], "review_text", "3650 days")
+    # Ids, and with them times, of one table span days at the most; later copies would pass.
+    single = streams.dedup_stream(stream, "ts", ["app_id"], "review_text", "30 days")
     streams.append_stream(single.select("app_id", "text_digest"), output, checkpoint).awaitTermination()
     return t.spark.read.schema("app_id string, text_digest string").parquet(output)
 
 
 @query(
     "stream_sentiment",
-    """SELECT game_name, count(*) AS ea_review_count, avg(predicted) AS ea_predicted_positive_ratio,
-              avg(probability) AS ea_avg_positive_probability, avg(positive) AS ea_actual_positive_ratio,
-              stddev_pop(probability) AS ea_sentiment_std
-       FROM scored_long_reviews WHERE review_type = 'early_access' GROUP BY game_name""",
-    "ea_predicted_positive_ratio ea_avg_positive_probability ea_actual_positive_ratio ea_sentiment_std",
+    game_table_sql("scored_long_reviews"),
+    GAME_DOUBLES,
 )
 def stream_sentiment(t):
     state, checkpoint = scratch_folder(t.spark, "state"), scratch_folder(t.spark, "state-checkpoint")
@@ -180,12 +182,14 @@ def stream_sentiment(t):
     early = F.floor(F.col("doc_id") / 20) % 2 == 0
     stream = (
         _documents(t)
-        .join(labels, "doc_id")
+        .join(labels, "doc_id", "left")
         .select(
             F.col("source").alias("game_name"),
             F.when(early, "early_access").otherwise("post_release").alias("review_type"),
             F.col("text").alias("review_text"),
             "positive",
+            F.col("doc_id").alias("row_id"),
+            F.substring("source", 4, 9).cast("bigint").alias("app_id"),
         )
     )
     cleaned = relational.clean_reviews(stream)

@@ -144,7 +144,10 @@ def json_flatten(t):
         F.array("developer", F.lit("Studio")).alias("developers"),
         F.when(F.col("app_id") % 7 != 0, F.array("publisher")).alias("publishers"),
         F.struct(F.col("release_date").alias("date")).alias("release_date"),
-        F.when(F.col("required_age") < 40, F.struct(F.col("app_id").alias("initial"))).alias("price_overview"),
+        # An empty object is no price.
+        F.when(F.col("required_age") < 40, F.create_map(F.lit("initial"), F.col("app_id")))
+        .when(F.col("app_id") % 2 == 0, F.create_map().cast("map<string,bigint>"))
+        .alias("price_overview"),
         (F.col("required_age") < 45).alias("is_free"),
         F.array(
             described(F.col("developer")),
@@ -606,11 +609,11 @@ def dedup_first(t):
 @query(
     "enrich_left",
     """SELECT r.app_id, row_id, developer, publisher, release_date, current_price_usd
-       FROM raw_reviews_ts r LEFT JOIN (SELECT * FROM game_metadata WHERE app_id < 20) m ON r.app_id = m.app_id""",
+       FROM raw_reviews_ts r LEFT JOIN game_metadata m ON r.app_id = m.app_id""",
 )
 def enrich_left(t):
     reviews = t.raw_reviews_ts.select("app_id", "row_id")
-    return relational.enrich_left(reviews, t.game_metadata.where("app_id < 20"))
+    return relational.enrich_left(reviews, t.game_metadata)
 
 
 @query(
@@ -715,20 +718,21 @@ def training_plan(t):
     return relational.training_plan(seeds, MODELS, 5, t.training_results_gaps)
 
 
-_GATED = ("release_year", "price_tier", "is_self_published", "genre_rpg", "genre_sports", "num_developers", "ea_to_pr_review_ratio")
+_GATED = outcomes.METADATA_FEATURES
 
 
-@query(
-    "variance_gate",
+HELPERS["variance_gate"] = (
     " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, count({c}) AS n, CAST(sum({c}) AS DOUBLE) AS total, CAST(min({c}) AS DOUBLE) AS low,
                    CAST(max({c}) AS DOUBLE) AS high, bool_and({c} IN (0, 1)) AS is_binary,
                    count({c}) >= 5 AND CASE WHEN bool_and({c} IN (0, 1)) THEN sum({c}) >= 2 AND count({c}) - sum({c}) >= 2
                      ELSE count(DISTINCT {c}) >= 2 END AS keep FROM matrix"""
         for c in _GATED
-    ),
-    "total low high",
+    )
 )
+
+
+@query("variance_gate", "SELECT * FROM variance_gate", "total low high")
 def variance_gate(t):
     return relational.varying_columns(matrix(t), _GATED)
 
@@ -737,8 +741,8 @@ def variance_gate(t):
     "subset_summary",
     """SELECT count(*) AS n_samples, count(CASE WHEN positive = 1 THEN 1 END) AS n_positive,
               count(CASE WHEN positive = 0 THEN 1 END) AS n_negative, avg(positive) AS positive_ratio,
-              count(DISTINCT game_name) AS n_games FROM reviews WHERE review_type = 'early_access'""",
+              count(DISTINCT game_name) AS n_games FROM labelled_reviews WHERE review_type = 'early_access'""",
     "positive_ratio",
 )
 def subset_summary(t):
-    return aggregates.subset_summary(relational.subset(t.reviews, review_type="early_access"))
+    return aggregates.subset_summary(relational.subset(t.labelled_reviews, review_type="early_access"))

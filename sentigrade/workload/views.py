@@ -1,7 +1,7 @@
 """Review-shaped views over the driver's tables.
 
 One SQL text per view serves Spark and the checking database; only the expression for epoch
-seconds differs.  Every view covers its whole tables.
+seconds differs.  Every view covers its whole tables; ``positive`` is NULL where a document has no label.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ VIEWS = {
                  AS review_type,
                d.source || CASE WHEN floor(d.doc_id / 20) % 2 = 0 THEN '_early_access'
                                 ELSE '_post_release' END || '_reviews.csv' AS source_file
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "labelled_reviews": "SELECT * FROM reviews WHERE positive IS NOT NULL",
     "reviews_dup": """
         SELECT lang AS app_id, text AS review_text, doc_id AS row_id, source AS source_file
         FROM documents""",
@@ -169,25 +170,12 @@ class Tables:
                     text = re.sub(rf"\b(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", text)
                 self._known[name] = self.spark.sql(text, **{s: getattr(self, s) for s in used})
             elif name in TABLES:
-                self._known[name] = self._read(name)
+                self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
                 raise AttributeError(name)
         return self._known[name]
 
 
-    def _read(self, name: str) -> DataFrame:
-        """A raw table.  A file of few row groups is read by few tasks, which leaves cores idle in
-        the heavy text functions; such a text table is spread over the cores by its key.  Tables
-        with a split per core or more, as on a cluster, are read as they are.
-        """
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        key = {"documents": "doc_id", "conversations": "conv_id"}.get(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        if key and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, key)
-        return df
-
-
 def check_sql(sql: str, helpers: dict[str, str]) -> str:
     """``sql`` with the views and helper queries it uses as common table expressions."""
     texts = {n: t.replace("{epoch}", EPOCH["check"]) for n, t in {**VIEWS, **helpers}.items()}

@@ -121,10 +121,12 @@ def test_loo_ridge_equals_refits(spark, games):
 
 def test_tier_prediction_and_new_games(spark, games):
     df = spark.createDataFrame(games)
-    found = outcomes.loo_classify(df, "app_id", ["a", "b"], "tier", loo_limit=10, folds=3).toPandas()
+    found = outcomes.loo_classify(df, "app_id", ["a", "b"], "tier", folds=3).toPandas()
     assert sorted(found["app_id"]) == list(range(30)) and found["correct"].mean() > 0.7
+    each = outcomes.loo_classify(df.where("app_id < 12"), "app_id", ["a", "b"], "tier")
+    assert each.count() == 12
     single = df.withColumn("tier", F.lit("Hit"))
-    same = outcomes.loo_classify(single, "app_id", ["a", "b"], "tier", loo_limit=10, folds=3)
+    same = outcomes.loo_classify(single, "app_id", ["a", "b"], "tier", folds=3)
     assert same.where("correct").count() == 30
     new = outcomes.predict_new(df, df, "app_id", ["a", "b"], "tier", "revenue").toPandas().sort_values("app_id")
     assert (new["prob_moderate"] == 0).all() and (new["prob_blockbuster"] == 0).all()

@@ -1,7 +1,9 @@
 """Streams over landed files give the batch result, also when files land later."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from sentigrade.operators.aggregates import game_sentiment
 from sentigrade.operators.relational import clean_reviews
 from sentigrade.streaming import reviews as streams
 
@@ -21,33 +23,51 @@ def test_ingest_continues_with_new_files(spark, tmp_path):
 
 
 def scored_stream(spark, path):
-    schema = "game_name string, review_type string, positive int, predicted int, probability double"
+    schema = (
+        "game_name string, review_type string, positive int, predicted int, probability double, review_text string, "
+        "row_id bigint, app_id bigint"
+    )
     return streams.file_stream(spark, path, spark.createDataFrame([], schema).schema, "parquet")
 
 
-def test_running_aggregates_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [1, 2, 50])
+def test_running_aggregates_equal_batch(spark, tmp_path, compact_every):
     landed, state, checkpoint = (str(tmp_path / n) for n in ("landed", "state", "checkpoint"))
     df = spark.range(60).select(
         F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("game_name"),
         F.when(F.col("id") % 5 < 3, "early_access").otherwise("post_release").alias("review_type"),
         (F.col("id") % 2).cast("int").alias("positive"),
         (F.col("id") % 4 == 0).cast("int").alias("predicted"),
-        (F.col("id") / 60).alias("probability"),
+        # A small spread on a large mean, where sums of squares would cancel.
+        (F.col("id") / 6e9 + 1000).alias("probability"),
+        F.repeat(F.lit("word "), (F.col("id") + 20).cast("int")).alias("review_text"),
+        F.col("id").alias("row_id"),
+        (F.col("id") % 3).alias("app_id"),
     )
-    for part in (df.where("probability < 0.5"), df.where("probability >= 0.5")):
+    for part in (df.where("row_id < 20"), df.where("row_id BETWEEN 20 AND 40"), df.where("row_id > 40")):
         part.write.mode("append").parquet(landed)
-        streams.maintain_sentiment(scored_stream(spark, landed), state, checkpoint).awaitTermination()
-    early = df.where("review_type = 'early_access'").groupBy("game_name").agg(
-        F.count("*").alias("n"), F.avg("predicted").alias("p"), F.stddev_pop("probability").alias("s")
-    )
-    found = {r.game_name: r for r in streams.current_sentiment(spark, state).collect()}
-    for r in early.collect():
-        got = found[r.game_name]
-        assert got.ea_review_count == r.n
-        assert abs(got.ea_predicted_positive_ratio - r.p) < 1e-12 and abs(got.ea_sentiment_std - r.s) < 1e-9
-    compacted = str(tmp_path / "compacted")
-    streams.compact_partials(spark, state, compacted)
-    assert streams.current_sentiment(spark, compacted).count() == 3
+        streams.maintain_sentiment(scored_stream(spark, landed), state, checkpoint, compact_every=compact_every).awaitTermination()
+    want = {r.game_name: r.asDict() for r in game_sentiment(df).collect()}
+    found = {r.game_name: r.asDict() for r in streams.current_sentiment(spark, state).collect()}
+    assert want.keys() == found.keys() and len(want) == 3
+    for name, row in want.items():
+        assert row.keys() == found[name].keys()
+        for c, value in row.items():
+            assert found[name][c] == (pytest.approx(value, rel=1e-6) if isinstance(value, float) else value), c
+
+
+def test_kept_copies_are_released(spark, tmp_path):
+    """State older than the kept span is dropped, so a copy after it passes."""
+    landed, out, checkpoint = (str(tmp_path / n) for n in ("landed", "out", "checkpoint"))
+    for day in (1, 2, 20, 40, 45):
+        rows = spark.createDataFrame([("g", "same text", day), ("g", f"other {day}", day)], "app_id string, text string, day int")
+        rows.select("app_id", "text", F.timestamp_seconds(F.col("day") * 86400 + 1704067200).alias("ts")).write.mode("append").parquet(landed)
+        source = streams.file_stream(spark, landed, spark.read.parquet(landed).schema, "parquet")
+        single = streams.dedup_stream(source, "ts", ["app_id"], "text", "10 days")
+        query = streams.append_stream(single.select("app_id", "text", "ts"), out, checkpoint)
+        query.awaitTermination()
+    assert spark.read.parquet(out).where("text = 'same text'").count() == 2
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
 def test_clean_reviews_keeps_order_of_steps(spark):
