@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
-from .ordering import ROWS_PER_SORT, exact_quantiles
+from .ordering import exact_quantiles
 
 # Fixed value: texts with more words count as long.
 LONG_TEXT = 50
@@ -178,10 +178,10 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     )
 
 
-def length_stats(df: DataFrame, text: str, rows: int = ROWS_PER_SORT) -> DataFrame:
+def length_stats(df: DataFrame, text: str) -> DataFrame:
     """Mean, exact median, minimum and maximum of the text length in characters."""
     lengths = df.select(F.lit("all").alias("scope"), F.char_length(text).alias("text_length"))
-    medians = exact_quantiles(lengths, ["scope"], "text_length", {"median_length": 0.5}, rows)
+    medians = exact_quantiles(lengths, ["scope"], "text_length", {"median_length": 0.5})
     rest = lengths.groupBy("scope").agg(
         F.avg("text_length").alias("mean_length"),
         F.min("text_length").alias("min_length"),
@@ -190,9 +190,9 @@ def length_stats(df: DataFrame, text: str, rows: int = ROWS_PER_SORT) -> DataFra
     return rest.join(medians, "scope").drop("scope")
 
 
-def box_summary(df: DataFrame, group: str, value: str, rows: int = ROWS_PER_SORT) -> DataFrame:
+def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 IQR) and outlier count, by falling median."""
-    quartiles = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows)
+    quartiles = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (

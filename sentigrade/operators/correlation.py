@@ -82,13 +82,19 @@ def correlate_pairs(
     controlled: Sequence[str] = (),
     minimum: int = 5,
     rows: int | None = None,
+    upper: bool = False,
 ) -> DataFrame:
     """Pearson, Spearman and partial Spearman of every complete (feature, outcome) pair.
 
+    ``upper`` keeps only pairs whose feature is listed before the outcome.
+
     ``kind`` separates the rows that have the control value, because the partial correlation
     ranks them among themselves.  Ranks come from one engine for all pairs, whatever their number.
     """
     pairs = pair_rows(df, features, outcomes, control)
+    if upper:
+        place = F.array(*map(F.lit, dict.fromkeys([*features, *outcomes])))
+        pairs = pairs.where(F.array_position(place, F.col("feature")) < F.array_position(place, F.col("outcome")))
     usable = F.lit(False)
     if control:
         usable = (
@@ -247,9 +253,25 @@ def validate_hypothesis(game_table: DataFrame, minimum: int = 5, rows: int | Non
 def spearman_matrix(
     df: DataFrame, columns: Sequence[str], minimum: int = 3, rows: int | None = None
 ) -> DataFrame:
-    """Pairwise-complete rank correlations of all column pairs."""
-    table = correlate_pairs(df, columns, columns, minimum=minimum, rows=rows)
-    return table.select("feature", "outcome", "n_samples", "spearman_r")
+    """Pairwise-complete rank correlations of all column pairs.
+
+    Each pair is ranked once and mirrored; a column goes with itself unless it is constant.
+    """
+    table = correlate_pairs(df, columns, columns, minimum=minimum, rows=rows, upper=True)
+    above = table.select("feature", "outcome", "n_samples", "spearman_r")
+    below = above.select(F.col("outcome").alias("feature"), F.col("feature").alias("outcome"), "n_samples", "spearman_r")
+    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    own = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.lit(c).alias("outcome"),
+            F.count(value).alias("n_samples"),
+            F.when(F.min(value) < F.max(value), F.lit(1.0)).alias("spearman_r"),
+        )
+        for c, value in zip(columns, known)
+    ]
+    diagonal = df.agg(F.array(*own).alias("_own")).select(F.inline("_own")).where(F.col("n_samples") >= minimum)
+    return above.unionByName(below).unionByName(diagonal)
 
 
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -264,15 +264,11 @@ def apply_policy(
     return matrix.select("run_id", *kept).na.drop(subset=kept), kept, excluded
 
 
-def describe_matrix(
-    long: DataFrame, group: str, value: str, rows: int | None = None
-) -> DataFrame:
+def describe_matrix(long: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum per group."""
-    from .ordering import ROWS_PER_SORT, exact_quantiles
+    from .ordering import exact_quantiles
 
-    quartiles = exact_quantiles(
-        long, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows or ROWS_PER_SORT
-    )
+    quartiles = exact_quantiles(long, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     rest = long.groupBy(group).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),

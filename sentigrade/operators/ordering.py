@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Rows of one group that a single task may sort.
 ROWS_PER_SORT = 1_000_000
-# Value ranges per large group; a power of two, so the range of a value is found by halving.
-RANGES = 1024
 # Leading hex digits of a hash that form its range.
 HASH_DIGITS = 4
 
@@ -41,8 +41,8 @@ def with_salt(
     """Adds ``_salt``: 0 for ordinary keys, a hash of ``spread`` for keys above ``rows`` rows.
 
     A key with c rows gets sqrt(c / limit) salts, which balances the salted step with the step
-    that merges ``limit`` rows per salt.  The list of hot keys is broadcast: it has at most
-    count(df) / rows entries.
+    that merges ``limit`` rows per salt.  The list of hot keys has at most count(df) / rows entries;
+    adaptive execution broadcasts it where its measured size allows and else splits the hot parts.
     """
     hot = (
         df.groupBy(*keys)
@@ -53,7 +53,7 @@ def with_salt(
     salt = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
     ).otherwise(0)
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_salts")
+    return df.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_salts")
 
 
 def top_per_group(
@@ -120,14 +120,12 @@ class ValueCounts:
     value: str
 
 
-def value_counts_in_order(
-    df: DataFrame, groups: Sequence[str], value: str, rows: int = ROWS_PER_SORT, ranges: int = RANGES
-) -> ValueCounts:
+def value_counts_in_order(df: DataFrame, groups: Sequence[str], value: str) -> ValueCounts:
     """Counts each distinct value and the rows below it.
 
-    Equal values collapse first, so a value that fills a third of the rows is one row.  Groups
-    with more than ``rows`` distinct values are cut into value ranges; the cut points (at most
-    ``ranges`` doubles per large group) are fetched once so that both uses agree on them.
+    Equal values collapse first, so a value that fills a third of the rows is one row.  The distinct
+    values of all groups are then dealt to ranges in their order, written once so that both uses agree
+    on the ranges, and counted inside a range; the sums of the ranges before shift the counts.
     """
     groups = list(groups)
     if not groups:
@@ -137,34 +135,9 @@ def value_counts_in_order(
         .groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    shares = [(i + 1) / ranges for i in range(ranges - 1)]
-    large = (
-        counts.groupBy(*groups)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(F.col(value).cast("double"), shares, 10 * ranges).alias("_cuts"),
-        )
-        .where(F.col("_n") > rows)
-        .select(*groups, "_cuts")
-    )
-    found = large.collect()
-    if not found:
-        below = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        ordered = counts.withColumn("before", F.coalesce(F.sum("cnt").over(below), F.lit(0)))
-        return ValueCounts(ordered, groups, value)
-
-    cuts = df.sparkSession.createDataFrame(found, schema=large.schema)
-    joined = counts.join(F.broadcast(cuts), groups, "left")
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(ranges.bit_length() - 1))])
-    where = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: at
-        + F.when(F.get(F.col("_cuts"), at + step - 1) < F.col(value), step).otherwise(F.lit(0)),
+    ranged = materialize(
+        counts.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()), "value-ranges"
     )
-    ranged = joined.withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(where)
-    ).drop("_cuts")
     sums = ranged.groupBy(*groups, "_range").agg(F.sum("cnt").alias("_n"))
     earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shifts = sums.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
@@ -206,7 +179,7 @@ def average_rank(
             ranks[ties] = F.when(known, equal)
         return df.withColumns(ranks)
 
-    counts = value_counts_in_order(df, groups, value, rows)
+    counts = value_counts_in_order(df, groups, value)
     columns = {out: F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)}
     if ties:
         columns[ties] = F.col("cnt")
@@ -221,7 +194,6 @@ def exact_quantiles(
     groups: Sequence[str],
     value: str,
     shares: dict[str, float],
-    rows: int = ROWS_PER_SORT,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``shares``.
 
@@ -229,7 +201,7 @@ def exact_quantiles(
     gathered in one place: each quantile is two conditional maxima over the ordered counts.
     """
     groups = list(groups)
-    ordered = value_counts_in_order(df, groups, value, rows).table
+    ordered = value_counts_in_order(df, groups, value).table
     sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     placed = ordered.join(sizes, groups)
     picks, results = [], []

@@ -42,35 +42,29 @@ def is_stale(current: DataFrame, stored: DataFrame | None) -> bool:
 
 
 def write_manifest(hashes: DataFrame, rows: dict[str, int], path: str) -> None:
-    """One JSON record: path -> hash map, row counts and build time."""
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "hash"))))
+    """Below ``path``: ``sources`` with one JSON line for each file, ``record`` with time and row counts."""
+    hashes.select("path", "hash").write.mode("overwrite").json(f"{path}/sources")
     counts = [F.lit(n).alias(name) for name, n in rows.items()]
-    record = hashes.agg(entries.alias("source_hashes"))
-    record = record.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("build_time"),
-        *counts,
-        "source_hashes",
-    )
-    record.write.mode("overwrite").json(path)
+    time = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("build_time")
+    hashes.sparkSession.range(1).select(time, *counts).write.mode("overwrite").json(f"{path}/record")
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(manifest row, path and hash rows)."""
-    schema = (
-        "build_time string, training_rows bigint, validation_rows bigint, source_hashes map<string,string>"
-    )
-    record = spark.read.schema(schema).json(path)
-    return record, record.select(F.explode("source_hashes").alias("path", "hash"))
+    schema = "build_time string, training_rows bigint, validation_rows bigint"
+    record = spark.read.schema(schema).json(f"{path}/record")
+    return record, spark.read.schema("path string, hash string").json(f"{path}/sources")
 
 
 def status(spark: SparkSession, path: str, *folders: str) -> DataFrame:
     """Build time, rows, tracked files and staleness as one row."""
     record, stored = read_manifest(spark, path)
     stale = is_stale(source_hashes(spark, *folders), stored)
+    tracked = stored.agg(F.count(F.lit(1)).cast("int").alias("tracked_files"))
     return record.select(
         "build_time",
         "training_rows",
         "validation_rows",
-        F.size("source_hashes").alias("tracked_files"),
+        F.lit(tracked.first()[0]).alias("tracked_files"),
         F.lit(stale).alias("is_stale"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lists, text, values
 from ..learning import outcomes
 from ..operators import aggregates, relational
+from ..session import scratch_folder
 from ..sources import manifest, payloads, readers, registry
 from .registry import HELPERS, query
 from .views import MODELS
@@ -248,6 +249,20 @@ def manifest_diff(t):
     return manifest.manifest_diff(current, stored)
 
 
+@query(
+    "source_hashes",
+    """SELECT 'lang=' || lang AS folder, md5(string_agg(doc_id || ',' || n || chr(10), '' ORDER BY doc_id)) AS hash
+       FROM (SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, doc_id, length(text) AS n FROM documents) GROUP BY lang""",
+)
+def source_hashes(t):
+    """Files written from a table, one for each language, and hashed again by the executors."""
+    folder = scratch_folder(t.spark, "sources")
+    rows = t.documents.select("lang", "doc_id", F.length("text").alias("n"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").write.partitionBy("lang").csv(folder)
+    folder_of = F.element_at(F.split("path", "/"), -2).alias("folder")
+    return manifest.source_hashes(t.spark, f"{folder}/lang=*").select(folder_of, "hash")
+
+
 @query(
     "build_counts",
     """SELECT count(*) AS n_rows, count(DISTINCT game_name) AS n_games,
