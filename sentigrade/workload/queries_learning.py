@@ -126,6 +126,23 @@ def loo_ridge(t):
     return outcomes.loo_ridge(m, "app_id", outcomes.feature_columns("combined", m), "estimated_revenue_usd")
 
 
+@query(
+    "loo_ridge_one",
+    """WITH r AS (SELECT app_id, CAST(ea_mean_review_length AS DOUBLE) AS x, ln(1 + estimated_revenue_usd) AS y
+                  FROM matrix WHERE estimated_revenue_usd > 0 AND ea_mean_review_length IS NOT NULL),
+            c AS (SELECT app_id, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, avg(y) OVER () AS level FROM r),
+            s AS (SELECT count(*) - 1 AS m, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM c),
+            one AS (SELECT c.*, m, (sx - x) / m AS mx, (sy - y) / m AS my, sxx - x * x AS xx, sxy - x * y AS xy FROM c CROSS JOIN s)
+       SELECT app_id, level + y AS actual_log,
+              level + my + (xy - m * mx * my) * m / ((xx - m * mx * mx) * (m + 1)) * (x - mx) AS predicted_log FROM one""",
+    "actual_log predicted_log",
+)
+def loo_ridge_one(t):
+    """One feature, where leaving out a row has a closed form."""
+    found = outcomes.loo_ridge(stored_matrix(t), "app_id", ["ea_mean_review_length"], "estimated_revenue_usd")
+    return found.select("app_id", "actual_log", "predicted_log")
+
+
 @query("predict_new")
 def predict_new(t):
     """Fit on the games with video comments, predict the others."""
