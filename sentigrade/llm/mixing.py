@@ -224,13 +224,10 @@ def mix(
         "mix-sizes",
     )
     shares = _shares(sized, block_words)
-    number = F.lit(None).cast("int")
-    for k, s in enumerate(shares):
-        same = F.col("source").isNull() if s.source is None else F.col("source") == s.source
-        number = F.when(same, k).otherwise(number)
+    numbers = spark.createDataFrame([(s.source, k) for k, s in enumerate(shares)], "name string, part int")
     count = sized.count()
     bucket = F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(-(-count // BUCKET_ROWS) or 1))
-    rows = sized.withColumns({"part": number, "bucket": bucket})
+    rows = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", bucket)
     by_bucket = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("part", "bucket")
@@ -257,17 +254,29 @@ def mixed_texts(documents: DataFrame, text: str = "text", source: str = "source"
         documents.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-documents"
     ).withColumns({"_text": F.col("_doc")[text], "_source": F.col("_doc")[source]})
     plan = mix(rows, "_row", "_text", "_source", **settings)
+    # For each row and pass a flag for every block from the row's first to its last one that is taken, so
+    # that each word looks up its own block.
     taken = (
         plan.taken_pieces()
         .groupBy(F.col("key").alias("_row"), "turn")
-        .agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("_pieces"))
+        .agg(F.first("start").alias("_start"), F.sort_array(F.collect_list("block")).alias("_blocks"))
+        .withColumn("_first", F.floor(F.col("_start") / plan.block_words))
+        .select(
+            "_row",
+            (F.col("_start") - F.col("_first") * plan.block_words).alias("_skip"),
+            F.transform(
+                F.sequence("_first", F.array_max("_blocks")), lambda block: F.array_contains("_blocks", block)
+            ).alias("_flags"),
+        )
     )
     space = r"[\x20\x09-\x0D]"
     words = F.regexp_extract_all("_text", F.lit(rf"(?:\A{space}*)?{WORD}{space}*"), F.lit(0))
-    joined = F.concat_ws("", F.flatten(F.transform("_pieces", lambda p: F.slice("_words", p.skip + 1, p.words))))
+    kept = F.filter(
+        words, lambda word, k: F.get("_flags", F.floor((F.col("_skip") + k) / plan.block_words).cast("int"))
+    )
+    joined = F.concat_ws("", kept)
     return (
         rows.select("_doc", "_row", "_text")
         .join(taken, "_row")
-        .withColumn("_words", words)
         .select(*(joined.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in documents.columns))
     )
