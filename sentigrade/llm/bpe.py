@@ -7,7 +7,8 @@ one visits only the positions of its pair and touches only the two neighbours.
 blocks of the same task are kept, up to ``keep_words``, and need no replay.
 
 Null text counts as empty: no tokens.  Empty tables give empty results, repeated rows equal rows.
-Memory is bounded by an Arrow batch, the kept words and the vocabulary.
+Memory is bounded by a portion of an Arrow batch of about ``PORTION`` characters or the longest text, the
+kept words and the vocabulary.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parsing import portions
+
 KEEP_WORDS = 500_000
+PORTION = 8_000_000
 
 
 class Vocabulary:
@@ -172,14 +176,17 @@ def encode_batches(
     table = vocabulary(path)
     known: dict[str, bytes] = {}
     for texts in batches:
-        cut = [split.findall(text) for text in texts]
-        different = set().union(*cut)
-        if len(known) > keep_words:
-            known.clear()
-        new = [word for word in different if word not in known]
-        tokens = replay([word.encode("utf-8") for word in new], table)
-        known.update((word, ids.astype("<u4").tobytes()) for word, ids in zip(new, tokens))
-        yield [b"".join(map(known.__getitem__, words)) for words in cut]
+        out: list[bytes] = []
+        for part in portions(texts, PORTION):
+            cut = [split.findall(text) for text in part]
+            different = set().union(*cut)
+            if len(known) > keep_words:
+                known.clear()
+            new = [word for word in different if word not in known]
+            tokens = replay([word.encode("utf-8") for word in new], table)
+            known.update((word, ids.astype("<u4").tobytes()) for word, ids in zip(new, tokens))
+            out.extend(b"".join(map(known.__getitem__, words)) for words in cut)
+        yield out
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
