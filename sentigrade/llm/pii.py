@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover.
 
 Base spans come from one regular expression for each kind (email, ip, card, phone) and a check of the
-match.  Candidates are runs of words that hold a digit or an at sign, with the words left and right of
-them.  Candidates over a base span are seeds.  Their contexts are lexical patterns: left word, right
-word, and both.  In every round patterns and instances score each other over the graph of (pattern,
-instance) counts: a pattern's confidence in a kind is the share of its occurrences whose instance has
-that kind, weighted by the instance's score; an instance that looks like the kind scores the noisy-or
-of its confident patterns.  Instances above ``min_score`` join the seeds; after ``rounds`` rounds all their
-occurrences that touch no base span become spans.
+match; they are the seeds.  What is left of the text is cut into runs of words that hold a digit or an at
+sign, and every sub-run of a run is an instance: no kind looks like more than ``MOST_WORDS`` such words.
+The contexts of an instance are lexical patterns: left word, right word, and both; a base span next to
+it counts as one word, whatever it holds.  In every round patterns and instances score each other over
+the graph of patterns and sites.  A site is a place where a pattern stands: for a left word what follows
+it in the run, for a right word what comes before it, for both what is between them.  A pattern's
+confidence in a kind is the share of its sites with an instance of that kind, weighted by the best
+instance's score; an instance that looks like the kind scores the noisy-or of its confident patterns.
+Instances above ``min_score`` join the seeds; after ``rounds`` rounds all occurrences outside base spans
+become spans, except inside a longer one.
 
 Everything is a DataFrame expression.  Counts are formed before the shuffles; a context that a third of
 all rows share is one row in the joins, and joins of occurrences are split by adaptive execution.
@@ -55,7 +58,7 @@ KINDS = (
         lambda text: text.contains("@"),
         r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         "true",
-        r"^[^@]+@[^@]+$",
+        rf"^[^@{_SPACE}]+\x20?@\x20?[^@{_SPACE}]+$",
     ),
     Kind(
         "ip",
@@ -81,8 +84,13 @@ KINDS = (
 )
 NAMES = tuple(kind.name for kind in KINDS)
 
-CANDIDATE = rf"(?<![^{_SPACE}])[^{_SPACE}]*[0-9@][^{_SPACE}]*(?:\x20[^{_SPACE}]*[0-9][^{_SPACE}]*)*+"
-_OPENING, _CLOSING = r"^[\x22'(\[{<|]*", r"[\x22')\]}>|.,;:!?#%&*$]*$"
+#: Stands in for the characters of base spans; the same character of a text is read as ``_OTHER``.
+_MASK, _OTHER = "\uffff", "\ufffe"
+_BREAK = rf"{_SPACE}{_MASK}"
+CANDIDATE = rf"{_MASK}++|(?<![^{_BREAK}])[^{_BREAK}]*[0-9@][^{_BREAK}]*(?:\x20[^{_BREAK}]*[0-9][^{_BREAK}]*)*+"
+#: A card has up to 19 digits, and every word but the first of a run holds one.
+MOST_WORDS = 19
+_OPENING, _CLOSING = r"^[\x22'(\[{<|,;:]*", r"[\x22')\]}>|.,;:!?#%&*$]*$"
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -120,15 +128,37 @@ def with_base_spans(documents: DataFrame, text: str) -> DataFrame:
 
 
 def with_candidates(documents: DataFrame, text: str) -> DataFrame:
-    """``documents`` with ``_candidates``: (start, end, instance, left, right) of every run of words with a
-    digit or an at sign, without the punctuation around it."""
+    """``documents`` with ``_candidates``: (start, end, instance, left, right, base) of every region of base
+    spans and every run of words with a digit or an at sign between them."""
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    gaps, matches = _pieces(source, CANDIDATE, source.rlike("[0-9@]"))
+    regions = F.expr(
+        f"""aggregate(array_sort(concat({", ".join(f"_{k}" for k in NAMES)})), cast(array() AS {_SPANS}), (s, x) ->
+              CASE WHEN size(s) > 0 AND x.start <= element_at(s, -1).end
+                THEN concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).start AS start, greatest(element_at(s, -1).end, x.end) AS end)))
+                ELSE concat(s, array(x)) END)"""
+    )
+    documents = documents.withColumns({"_source": F.translate(source, _MASK, _OTHER), "_regions": regions})
+    masked = F.expr(
+        f"""aggregate(_regions, struct(0 AS at, '' AS done),
+              (s, x) -> struct(x.end AS at, concat(s.done, substr(_source, s.at + 1, x.start - s.at), repeat('{_MASK}', x.end - x.start)) AS done),
+              s -> concat(s.done, substr(_source, s.at + 1)))"""
+    )
+    documents = documents.withColumn("_masked", F.when(F.size("_regions") > 0, masked).otherwise(F.col("_source")))
+    gaps, matches = _pieces(F.col("_masked"), CANDIDATE, F.col("_masked").rlike(f"[0-9@{_MASK}]"))
     documents = documents.withColumns({"_gaps": gaps, "_matches": matches})
-    kind = "array<struct<start:int,end:int,instance:string,left:string,right:string>>"
-    word = rf"[^{_SPACE}]+"
-    left = rf"lower(regexp_extract(right(_gaps[i], 80), r'({word})[{_SPACE}]+$', 1))"
-    right = rf"lower(regexp_extract(left(_gaps[i + 1], 80), r'^[{_SPACE}]+({word})', 1))"
+    kind = "array<struct<start:int,end:int,instance:string,left:string,right:string,base:boolean>>"
+    word = rf"[^{_SPACE}]++"
+    after = r"^[\x22')\]}>|.,;:!?]++"  # punctuation that belongs to a base span
+
+    def gap(i: str, before: str) -> str:
+        return f"CASE WHEN startswith({before}, '{_MASK}') THEN regexp_replace(_gaps[{i}], r\"{after}\", '') ELSE _gaps[{i}] END"
+
+    def nearest(inside: str, beside: str, word_beside: str) -> str:
+        return f"""lower(CASE WHEN {inside} <> '' THEN {inside} WHEN startswith({beside}, '{_MASK}') THEN '{_MASK}'
+                     ELSE coalesce(regexp_extract({beside}, r'{word_beside}', 0), '') END)"""
+
+    left = nearest(rf"regexp_extract({gap('i', 'get(_matches, i - 1)')}, r'(?<![^{_SPACE}])({word})[{_SPACE}]*+$', 1)", "get(_matches, i - 1)", rf"(?<![^{_SPACE}]){word}$")
+    right = nearest(rf"regexp_extract({gap('i + 1', '_matches[i]')}, r'^[{_SPACE}]*+({word})', 1)", "get(_matches, i + 1)", rf"^{word}")
     found = F.expr(
         f"""aggregate(
               sequence(0, size(_matches) - 1),
@@ -137,20 +167,52 @@ def with_candidates(documents: DataFrame, text: str) -> DataFrame:
                 s.at + length(_gaps[i]) + length(_matches[i]) AS at,
                 concat(s.found, array(struct(
                   s.at + length(_gaps[i]) AS start, s.at + length(_gaps[i]) + length(_matches[i]) AS end,
-                  _matches[i] AS instance, {left} AS left, {right} AS right))) AS found),
+                  CASE WHEN startswith(_matches[i], '{_MASK}') THEN substr(_source, s.at + length(_gaps[i]) + 1, length(_matches[i]))
+                    ELSE _matches[i] END AS instance,
+                  {left} AS left, {right} AS right, startswith(_matches[i], '{_MASK}') AS base))) AS found),
               s -> s.found)"""
     )
-    trimmed = F.transform(
-        F.when(F.size("_matches") > 0, found).otherwise(F.expr(f"cast(array() AS {kind})")),
-        lambda c: F.struct(
-            (c.start + F.length(F.regexp_extract(c.instance, _OPENING, 0))).alias("start"),
-            (c.end - F.length(F.regexp_extract(c.instance, _CLOSING, 0))).alias("end"),
-            F.regexp_replace(F.regexp_replace(c.instance, _OPENING, ""), _CLOSING, "").alias("instance"),
-            c.left.alias("left"),
-            c.right.alias("right"),
-        ),
+    return documents.withColumn(
+        "_candidates", F.when(F.size("_matches") > 0, found).otherwise(F.expr(f"cast(array() AS {kind})"))
+    ).drop("_gaps", "_matches", "_masked", "_source", "_regions")
+
+
+def _trimmed(piece: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(piece, _OPENING, ""), _CLOSING, "")
+
+
+def _words_of_runs(occurrences: DataFrame) -> DataFrame:
+    """A row for each word of a run: its start, it and the ``MOST_WORDS`` words after it, it and those before
+    it, how many words follow, and the words left of it and right of it."""
+    words = occurrences.where(~F.col("base")).withColumn("words", F.split("instance", " "))
+    words = words.withColumn(
+        "starts",
+        F.expr("aggregate(words, struct(start AS at, cast(array() AS array<int>) AS all), (s, w) -> struct(s.at + length(w) + 1 AS at, concat(s.all, array(s.at)) AS all), s -> s.all)"),
+    )
+    each = F.expr(
+        f"""transform(sequence(0, size(words) - 1), i -> struct(
+              starts[i] AS start, slice(words, i + 1, {MOST_WORDS + 1}) AS next, size(words) - i AS rest,
+              slice(words, greatest(0, i - {MOST_WORDS - 1}) + 1, least(i + 1, {MOST_WORDS})) AS last,
+              CASE WHEN i = 0 THEN left ELSE lower(words[i - 1]) END AS left,
+              CASE WHEN i = size(words) - 1 THEN right ELSE lower(words[i + 1]) END AS next_right, right AS right))"""
     )
-    return documents.withColumn("_candidates", F.filter(trimmed, lambda c: c.end > c.start)).drop("_gaps", "_matches")
+    return words.select("_key", "_hash", F.explode(each).alias("w")).select("_key", "_hash", "w.*")
+
+
+def _sub_runs(words: DataFrame) -> DataFrame:
+    """_key, _hash, start, end, instance, left, right of every sub-run."""
+    taken = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), "rest"))))
+    piece = F.array_join(F.expr("slice(next, 1, n)"), " ")
+    taken = taken.withColumn("piece", piece).select(
+        "_key",
+        "_hash",
+        (F.col("start") + F.length(F.regexp_extract("piece", _OPENING, 0))).alias("start"),
+        (F.col("start") + F.length("piece") - F.length(F.regexp_extract(F.regexp_replace("piece", _OPENING, ""), _CLOSING, 0))).alias("end"),
+        _trimmed(F.col("piece")).alias("instance"),
+        "left",
+        F.when(F.col("n") < F.col("rest"), F.lower(F.expr("get(next, n)"))).otherwise(F.col("right")).alias("right"),
+    )
+    return taken.where("instance <> ''")
 
 
 def row_key(key: str, text: str) -> dict[str, Column]:
@@ -174,58 +236,81 @@ def discover(rows: DataFrame, rounds: int, min_support: int, min_confidence: flo
             *(_touches(F.col("c.start"), F.col("c.end"), f"_{k}").alias(f"is_{k}") for k in NAMES),
         )
     )
-    occurrences = materialize(occurrences, "pii-candidates")
-    any_base = F.lit(False)
-    for k in NAMES:
-        any_base = any_base | F.col(f"is_{k}")
-    context = F.array(
-        F.when(F.col("left") != "", F.concat(F.lit("l:"), "left")),
-        F.when(F.col("right") != "", F.concat(F.lit("r:"), "right")),
-        F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("b:"), "left", F.lit(" "), "right")),
+    regions = materialize(
+        occurrences.where("base").groupBy("instance", "left", "right", *(f"is_{k}" for k in NAMES)).agg(F.count("*").alias("n")),
+        "pii-regions",
+    )
+    words = materialize(_words_of_runs(occurrences), "pii-candidates")
+    both = F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("b:"), "left", F.lit(" "), "right"))
+
+    def patterns(left: Column | None, right: Column | None) -> Column:
+        """(pattern, site) of a row; a site begins with how its instances are read."""
+
+        def one(name: str, side: str, site: Column) -> Column:
+            return F.when(F.col(side) != "", F.struct(F.concat(F.lit(name), side).alias("pattern"), site.alias("site")))
+
+        return F.explode(F.array_compact(F.array(one("l:", "left", left), one("r:", "right", right))))
+
+    exact = F.concat(F.lit("="), "instance")
+    # At the right of a word the run goes on or ends; the site is what comes before.
+    beside = words.select("left", F.col("next_right").alias("right"), F.slice("next", 1, MOST_WORDS).alias("next"), "last").select(
+        patterns(F.concat(F.lit("<"), F.array_join("next", " ")), F.concat(F.lit(">"), F.array_join("last", " "))).alias("p"), F.lit(1).alias("n")
     )
-    graph = materialize(
-        occurrences.select("instance", F.explode(F.array_compact(context)).alias("pattern"))
-        .groupBy("pattern", "instance")
-        .agg(F.count("*").alias("n")),
-        "pii-graph",
+    around = F.when(both.isNotNull(), F.struct(both.alias("pattern"), exact.alias("site")))
+    sites = (
+        beside.unionByName(regions.select(patterns(exact, exact).alias("p"), "n"))
+        .unionByName(regions.select(around.alias("p"), "n").where("p is not null"))
+        .unionByName(_sub_runs(words).select(around.alias("p"), F.lit(1).alias("n")).where("p is not null"))
     )
-    looks = F.array_compact(F.array(*(F.when(F.col("instance").rlike(k.looks), k.name) for k in KINDS)))
+    graph = materialize(sites.groupBy("p.pattern", "p.site").agg(F.sum("n").alias("n")), "pii-graph")
     seeds = (
-        occurrences.select("instance", F.explode(F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), k) for k in NAMES)))).alias("kind"))
+        regions.select("instance", F.explode(F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), k) for k in NAMES)))).alias("kind"))
         .distinct()
         .withColumn("score", F.lit(1.0))
     )
+    seeds = materialize(seeds, "pii-seeds")
+    looks = F.array_compact(F.array(*(F.when(F.col("instance").rlike(k.looks), k.name) for k in KINDS)))
+    # The instances of every site; only seeds and what looks like a kind can have a score.
+    parts = F.expr("split(substr(site, 2), ' ')")
+    read = (
+        F.when(F.col("site").startswith("="), F.array(F.expr("substr(site, 2)")))
+        .when(F.col("site").startswith("<"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: _trimmed(F.array_join(F.slice(parts, F.lit(1), k), " "))))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: _trimmed(F.array_join(F.slice(parts, -k, k), " "))))
+    )
+    members = graph.select("site").distinct().select("site", F.explode(F.array_distinct(read)).alias("instance"))
+    is_seed = seeds.select("instance").distinct().withColumn("seed", F.lit(True))
+    members = members.join(is_seed, "instance", "left").withColumn("kinds", looks)
+    members = materialize(members.where("seed or size(kinds) > 0"), "pii-members")
     fresh = materialize(
-        graph.select("instance").distinct().join(seeds.select("instance").distinct(), "instance", "left_anti")
-        .select("instance", F.explode(looks).alias("kind")),
-        "pii-unseen",
+        members.where("seed is null").join(graph, "site").select("pattern", "instance", F.explode("kinds").alias("kind")).distinct(), "pii-unseen"
     )
     totals = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    known = seeds = materialize(seeds, "pii-seeds")
+    known = seeds
     for _ in range(rounds):
+        best_here = (
+            members.select("site", "instance").join(known, "instance").groupBy("site", "kind")
+            .agg(F.max_by("score", F.struct("score", "instance")).alias("score"), F.max_by("instance", F.struct("score", "instance")).alias("instance"))
+        )
         confident = (
-            graph.join(known, "instance")
+            graph.join(best_here, "site")
+            .groupBy("pattern", "kind", "instance")
+            .agg(F.sum(F.col("n") * F.col("score")).alias("own"))
             .groupBy("pattern", "kind")
-            .agg(F.sum(F.col("n") * F.col("score")).alias("own"), F.count("*").alias("support"))
+            .agg(F.sum("own").alias("own"), F.count("*").alias("support"))
             .where(F.col("support") >= min_support)
             .join(totals, "pattern")
             .withColumn("confidence", F.col("own") / F.col("total"))
             .where(F.col("confidence") >= min_confidence)
         )
         scored = (
-            fresh.join(graph, "instance")
-            .join(confident.select("pattern", "kind", "confidence"), ["pattern", "kind"])
+            fresh.join(confident.select("pattern", "kind", "confidence"), ["pattern", "kind"])
             .groupBy("instance", "kind")
             .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
             .where(F.col("score") >= min_score)
         )
         known = materialize(seeds.unionByName(scored), "pii-known")
-    best = (
-        known.join(seeds.select("instance").distinct(), "instance", "left_anti")
-        .groupBy("instance")
-        .agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    )
-    return occurrences.where(~any_base).join(best, "instance").select("_key", "_hash", "kind", "start", "end").distinct()
+    best = known.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    return _sub_runs(words).join(best, "instance").select("_key", "_hash", "kind", "start", "end").distinct()
 
 
 def with_spans(
@@ -243,7 +328,8 @@ def with_spans(
     found = discover(rows, rounds, min_support, min_confidence, min_score)
     number = F.element_at(F.create_map(*(x for k, name in enumerate(NAMES) for x in (F.lit(name), F.lit(k)))), F.col("kind"))
     more = found.groupBy("_key", "_hash").agg(F.collect_set(F.struct(number.alias("kind"), "start", "end")).alias("_more"))
-    more = more.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_more")
+    longest = F.filter("_more", lambda x: ~F.exists("_more", lambda y: (y.start <= x.start) & (y.end >= x.end) & (y.end - y.start > x.end - x.start)))
+    more = more.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), longest.alias("_more"))
     same = rows["_key"].eqNullSafe(F.col("_k")) & (rows["_hash"] == F.col("_h"))
     none = F.expr("cast(array() AS array<struct<kind:int,start:int,end:int>>)")
     return rows.join(more, same, "left").select(

@@ -97,6 +97,24 @@ def test_redaction(spark, letters):
     assert pii.redact(df.limit(0)).count() == 0 and pii.with_spans(df.limit(0)).count() == 0
 
 
+def test_identifiers_beside_other_words_with_digits(spark):
+    rows = [(k, f"reach me by telefon +49 30 55{k:05d} in the morning") for k in range(40)]
+    texts = [
+        "mail bob@x.org, telefon 5551234567 in the morning",
+        "write bob@x.org, 5559876543 in the morning",
+        "my telefon 0301234567 10115 Berlin",
+        "my telefon A0301234567 0307654321 in the morning",
+        "telefon 5551112222, 5553334444 in the morning",
+    ]
+    df = spark.createDataFrame(rows + [(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[100] == "mail [EMAIL], telefon [PHONE] in the morning"
+    assert out[101] == "write [EMAIL], [PHONE] in the morning"
+    assert "0301234567" not in out[102] and out[102].startswith("my telefon [PHONE]")
+    assert "0307654321" not in out[103] and "A0301234567" in out[103]
+    assert out[104] == "telefon [PHONE], [PHONE] in the morning"
+
+
 def test_no_python_on_the_main_path(letters):
     plan = pii.report(pii.with_spans(letters))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
