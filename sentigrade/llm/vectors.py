@@ -12,8 +12,8 @@ linked, and two wholly outside are passed, without products.
 A task returns counts of links and a spanning star of each local component, not the pairs.  The
 representative of a group is the smallest id of its component.
 
-Only vectors of one label, not null, are compared.  Vectors that are null, zero or hold null or
-non-finite components, and vectors whose length differs from the most common one, link with nothing.
+Only vectors of one label, not null, and of one length are compared; each length has centroids of its
+own.  Vectors that are null, zero or hold null or non-finite components link with nothing.
 Repeated ids are rows of their own.  A component's id is the smallest id in it, null only if all are.
 """
 
@@ -87,50 +87,63 @@ def unit_vectors(table: DataFrame, key: str, embedding: str, label: str) -> Data
     return source.mapInArrow(run, f"row long, key {kinds['key']}, label {kinds['label']}, unit binary")
 
 
-def assign(units: DataFrame, centroids: np.ndarray, threshold: float, reach: float) -> DataFrame:
-    """Each vector at home (visit false) and as a visitor of every other cell it must be compared in."""
+def assign(units: DataFrame, centroids: dict[int, np.ndarray], threshold: float, reach: float) -> DataFrame:
+    """Each vector at home (visit false) and as a visitor of every other cell it must be compared in.
+
+    ``centroids``: those of every length in bytes of a unit vector.
+    """
     chord = math.sqrt(2 * (1 - threshold)) * reach
-    apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2) * chord + 1e-9
-    lower = np.tril(np.ones(apart.shape, dtype=bool), -1)
+    apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) * chord + 1e-9 for size, c in centroids.items()}
+    lower = {size: np.tril(np.ones(a.shape, dtype=bool), -1) for size, a in apart.items()}
     kind = units.schema["label"].dataType.simpleString()
 
+    def of_length(size: int, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        vectors = np.stack([np.frombuffer(u, dtype=np.float64) for u in units])
+        dots = vectors @ centroids[size].T
+        home = np.argmax(dots, axis=1)
+        own = dots[np.arange(len(home)), home]
+        row, cell = np.nonzero(lower[size][home] & (own[:, None] - dots <= apart[size][home]))
+        return home, row, cell
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.stack([np.frombuffer(u, dtype=np.float64) for u in batch.column(2).to_pylist()])
-            dots = vectors @ centroids.T
-            home = np.argmax(dots, axis=1)
-            own = dots[np.arange(len(home)), home]
-            visits = lower[home] & (own[:, None] - dots <= apart[home])
-            row, cell = np.nonzero(visits)
-            take = pa.array(np.concatenate([np.arange(len(home)), row]))
-            cells = pa.array(np.concatenate([home, cell]).astype(np.int32))
-            visit = pa.array(np.concatenate([np.zeros(len(home), dtype=bool), np.ones(len(row), dtype=bool)]))
+            units = batch.column(2).to_pylist()
+            sizes = np.array([len(u) for u in units], dtype=np.int32)
+            takes, cells, visits = [], [], []
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                home, row, cell = of_length(size, [units[k] for k in at])
+                takes += [at, at[row]]
+                cells += [home, cell]
+                visits += [np.zeros(len(home), dtype=bool), np.ones(len(row), dtype=bool)]
+            take, lengths = np.concatenate(takes), pa.array(sizes[np.concatenate(takes)])
+            take, cells, visit = pa.array(take), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(visits))
             for start in range(0, len(take), 10_000):
                 part = take.slice(start, 10_000)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(part) for i in range(3)), cells.slice(start, 10_000), visit.slice(start, 10_000)],
-                    ["row", "label", "unit", "cell", "visit"],
+                    [*(batch.column(i).take(part) for i in range(3)), *(c.slice(start, 10_000) for c in (lengths, cells, visit))],
+                    ["row", "label", "unit", "size", "cell", "visit"],
                 )
 
     return units.select("row", "label", "unit").mapInArrow(
-        run, f"row long, label {kind}, unit binary, cell int, visit boolean"
+        run, f"row long, label {kind}, unit binary, size int, cell int, visit boolean"
     )
 
 
 def deal_blocks(assigned: DataFrame, block_rows: int) -> DataFrame:
     """Every vector once for each task, a pair of blocks (a, b), it takes part in; b holds vectors at home."""
     counts = (
-        assigned.groupBy("label", "cell")
+        assigned.groupBy("label", "size", "cell")
         .agg(F.sum((~F.col("visit")).cast("long")).alias("homes"), F.sum(F.col("visit").cast("long")).alias("visits"))
         .select(
-            "label", "cell",
+            "label", "size", "cell",
             F.greatest(F.lit(1), F.ceil(F.col("homes") / block_rows)).cast("int").alias("home_blocks"),
             F.ceil(F.col("visits") / block_rows).cast("int").alias("visit_blocks"),
         )
     )
-    dealt = assigned.join(counts, ["label", "cell"]).withColumn(
+    dealt = assigned.join(counts, ["label", "size", "cell"]).withColumn(
         "block", F.pmod(F.xxhash64("row"), F.when(F.col("visit"), F.col("visit_blocks")).otherwise(F.col("home_blocks")))
     )
     block, homes, visits = F.col("block").cast("int"), F.col("home_blocks"), F.col("visit_blocks")
@@ -147,8 +160,8 @@ def deal_blocks(assigned: DataFrame, block_rows: int) -> DataFrame:
         pairs(visits, lambda i: task(i, block, True)),
     )
     return dealt.select(
-        "row", "label", "cell", "unit", "visit", "block", F.explode(F.when(F.col("visit"), as_visitor).otherwise(at_home)).alias("t")
-    ).select("row", "label", "cell", "unit", "visit", "block", "t.a", "t.b", "t.v")
+        "row", "label", "size", "cell", "unit", "visit", "block", F.explode(F.when(F.col("visit"), as_visitor).otherwise(at_home)).alias("t")
+    ).select("row", "label", "size", "cell", "unit", "visit", "block", "t.a", "t.b", "t.v")
 
 
 def _ball(vectors: np.ndarray) -> tuple[np.ndarray, float]:
@@ -243,6 +256,28 @@ def _compare(threshold: float):
     return run
 
 
+def length_centroids(usable: DataFrame, cell_rows: int, sample_rows: int) -> dict[int, np.ndarray]:
+    """Centroids of every length, fitted on ``sample_rows`` vectors expected of it."""
+    counts = usable.groupBy(F.length("unit").alias("size"), "label").count().groupBy("size")
+    lengths = counts.agg(F.sum("count").alias("rows"), F.max("count").alias("largest")).collect()
+    cells = {r.size: min(MOST_CELLS, max(1, -(-r.largest // cell_rows))) for r in lengths}
+    million = 1_000_000
+    shares = {r.size: min(million, -(-sample_rows * million // r.rows)) for r in lengths if cells[r.size] > 1}
+    samples: dict[int, list] = {size: [] for size in shares}
+    if shares:
+        share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.length("unit"))
+        drawn = usable.where(F.pmod(F.xxhash64(F.lit("cells"), "row"), F.lit(million)) < share).select("row", "unit")
+        for r in drawn.collect():
+            samples[len(r.unit)].append((r.row, bytes(r.unit)))
+    found = {}
+    for size, count in cells.items():
+        if samples.get(size):
+            found[size] = fit_centroids(np.stack([np.frombuffer(u, dtype=np.float64) for _, u in sorted(samples[size])]), count)
+        else:
+            found[size] = np.full((1, size // 8), 1 / math.sqrt(size // 8))
+    return found
+
+
 def near_duplicates(
     table: DataFrame,
     key: str = "vec_id",
@@ -257,22 +292,10 @@ def near_duplicates(
     """Key, ``n_links``, ``component_id`` and ``kept`` of every row."""
     units = materialize(unit_vectors(table, key, embedding, label), "vectors")
     usable = units.where("unit is not null and label is not null")
-    lengths = usable.groupBy(F.length("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = lengths["size"] if lengths else 8
-    usable = usable.where(F.length("unit") == size)
-    largest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    cells = min(MOST_CELLS, max(1, -(-largest // cell_rows)))
-    million = 1_000_000
-    share = min(million, -(-sample_rows * million // max(1, lengths["count"] if lengths else 1)))
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("cells"), "row"), F.lit(million)) < share).select("row", "unit")
-    sample = sorted((r.row, bytes(r.unit)) for r in drawn.collect()) if cells > 1 else []
-    if sample:
-        centroids = fit_centroids(np.stack([np.frombuffer(u, dtype=np.float64) for _, u in sample]), cells)
-    else:
-        centroids = np.full((1, size // 8), 1 / math.sqrt(max(1, size // 8)))
+    centroids = length_centroids(usable, cell_rows, sample_rows)
     tasks = deal_blocks(assign(usable, centroids, threshold, reach), block_rows)
     found = materialize(
-        tasks.groupBy("label", "cell", "v", "a", "b").applyInPandas(_compare(threshold), "row long, links long, other long"),
+        tasks.groupBy("label", "size", "cell", "v", "a", "b").applyInPandas(_compare(threshold), "row long, links long, other long"),
         "vector-links",
     )
     links = found.groupBy("row").agg(F.sum("links").alias("n_links"))

@@ -64,6 +64,23 @@ def test_same_links_as_all_pairs(spark, rows, sizes):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 10, "block_rows": 8}])
+def test_every_length_is_compared(spark, sizes):
+    rng = np.random.default_rng(3)
+    rows = []
+    for width, count in ((16, 60), (5, 20), (3, 1)):
+        for k in range(count):
+            one = rng.normal(size=width).tolist()
+            rows += [(1000 * width + 2 * k, one, k % 2), (1000 * width + 2 * k + 1, [2 * x for x in one], k % 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_duplicates(df.repartition(3), **sizes).collect()}
+    for key, values, label in rows:
+        unit = np.array(values) / np.linalg.norm(values)
+        others = [np.array(v) / np.linalg.norm(v) for k, v, own in rows if k != key and own == label and len(v) == len(values)]
+        assert got[key].n_links == sum(float(unit @ o) >= vectors.THRESHOLD for o in others) > 0
+        assert got[key].component_id <= key - key % 2
+
+
 def test_empty_table(spark, rows):
     df = spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>, label int").limit(0)
     assert vectors.near_duplicates(df).count() == 0
