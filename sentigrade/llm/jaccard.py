@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialize
 from .components import components
@@ -316,10 +317,8 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
 
 
-def near_duplicates(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """Key, ``n_shingles`` and ``component_id`` of every row."""
+def _grouped(documents: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """key, n and cls of every row; cls, smallest key and top, the class that names its component, of every class."""
     described = materialize(describe(documents, key, text, words), "jaccard-documents")
     ranks = cell_ranks(described)
     rows = described.where("slice is null").select("key", "n", F.struct("h1", "h2").alias("cls"))
@@ -370,6 +369,14 @@ def near_duplicates(
         .join(tops, "root", "left")
         .select("cls", "key", F.coalesce("top", "root").alias("top"))
     )
+    return rows, grouped
+
+
+def near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """Key, ``n_shingles`` and ``component_id`` of every row."""
+    rows, grouped = _grouped(documents, key, text, words, percent)
     smallest = grouped.groupBy("top").agg(F.min("key").alias("component_id"))
     component = grouped.join(smallest, "top").select("cls", "component_id")
     return (
@@ -382,18 +389,41 @@ def near_duplicates(
     )
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The document with the smallest key of every component, columns as they are.
+def with_class(rows: DataFrame, text: str, words: int) -> DataFrame:
+    """``rows`` with the size of the set of their text, _size, and its class, _h1 and _h2."""
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("_size", "_h1", "_h2"))])
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(one), *class_of(one)) for one in _sets_of(batch, at, words)]
+            more = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def keep_one(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row of every component, that with the smallest key and class, columns as they are.
 
-    Of rows that repeat that key one stays, the smallest; rows with a null key stay.
+    Of rows that repeat a key and a class the smallest stays; rows with a null key or an empty set stay.
     """
-    found = materialize(near_duplicates(documents, key, text, **settings), "jaccard-kept")
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    repeated = documents.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n")).where("_n > 1 and _kept is not null")
-    repeated = repeated.select("_kept")
-    rows = documents.select(F.struct("*").alias("_doc"), F.col(key).alias("_kept"))  # its columns cannot clash
-    once = rows.join(kept.join(repeated, "_kept", "left_anti"), "_kept", "left_semi").select("_doc")
-    several = rows.join(kept.join(repeated, "_kept", "left_semi"), "_kept", "left_semi")
-    one = several.groupBy("_kept").agg(F.min("_doc").alias("_doc")).select("_doc")
+    described, grouped = _grouped(documents, key, text, words, percent)
+    chosen = grouped.where("key is not null").groupBy("top").agg(F.min(F.struct("key", "cls")).alias("one"))
+    chosen = materialize(chosen.select(F.col("one.key").alias("_kept"), F.col("one.cls.h1").alias("_h1"), F.col("one.cls.h2").alias("_h2")), "jaccard-kept")
+    empty = described.where("n = 0 and key is not null").select(F.col("key").alias("_kept"))
+    repeated = described.where("key is not null").groupBy(F.col("key").alias("_kept")).agg(F.count("*").alias("_n")).where("_n > 1").select("_kept")
+    repeated = materialize(repeated, "jaccard-repeated")
+    # The columns of documents travel in one struct, so none can clash.
+    rows = documents.select(F.struct("*").alias("_doc"), F.col(key).alias("_kept"), F.col(text).cast("string").alias("_text"))
+    alone = chosen.select("_kept").unionByName(empty).join(repeated, "_kept", "left_anti")
+    once = rows.join(alone, "_kept", "left_semi").select("_doc")
+    several = with_class(rows.join(repeated, "_kept", "left_semi").select("_doc", "_kept", "_text"), "_text", words)
+    wordless = several.where("_size = 0").select("_doc")
+    same = ["_kept", "_h1", "_h2"]
+    one = several.where("_size > 0").join(chosen, same, "left_semi").groupBy(*same).agg(F.min("_doc").alias("_doc")).select("_doc")
     unnamed = rows.where("_kept is null").select("_doc")
-    return once.unionByName(one).unionByName(unnamed).select(*(F.col("_doc")[c].alias(c) for c in documents.columns))
+    kept = once.unionByName(one).unionByName(wordless).unionByName(unnamed)
+    return kept.select(*(F.col("_doc")[c].alias(c) for c in documents.columns))

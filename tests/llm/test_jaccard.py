@@ -102,6 +102,13 @@ def test_one_of_each_group_stays(spark, rows):
     assert jaccard.keep_one(df.limit(0)).count() == 0 and jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_other_texts_stay_under_a_repeated_key(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, c), (5, c), (6, b.upper()), (7, ""), (7, ""), (None, a)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (5, c), (7, ""), (7, ""), (None, a)], key=repr)
+
+
 def test_sets_of_words():
     texts = ["", " ", "a", "a b c d e", "A b\x0bC D e ", "x" * 3000 + " é", "a b c d a b c d a b c d"]
     sets = jaccard.shingle_sets(texts)
