@@ -10,8 +10,10 @@ The network is trained at the start on generated pages, whose labels are known b
 layouts, with and without telling tags, filled with words of a bounded sample of the table
 (``SAMPLE_PAGES`` pages).  Training is seeded and single-threaded per page batch, so reruns agree.
 
-Text in head, script, style, noscript, template, textarea, select, svg, iframe and comments is never a
-block.  Null and empty html give an empty text; broken markup is read as far as it goes.  Pages of any
+Text in head, title, script, style, noscript, template, textarea, select, datalist, svg, canvas, iframe
+and comments is never a block.  Script, style, textarea and title without an end tag run to the end of
+the page; the others end with their parent, and a paragraph, list or the like also ends select, datalist
+and svg.  Null and empty html give an empty text; broken markup is read as far as it goes.  Pages of any
 length are read whole; memory is bounded by a group of pages of about ``GROUP_BLOCKS`` blocks or the
 longest page.
 """
@@ -41,11 +43,16 @@ GROUP_BLOCKS = 4000
 
 # --- Blocks -------------------------------------------------------------------------------------
 
-SKIPPED = frozenset("script style noscript template textarea select svg iframe title object canvas math datalist".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript template select datalist svg canvas iframe".split())
+#: Of these, what cannot hold a block; an opening block ends it.
+BLOCKLESS = frozenset("select datalist svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code del dfn em font i img input ins kbd label mark meter nobr output q s samp "
-    "small span strike strong sub sup time tt u var wbr data ruby rt rp link meta".split()
+    "small span strike strong sub sup time tt u var wbr data ruby rt rp link meta object "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_PARAGRAPH = frozenset(
@@ -102,6 +109,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     path: tuple[str, ...] | None = ()  # of the text gathered so far
     linked = links = 0
+    skip: int | None = None  # place in the stack of the outermost skipped element
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -117,7 +125,9 @@ def blocks_of(page: str) -> list[Block]:
         return tuple(word for name, words in stack if name not in ("html", "body") for word in (name, *words))
 
     def pop_to(index: int) -> None:
-        nonlocal links
+        nonlocal links, skip
+        if skip is not None and index <= skip:
+            skip = None
         links -= sum(name == "a" for name, _ in stack[index:])
         del stack[index:]
 
@@ -125,6 +135,8 @@ def blocks_of(page: str) -> list[Block]:
         m = _TOKEN.match(page, at)
         at = m.end()
         if (text := m["text"]) is not None:
+            if skip is not None:
+                continue
             if not parts or path is None:
                 path = where()
             parts.append(text)
@@ -136,20 +148,40 @@ def blocks_of(page: str) -> list[Block]:
         name = m["name"].lower()
         if m["close"]:
             inline = name in INLINE
-            if not inline:
-                flush()
+            found = None
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name or (name in HEADINGS and stack[k][0] in HEADINGS):
-                    pop_to(k)
+                    found = k
                     break
                 if inline and stack[k][0] not in INLINE:
                     break
+            inside = skip is not None and (found is None or found >= skip)
+            if not inline and not inside:
+                flush()
+            if found is not None:
+                pop_to(found)
             continue
-        if name in SKIPPED:
+        if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m["rest"].endswith("/") or name in ("script", "style", "textarea", "title"):
-                at = end.end() if end else size
+            at = end.end() if end else size
             continue
+        if skip is not None and stack[skip][0] in BLOCKLESS and name in CLOSES_PARAGRAPH - {"hr"}:
+            if not any(own == "foreignobject" for own, _ in stack[skip:]):
+                pop_to(skip)
+        if skip is not None or name in SKIPPED:
+            if skip is not None and name in IMPLIED:
+                # A cell, row or item that ends one around the skipped element ends that as well.
+                own, limits = (x.split() for x in IMPLIED[name])
+                outer = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in own or stack[k][0] in limits), None)
+                if outer is not None and outer < skip and stack[outer][0] in own and stack[skip][0] in BLOCKLESS:
+                    flush()
+                    pop_to(skip)
+            if skip is not None or name in SKIPPED:
+                if name not in VOID and not m["rest"].endswith("/"):
+                    if skip is None:
+                        skip = len(stack)
+                    stack.append((name, ()))
+                continue
         if name == "head":
             end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
             # A head that never ends holds only what may stand in a head.

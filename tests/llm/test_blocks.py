@@ -45,6 +45,31 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("name", ["select", "svg", "canvas", "noscript", "template", "datalist", "iframe"])
+def test_skipped_elements_end_with_their_parent(name):
+    assert texts(f"<div><p>a</p><div><{name}>no</div><p>b</p></div>c") == ["a", "b", "c"]
+    assert texts(f"<div>a <{name}>no<b>no</b></{name}> b</div>c") == ["a b", "c"]
+    assert texts(f"<div><{name}>no</div><p>b</p><{name}>no</{name}>c") == ["b", "c"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a <svg><g>no<p>b</p>c", ["a", "b", "c"]),
+        ("<svg><foreignObject><div>no</div></foreignObject></svg>yes", ["yes"]),
+        ("<ul><li>a <select><option>no<li>b</ul>c", ["a", "b", "c"]),
+        ("<table><tr><td><select><option>no<td>b<tr><td>c</table>d", ["b", "c", "d"]),
+        ("<template><template>no</template>no</template>yes", ["yes"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<p>see <object data=f>the file</object> here</p>", ["see the file here"]),
+        ("<p>a <math><mi>x<p>b", ["a x", "b"]),
+        ("<p>a <object>x</p><p>b", ["a x", "b"]),
+    ],
+)
+def test_article_text_stays(page, want):
+    assert texts(page) == want
+
+
 def test_paths():
     page = '<body><div class="mainContent side-bar" id=x1><ul><li><a href=x>abc</a> d</ul></div><p style="display:none">h'
     first, second = blocks.blocks_of(page)
