@@ -1,6 +1,7 @@
 """Folds, TF-IDF, cross-validation, outcome models and saved predictors."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from sentigrade.learning import features, folds, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
 from sentigrade.plans import flows
+from sentigrade.workload import queries_learning
 
 GOOD, BAD = "good great lovely fun", "bad awful boring broken"
 
@@ -27,6 +29,31 @@ def reviews(spark):
     ).withColumn("review_text", F.col("cleaned_text"))
 
 
+@pytest.mark.parametrize("name, models", [("gbt_cv", 1), ("gbt2_cv", 1), ("cv_results", 5)])
+def test_queries_run_five_folds_of_their_models(monkeypatch, name, models):
+    asked = {}
+
+    def run_cv(reviews, path, models, **options):
+        asked.update(options, models=models)
+        raise KeyError
+
+    monkeypatch.setattr(queries_learning, "run_cv", run_cv)
+    monkeypatch.setattr(queries_learning, "scratch_folder", lambda *_: "")
+    monkeypatch.setattr(queries_learning, "labelled", lambda t: None)
+    with pytest.raises(KeyError):
+        getattr(queries_learning, name)(SimpleNamespace(spark=None))
+    assert asked["k"] == 5 and len(set(asked["models"])) == models
+
+
+def test_a_query_leaves_out_one_game_at_a_time(monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries_learning, "stored_matrix", lambda t: None)
+    monkeypatch.setattr(outcomes, "feature_columns", lambda *_: [])
+    monkeypatch.setattr(outcomes, "loo_classify", lambda *a, folds=None, **o: asked.append(folds))
+    queries_learning.tier_loo(None)
+    assert asked == [None]
+
+
 def test_folds_partition_every_label(reviews):
     dealt = folds.stratified_folds(reviews, "row_id", "positive", 5, 1).toPandas()
     sizes = dealt.groupby(["positive", "fold"]).size()
