@@ -227,7 +227,7 @@ WIDTH = PATH_CELLS + LAST_CELLS + WORD_CELLS + FIGURES
 
 @lru_cache(maxsize=20_000)
 def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
-    cells = {zlib.crc32(word.encode()) % PATH_CELLS for word in path[-40:]}
+    cells = {zlib.crc32(word.encode()) % PATH_CELLS for word in path}
     cells |= {PATH_CELLS + zlib.crc32(word.encode() + b"!") % LAST_CELLS for word in path[-2:]}
     return tuple(cells)
 
@@ -250,7 +250,7 @@ def vectors_of(pages: list[list[Block]]) -> list[np.ndarray]:
             size, text = len(block.text), block.text
             row[-FIGURES:] = (
                 math.log1p(size) / 8, min(1.0, block.linked / size), k / max(1, len(page) - 1), 1 / (k + 1), len(page) / (len(page) + 30),
-                text[-1] in ".!?:…。", size < 40, any(c in text for c in "©·|»"), sum(c.isdigit() for c in text[:200]) / min(size, 200),
+                text[-1] in ".!?:…。", size < 40, any(c in text for c in "©·|»"), sum(c.isdigit() for c in text) / size,
             )
             at += 1
     cuts = np.cumsum([len(page) for page in pages])

@@ -77,6 +77,14 @@ def test_paths():
     assert second.path == ("p", ".hidden")
 
 
+def test_vectors_hold_the_whole_path_and_text():
+    deep = "".join(f'<div class="{" ".join(chr(97 + k) + chr(97 + j) for j in range(8))}">' for k in range(8))
+    a, b = (blocks.vectors_of([blocks.blocks_of(f"<{outer}>{deep}text")])[0] for outer in ("nav", "main"))
+    assert (a != b).any()
+    page = blocks.blocks_of("<p>" + "x" * 300 + "7" * 100)
+    assert blocks.vectors_of([page])[0][0, -1] == 0.25
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = blocks.Labeller.fresh(1)
