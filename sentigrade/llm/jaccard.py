@@ -10,9 +10,9 @@ class, named by a 128-bit hash of the set, and only classes are compared.
    Shuffled by shingle, those of one class only are dropped, and each row learns the bucket's centre,
    the class whose prefix holds the shingle earliest.
 3. First round: every class is paired with the centres of its buckets, which is linear in the rows.
-   Second round: in buckets whose classes are still in different components, all pairs across
-   components are formed.  Pairs inside a component are never formed, so a group of near copies costs
-   no square; no link that could join two components is missed.
+   Second round: in buckets whose classes are still in different components, the components are paired,
+   then the rows of each pair.  Rows of one component never meet in that join, so a group of near copies
+   costs no square; no link that could join two components is missed.
 4. Pairs pass the length, positional and suffix filters, and each is verified once on its whole sets.
 
 The positional filter bounds the overlap by what follows the shared shingle on the shorter side.  The
@@ -313,6 +313,27 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(linked).select("u", "v").distinct()
 
 
+def root_pairs(open_rows: DataFrame) -> DataFrame:
+    """token, l_root and r_root of every two components that share a token."""
+    groups = open_rows.select("token", "root").distinct()
+    left, right = (groups.select("token", F.col("root").alias(f"{side}_root")) for side in "lr")
+    return left.join(right, "token").where(F.col("l_root") < F.col("r_root"))
+
+
+def across_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of different components that may link: rows meet by token and component, so
+    those of one component never do."""
+    left, right = (open_rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in open_rows.columns[1:])) for side in "lr")
+    return (
+        root_pairs(open_rows)
+        .join(left, ["token", "l_root"])
+        .join(right, ["token", "r_root"])
+        .where(may_link(percent, "l_", "r_"))
+        .select(F.least("l_cls", "r_cls").alias("u"), F.greatest("l_cls", "r_cls").alias("v"))
+        .distinct()
+    )
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
 
@@ -338,15 +359,7 @@ def _grouped(documents: DataFrame, key: str, text: str, words: int, percent: int
     open_rows = materialize(
         rooted.join(mixed, "token", "left_semi").select("token", "cls", "root", "n", "rest", "parts"), "jaccard-open"
     )
-    left = open_rows.select("token", *(F.col(c).alias(f"l_{c}") for c in open_rows.columns[1:]))
-    right = open_rows.select("token", *(F.col(c).alias(f"r_{c}") for c in open_rows.columns[1:]))
-    across = (
-        left.join(right, "token")
-        .where((F.col("l_root") < F.col("r_root")) & may_link(percent, "l_", "r_"))
-        .select(F.least("l_cls", "r_cls").alias("u"), F.greatest("l_cls", "r_cls").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
-    )
+    across = across_pairs(open_rows, percent).join(first, ["u", "v"], "left_anti")
     across = materialize(across, "jaccard-across")
     unseen = classes.join(ends(across), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
     if not unseen.isEmpty():

@@ -109,6 +109,15 @@ def test_rows_of_other_texts_stay_under_a_repeated_key(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (5, c), (7, ""), (7, ""), (None, a)], key=repr)
 
 
+def test_rows_of_one_component_never_meet(spark):
+    kind = "token long, cls struct<h1:long,h2:long>, root struct<h1:long,h2:long>, n long, rest long, parts long"
+    rows = [(1, (k, 0), (0, 0), 10, 9, 0) for k in range(300)] + [(1, (1000, 0), (1000, 0), 10, 9, 0)]
+    open_rows = spark.createDataFrame(rows, kind)
+    assert jaccard.root_pairs(open_rows).count() == 1
+    found = jaccard.across_pairs(open_rows, 85)
+    assert sorted((r.u.h1, r.v.h1) for r in found.collect()) == [(k, 1000) for k in range(300)]
+
+
 def test_sets_of_words():
     texts = ["", " ", "a", "a b c d e", "A b\x0bC D e ", "x" * 3000 + " é", "a b c d a b c d a b c d"]
     sets = jaccard.shingle_sets(texts)
