@@ -9,10 +9,12 @@ class, named by a 128-bit hash of the set, and only classes are compared.
 2. A second pass emits the prefix of each class: the first n - ceil(t n) + 1 shingles in that order.
    Shuffled by shingle, those of one class only are dropped, and each row learns the bucket's centre,
    the class whose prefix holds the shingle earliest.
-3. First round: every class is paired with the centres of its buckets, which is linear in the rows.
-   Second round: in buckets whose classes are still in different components, the components are paired,
-   then the rows of each pair.  Rows of one component never meet in that join, so a group of near copies
-   costs no square; no link that could join two components is missed.
+3. First round: every class is paired with the centres of its buckets.  Further rounds, until one adds
+   no link: in buckets whose classes are still in different components every row is paired with the first
+   rows of a few components.  These rounds are linear in the rows.
+   Last: what stays open is cut by set size and into blocks, and rows of different components are tested
+   against each other where they meet.  Only pairs that pass all filters become rows, so unrelated
+   components of a common bucket cost no pairs, and no link that could join two components is missed.
 4. Pairs pass the length, positional and suffix filters, and each is verified once on its whole sets.
 
 The positional filter bounds the overlap by what follows the shared shingle on the shorter side.  The
@@ -25,7 +27,8 @@ there is none.  Memory is bounded by a portion of texts or the longest one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,11 @@ SHINGLE = 4
 PERCENT = 85
 CELLS = 1 << 22
 SLICES = 64
+CENTRES = 8
+BLOCK = 4096
+HOT_PARTS = 256
+BUCKET_ROW = ["h1", "h2", "r1", "r2", "n", "rest", "parts", "visit", "block"]
+ROOT, N, REST, PARTS, VISIT, BLOCK_AT = 2, 4, 5, 6, 7, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xFF51AFD7ED558CCD)
 _SPACE = np.zeros(256, dtype=bool)
@@ -313,24 +321,131 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(linked).select("u", "v").distinct()
 
 
-def root_pairs(open_rows: DataFrame) -> DataFrame:
-    """token, l_root and r_root of every two components that share a token."""
-    groups = open_rows.select("token", "root").distinct()
-    left, right = (groups.select("token", F.col("root").alias(f"{side}_root")) for side in "lr")
-    return left.join(right, "token").where(F.col("l_root") < F.col("r_root"))
+def _survivors(table: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which positions (left, right) of bucket rows belong to different components and pass the three filters."""
+    n, rest = table[:, N], table[:, REST]
+    good = ((table[left, ROOT] != table[right, ROOT]) | (table[left, ROOT + 1] != table[right, ROOT + 1])) & (
+        100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+    )
+    least = -(-percent * (n[left] + n[right]) // (100 + percent))
+    at = np.flatnonzero(good & (np.minimum(rest[left], rest[right]) + 1 >= least))
+    left, right, least = left[at], right[at], least[at]
+    parts = np.ascontiguousarray(table[:, PARTS]).view(np.uint8).reshape(-1, 8).astype(np.int16)
+    differ = np.abs(parts[left] - parts[right]).sum(axis=1)
+    keep = (rest[left] + rest[right] - differ) // 2 + 1 >= least
+    found = np.zeros(len(good), dtype=bool)
+    found[at[keep]] = True
+    return found
+
+
+def _of_buckets(rows: DataFrame, keys: list[str], pairs_of: Callable[[np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """Pairs (u, v) that ``pairs_of`` finds in the bucket rows of equal keys.
+
+    ``pairs_of`` takes a table of whole groups, sorted, with the number of each row's group, and yields
+    positions (left, right).  A task holds a few thousand rows at a time, or one group.
+    """
+    names = [*keys, *BUCKET_ROW]
+    flat = rows.select(*keys, "cls.*", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"), "n", "rest", "parts", "visit", "block")
+    dealt = flat.repartition(*keys).sortWithinPartitions(*keys, "n", "h1", "h2").select(*(F.col(c).cast("long") for c in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(names)), dtype=np.int64)
+
+        def found(table: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            body = np.ascontiguousarray(table[:, len(keys) :])
+            for left, right in pairs_of(body, group):
+                both = np.concatenate([body[left, :2], body[right, :2]], axis=1)
+                swap = (both[:, 0] > both[:, 2]) | ((both[:, 0] == both[:, 2]) & (both[:, 1] > both[:, 3]))
+                both[swap] = both[swap][:, [2, 3, 0, 1]]
+                both = np.unique(both, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], ["u1", "u2", "v1", "v2"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
+            if not len(held):
+                continue
+            begin = np.append(True, (held[1:, : len(keys)] != held[:-1, : len(keys)]).any(axis=1))
+            last = np.flatnonzero(begin)[-1]  # the last group may go on
+            if last:
+                yield from found(held[:last], np.cumsum(begin[:last]) - 1)
+                held = held[last:]
+        if len(held):
+            yield from found(held, np.zeros(len(held), dtype=np.int64))
+
+    found = dealt.mapInArrow(run, "u1 long, u2 long, v1 long, v2 long")
+    named = [F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")).alias(c) for c in "uv"]
+    return found.select(*named).distinct()
+
+
+def centre_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a row with the first rows of up to ``CENTRES`` components of its block of a bucket: linear in the rows."""
+    piece = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil(F.col("bucket") / BLOCK)))
+    rows = open_rows.withColumns({"visit": F.lit(0), "block": F.lit(-1), "piece": piece})
+
+    def run(table: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.lexsort((table[:, ROOT + 1], table[:, ROOT], group))
+        by = np.stack([group[order], table[order, ROOT], table[order, ROOT + 1]], 1)
+        firsts = np.sort(order[np.append(True, (by[1:] != by[:-1]).any(axis=1))])  # of every component in a group
+        starts = np.searchsorted(group[firsts], np.arange(group[-1] + 1))
+        ends = np.append(starts[1:], len(firsts))
+        for k in range(CENTRES):
+            left = np.flatnonzero((starts + k < ends)[group])
+            if not len(left):
+                break
+            right = firsts[starts[group[left]] + k]
+            keep = _survivors(table, left, right, percent)
+            if keep.any():
+                yield left[keep], right[keep]
+
+    return _of_buckets(rows, ["token", "piece"], run)
 
 
 def across_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes of different components that may link: rows meet by token and component, so
-    those of one component never do."""
-    left, right = (open_rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in open_rows.columns[1:])) for side in "lr")
-    return (
-        root_pairs(open_rows)
-        .join(left, ["token", "l_root"])
-        .join(right, ["token", "r_root"])
-        .where(may_link(percent, "l_", "r_"))
-        .select(F.least("l_cls", "r_cls").alias("u"), F.greatest("l_cls", "r_cls").alias("v"))
-        .distinct()
+    """All pairs (u, v) of classes of different components that share a bucket and pass the filters.
+
+    A bucket is cut into bands of set size as wide as the length filter, so a row meets its own band and
+    that above it; a band of more than ``BLOCK`` rows is cut into blocks, each pair of blocks a group of
+    its own.  The filters are applied where the rows meet: only pairs that pass become rows.
+    """
+    width = math.log(1.0001 * 100 / percent)
+    band = F.floor(F.log("n") / width)
+    rows = open_rows.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("visit")), F.struct((band + 1).alias("band"), F.lit(1).alias("visit")))).alias("b"))
+    rows = rows.select("token", "cls", "root", "n", "rest", "parts", "b.band", "b.visit")
+    counts = rows.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("visit").alias("low"))
+    useful = counts.where("rows > 1 and low = 0").select("token", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("a"), F.greatest(i, F.col("block")).alias("b"))
+    )
+    dealt = rows.join(useful, ["token", "band"]).withColumn("block", block).withColumn("t", F.explode(tasks))
+    dealt = dealt.select("token", "band", "t.a", "t.b", "cls", "root", "n", "rest", "parts", "visit", F.when(F.col("t.a") == F.col("t.b"), -1).otherwise(F.col("block")).alias("block"))
+
+    def run(table: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        end = np.searchsorted(group, group, side="right")
+        n, visit, block = table[:, N], table[:, VISIT], table[:, BLOCK_AT]
+        left, step = np.arange(len(table)), 0
+        while True:
+            step += 1
+            left = left[left + step < end[left]]
+            left = left[100 * n[left] >= percent * n[left + step]]  # sets only grow to the right
+            if not len(left):
+                return
+            right = left + step
+            # Within one block (-1) all rows meet, in a pair of blocks those of different ones.
+            at = np.flatnonzero((visit[left] + visit[right] < 2) & ((block[left] < 0) | (block[left] != block[right])))
+            at = at[_survivors(table, left[at], right[at], percent)]
+            if len(at):
+                yield left[at], right[at]
+
+    return _of_buckets(dealt, ["token", "band", "a", "b"], run)
+
+
+def open_buckets(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows, with their root, of buckets that hold several components; ``bucket`` counts the bucket's rows."""
+    rooted = live.join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("bucket"))
+    return rooted.join(mixed.where("low <> high").select("token", "bucket"), "token").select(
+        "token", "cls", "root", "n", "rest", "parts", "bucket"
     )
 
 
@@ -345,55 +460,67 @@ def _grouped(documents: DataFrame, key: str, text: str, words: int, percent: int
     rows = described.where("slice is null").select("key", "n", F.struct("h1", "h2").alias("cls"))
     live = materialize(shared(prefixes(documents, key, text, words, percent, ranks)), "jaccard-prefixes")
     live = live.withColumns({"cls": F.struct("h1", "h2"), "c_cls": F.struct(F.col("c_h1").alias("h1"), F.col("c_h2").alias("h2"))})
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.count("*").alias("rows"))
     first = live.where((F.col("cls") != F.col("c_cls")) & may_link(percent, "", "c_")).select(
         F.least("cls", "c_cls").alias("u"), F.greatest("cls", "c_cls").alias("v")
     )
     first = materialize(first.distinct(), "jaccard-pairs")
     sets = materialize(whole_sets(documents, classes.join(ends(first), "cls", "left_semi"), key, text, words), "jaccard-sets")
     links = materialize(verify(first, sets, percent), "jaccard-links")
-    roots = components(links, "jaccard-components").withColumnRenamed("u", "cls")
-
-    rooted = live.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_rows = materialize(
-        rooted.join(mixed, "token", "left_semi").select("token", "cls", "root", "n", "rest", "parts"), "jaccard-open"
-    )
-    across = across_pairs(open_rows, percent).join(first, ["u", "v"], "left_anti")
-    across = materialize(across, "jaccard-across")
-    unseen = classes.join(ends(across), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
-    if not unseen.isEmpty():
-        sets = sets.unionByName(materialize(whole_sets(documents, unseen, key, text, words), "jaccard-sets"))
-    more = materialize(verify(across, sets, percent), "jaccard-more")
-    of_root = roots.withColumnRenamed("cls", "c")
-
-    def contracted(name: str) -> Column:
-        return F.coalesce(F.col(f"{name}_root"), F.col(name)).alias(name)
-
-    merged = (
-        more.join(of_root.select(F.col("c").alias("u"), F.col("root").alias("u_root")), "u", "left")
-        .join(of_root.select(F.col("c").alias("v"), F.col("root").alias("v_root")), "v", "left")
-        .select(contracted("u"), contracted("v"))
-    )
-    tops = components(merged, "jaccard-merged").select(F.col("u").alias("root"), F.col("root").alias("top"))
-    grouped = (
-        classes.join(roots, "cls", "left")
-        .withColumn("root", F.coalesce("root", "cls"))
-        .join(tops, "root", "left")
-        .select("cls", "key", F.coalesce("top", "root").alias("top"))
-    )
+    roots = components(links, "jaccard-components")
+    checked = first
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        unseen = classes.join(ends(pairs), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
+        if not unseen.isEmpty():
+            sets = sets.unionByName(materialize(whole_sets(documents, unseen, key, text, words), "jaccard-sets"))
+        return materialize(verify(pairs, sets, percent), "jaccard-more")
+
+    def merged(links: DataFrame) -> DataFrame:
+        return components(roots.select("u", F.col("root").alias("v")).unionByName(links), "jaccard-merged")
+
+    while True:  # rounds of linear cost, until one adds no link
+        open_rows = materialize(open_buckets(live, roots), "jaccard-open")
+        pairs = materialize(centre_pairs(open_rows, percent).join(checked, ["u", "v"], "left_anti"), "jaccard-centres")
+        if pairs.isEmpty():
+            break
+        checked = checked.unionByName(pairs)
+        more = confirm(pairs)
+        if more.isEmpty():
+            break
+        roots = merged(more)
+    pairs = materialize(across_pairs(open_rows, percent).join(checked, ["u", "v"], "left_anti"), "jaccard-across")
+    if not pairs.isEmpty():
+        roots = merged(confirm(pairs))
+    tops = roots.withColumnRenamed("u", "cls")
+    grouped = classes.join(tops, "cls", "left").select("cls", "key", "rows", F.coalesce("root", "cls").alias("top"))
     return rows, grouped
 
 
+def spread_lookup(rows: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """``rows`` left-joined to ``classes`` by cls, classes of more than a ``parts``-th of all rows in ``parts`` pieces.
+
+    There are fewer than ``parts`` such classes, so their list may be sent to every task.
+    """
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    hot = classes.where(F.col("rows") * parts > F.lit(total)).select("cls", F.lit(True).alias("hot"))
+    classes, hot = classes.drop("rows"), F.broadcast(hot)
+    pieces = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    many = classes.join(hot, "cls", "left").withColumn("piece", F.explode(pieces)).drop("hot")
+    piece = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0)
+    return rows.join(hot, "cls", "left").withColumn("piece", piece).drop("hot").join(many, ["cls", "piece"], "left").drop("piece")
+
+
 def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` of every row."""
     rows, grouped = _grouped(documents, key, text, words, percent)
     smallest = grouped.groupBy("top").agg(F.min("key").alias("component_id"))
-    component = grouped.join(smallest, "top").select("cls", "component_id")
+    component = grouped.join(smallest, "top").select("cls", "rows", "component_id")
     return (
-        rows.join(component, "cls", "left")
+        spread_lookup(rows, component, HOT_PARTS)
         .select(
             F.col("key").alias(key),
             F.col("n").alias("n_shingles"),

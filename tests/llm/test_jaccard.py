@@ -109,13 +109,56 @@ def test_rows_of_other_texts_stay_under_a_repeated_key(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (5, c), (7, ""), (7, ""), (None, a)], key=repr)
 
 
-def test_rows_of_one_component_never_meet(spark):
-    kind = "token long, cls struct<h1:long,h2:long>, root struct<h1:long,h2:long>, n long, rest long, parts long"
-    rows = [(1, (k, 0), (0, 0), 10, 9, 0) for k in range(300)] + [(1, (1000, 0), (1000, 0), 10, 9, 0)]
-    open_rows = spark.createDataFrame(rows, kind)
-    assert jaccard.root_pairs(open_rows).count() == 1
-    found = jaccard.across_pairs(open_rows, 85)
-    assert sorted((r.u.h1, r.v.h1) for r in found.collect()) == [(k, 1000) for k in range(300)]
+OPEN = "token long, cls struct<h1:long,h2:long>, root struct<h1:long,h2:long>, n long, rest long, parts long, bucket long"
+
+
+def found(pairs):
+    return sorted((r.u.h1, r.v.h1) for r in pairs.collect())
+
+
+def test_rows_of_one_component_never_pair(spark):
+    rows = [(1, (k, 0), (0, 0), 10, 9, 0, 301) for k in range(300)] + [(1, (1000, 0), (1000, 0), 10, 9, 0, 301)]
+    open_rows = spark.createDataFrame(rows, OPEN).repartition(3)
+    assert found(jaccard.across_pairs(open_rows, 85)) == [(k, 1000) for k in range(300)]
+    assert found(jaccard.centre_pairs(open_rows, 85)) == [(k, 1000) for k in range(300)]
+
+
+def passes(a, b, percent):
+    (_, _, r, n, rest, parts, _), (_, _, s, m, other, more, _) = a, b
+    least = -(-percent * (n + m) // (100 + percent))
+    differ = sum(abs((parts >> 8 * k & 255) - (more >> 8 * k & 255)) for k in range(8))
+    sizes = 100 * min(n, m) >= percent * max(n, m)
+    return r != s and sizes and min(rest, other) + 1 >= least and (rest + other - differ) // 2 + 1 >= least
+
+
+@pytest.mark.parametrize("block, batch", [(4096, 10_000), (7, 10_000), (16, 5)])
+def test_rows_across_components_pair_where_the_filters_pass(spark, monkeypatch, block, batch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for token in range(4):
+        for k in range(60):
+            n = rng.randint(1, 30)
+            rest = n - 1 - rng.randint(0, n - jaccard.least_overlap(n, 60))
+            parts = sum(rng.choice((rest // 8, 1 + rest // 8)) << 8 * j for j in range(8))
+            rows.append((token, (100 * token + k, 0), (rng.randrange(9), 0), n, rest, parts, 60))
+    before = spark.conf.get(MANY)
+    spark.conf.set(MANY, batch)
+    try:
+        open_rows = spark.createDataFrame(rows, OPEN).repartition(3)
+        want = sorted((a[1][0], b[1][0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and passes(a, b, 60))
+        assert len(want) > 50 and found(jaccard.across_pairs(open_rows, 60)) == want
+        some = found(jaccard.centre_pairs(open_rows, 60))
+        assert some and set(some) <= set(want)
+    finally:
+        spark.conf.set(MANY, before)
+
+
+def test_a_hot_class_is_looked_up_in_pieces(spark):
+    rows = spark.createDataFrame([(k, 1, (7, 7)) for k in range(900)] + [(k, 1, (k, 0)) for k in range(900, 1000)] + [(1, 0, (5, 5))], "key long, n long, cls struct<h1:long,h2:long>")
+    classes = rows.where("n > 0").groupBy("cls").agg(jaccard.F.count("*").alias("rows")).withColumn("c", jaccard.F.col("cls.h1"))
+    got = jaccard.spread_lookup(rows, classes, 8).collect()
+    assert len(got) == 1001 and all(r.c == (r.cls.h1 if r.n else None) for r in got)
 
 
 def test_sets_of_words():
