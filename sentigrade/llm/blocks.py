@@ -13,9 +13,10 @@ layouts, with and without telling tags, filled with words of a bounded sample of
 Text in head, title, script, style, noscript, template, textarea, select, datalist, svg, canvas, iframe
 and comments is never a block.  Script, style, textarea and title without an end tag run to the end of
 the page; the others end with their parent, and a paragraph, list or the like also ends select, datalist
-and svg.  Null and empty html give an empty text; broken markup is read as far as it goes.  Pages of any
-length are read whole; memory is bounded by a group of pages of about ``GROUP_BLOCKS`` blocks or the
-longest page.
+and svg.  Null and empty html give an empty text; broken markup is read as far as it goes.  Repeated rows
+and ids are rows of their own, an empty table gives no rows, and only id, url and html are read, so further
+columns and their names don't matter.  Pages of any length and depth are read whole, in time and memory in
+proportion to them; memory is bounded by a group of pages of about ``GROUP_BLOCKS`` blocks or the longest page.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import html as entities
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -70,24 +72,114 @@ IMPLIED = {
     "option": ("option", "select"),
 }
 
+# Quotes count only directly behind an equals sign; elsewhere they are letters of a name or value.
+_VALUE = r"""(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)"""
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*+)))?+""")
 _PART = re.compile(r"[a-z]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+PATH_CELLS = 256
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+_BEHIND_HEAD = re.compile(r"</head\s*>|<body[\s>]", re.I)
+
+
+@lru_cache(maxsize=20_000)
+def _cell(word: str) -> int:
+    return zlib.crc32(word.encode()) % PATH_CELLS
+
+
+class Element:
+    """An open element.  Elements below share it, so a path costs one step however deep it is.
+
+    ``mask`` holds the hash cells of all words on the path as bits, ``last`` its last two words.
+    """
+
+    __slots__ = ("name", "parent", "words", "mask", "last", "link")
+
+    def __init__(self, name: str, parent: Element | None, words: tuple[str, ...] = (), link: bool = False):
+        self.name, self.parent, self.link = name, parent, link
+        self.words = () if name in ("html", "body") else (name, *words)
+        self.mask, self.last = (parent.mask, parent.last) if parent else (0, ())
+        for word in self.words:
+            self.mask |= 1 << _cell(word)
+        self.last = (*self.last, *self.words)[-2:]
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        found, element = [], self
+        while element:
+            found.append(element.words)
+            element = element.parent
+        return tuple(word for words in reversed(found) for word in words)
+
+
+class Open:
+    """The stack of open elements, with the places of each name, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.links = 0
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else ROOT
+
+    def push(self, name: str, words: tuple[str, ...] = (), link: bool = False) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.block_places.append(len(self.stack))
+        self.stack.append(Element(name, self.top, words, link))
+        self.links += link
+
+    def pop_to(self, index: int) -> None:
+        while len(self.stack) > index:
+            element = self.stack.pop()
+            self.places[element.name].pop()
+            if element.name not in INLINE:
+                self.block_places.pop()
+            self.links -= element.link
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost element of these names, -1 if none is open."""
+        return max((own[-1] for name in names if (own := self.places.get(name))), default=-1)
+
+    def first_behind(self, place: int, *names: str) -> int:
+        """Place of the outermost element of these names behind ``place``, -1 if there is none."""
+        found = []
+        for name in names:
+            own = self.places.get(name, [])
+            at = bisect_right(own, place)
+            found += own[at : at + 1]
+        return min(found, default=-1)
+
+    @property
+    def last_block(self) -> int:
+        return self.block_places[-1] if self.block_places else -1
+
+
+ROOT = Element("html", None)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    element: Element
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.element.path
+
 
 def _words_of_attributes(rest: str) -> tuple[str, ...]:
     if not rest or rest.isspace():
@@ -105,31 +197,27 @@ def _words_of_attributes(rest: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = Open()
     parts: list[str] = []
-    path: tuple[str, ...] | None = ()  # of the text gathered so far
-    linked = links = 0
+    element = ROOT  # of the text gathered so far
+    linked = 0
     skip: int | None = None  # place in the stack of the outermost skipped element
-    at, size = 0, len(page)
+    at, size, heads = 0, len(page), True
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(path or (), text, linked))
+                out.append(Block(element, text, linked))
             parts.clear()
         linked = 0
 
-    def where() -> tuple[str, ...]:
-        return tuple(word for name, words in stack if name not in ("html", "body") for word in (name, *words))
-
     def pop_to(index: int) -> None:
-        nonlocal links, skip
+        nonlocal skip
         if skip is not None and index <= skip:
             skip = None
-        links -= sum(name == "a" for name, _ in stack[index:])
-        del stack[index:]
+        opened.pop_to(index)
 
     while at < size:
         m = _TOKEN.match(page, at)
@@ -137,10 +225,10 @@ def blocks_of(page: str) -> list[Block]:
         if (text := m["text"]) is not None:
             if skip is not None:
                 continue
-            if not parts or path is None:
-                path = where()
+            if not parts:
+                element = opened.top
             parts.append(text)
-            if links:
+            if opened.links:
                 linked += len(text)
             continue
         if m["name"] is None:
@@ -148,88 +236,75 @@ def blocks_of(page: str) -> list[Block]:
         name = m["name"].lower()
         if m["close"]:
             inline = name in INLINE
-            found = None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name or (name in HEADINGS and stack[k][0] in HEADINGS):
-                    found = k
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
-            inside = skip is not None and (found is None or found >= skip)
+            found = opened.last(*HEADINGS) if name in HEADINGS else opened.last(name)
+            if inline and found < opened.last_block:
+                found = -1
+            inside = skip is not None and (found < 0 or found >= skip)
             if not inline and not inside:
                 flush()
-            if found is not None:
+            if found >= 0:
                 pop_to(found)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _END_OF[name].search(page, at)
             at = end.end() if end else size
             continue
-        if skip is not None and stack[skip][0] in BLOCKLESS and name in CLOSES_PARAGRAPH - {"hr"}:
-            if not any(own == "foreignobject" for own, _ in stack[skip:]):
+        if skip is not None and opened.stack[skip].name in BLOCKLESS and name in CLOSES_PARAGRAPH - {"hr"}:
+            if opened.last("foreignobject") < skip:
                 pop_to(skip)
         if skip is not None or name in SKIPPED:
             if skip is not None and name in IMPLIED:
                 # A cell, row or item that ends one around the skipped element ends that as well.
                 own, limits = (x.split() for x in IMPLIED[name])
-                outer = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in own or stack[k][0] in limits), None)
-                if outer is not None and outer < skip and stack[outer][0] in own and stack[skip][0] in BLOCKLESS:
+                outer = opened.last(*own)
+                if opened.last(*limits) < outer < skip and opened.stack[skip].name in BLOCKLESS:
                     flush()
                     pop_to(skip)
             if skip is not None or name in SKIPPED:
                 if name not in VOID and not m["rest"].endswith("/"):
                     if skip is None:
-                        skip = len(stack)
-                    stack.append((name, ()))
+                        skip = len(opened.stack)
+                    opened.push(name)
                 continue
         if name == "head":
-            end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
             # A head that never ends holds only what may stand in a head.
+            end = _BEHIND_HEAD.search(page, at) if heads else None
+            heads = end is not None
             if end:
                 at = end.start()
             continue
         if name == "br":
+            if not parts:
+                element = opened.top
             parts.append(" ")
-            if len(parts) == 1:
-                path = where()
             continue
         if name not in INLINE:
             flush()
-            if name in CLOSES_PARAGRAPH:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+            if name in CLOSES_PARAGRAPH and (last := opened.last_block) >= 0 and opened.stack[last].name == "p":
+                pop_to(last)
             if name in IMPLIED:
                 own, limits = (x.split() for x in IMPLIED[name])
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in limits:
-                        break
-                    if stack[k][0] in own:
-                        pop_to(k)
-                        if name != "tr":
-                            break
+                limit = opened.last(*limits)
+                ended = opened.first_behind(limit, *own) if name == "tr" else opened.last(*own)
+                if ended > limit:
+                    pop_to(ended)
         if name in VOID or m["rest"].endswith("/"):
             continue
-        stack.append((name, _words_of_attributes(m["rest"])))
-        links += name == "a"
+        opened.push(name, _words_of_attributes(m["rest"]), name == "a")
     flush()
     return out
 
 
 # --- Vectors ------------------------------------------------------------------------------------
 
-PATH_CELLS, LAST_CELLS, WORD_CELLS, FIGURES = 256, 64, 64, 9
+LAST_CELLS, WORD_CELLS, FIGURES = 64, 64, 9
 WIDTH = PATH_CELLS + LAST_CELLS + WORD_CELLS + FIGURES
 
 
-@lru_cache(maxsize=20_000)
-def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
-    cells = {zlib.crc32(word.encode()) % PATH_CELLS for word in path}
-    cells |= {PATH_CELLS + zlib.crc32(word.encode() + b"!") % LAST_CELLS for word in path[-2:]}
-    return tuple(cells)
+def _path_row(element: Element, row: np.ndarray) -> None:
+    row[:PATH_CELLS] = np.unpackbits(np.frombuffer(element.mask.to_bytes(PATH_CELLS // 8, "little"), dtype=np.uint8), bitorder="little")
+    for word in element.last:
+        row[PATH_CELLS + zlib.crc32(word.encode() + b"!") % LAST_CELLS] = 1
 
 
 def vectors_of(pages: list[list[Block]]) -> list[np.ndarray]:
@@ -246,7 +321,7 @@ def vectors_of(pages: list[list[Block]]) -> list[np.ndarray]:
     for page in pages:
         for k, block in enumerate(page):
             row = out[at]
-            row[list(_path_cells(block.path))] = 1
+            _path_row(block.element, row)
             size, text = len(block.text), block.text
             row[-FIGURES:] = (
                 math.log1p(size) / 8, min(1.0, block.linked / size), k / max(1, len(page) - 1), 1 / (k + 1), len(page) / (len(page) + 30),
@@ -295,7 +370,7 @@ class Labeller:
             mirror[: len(page), k] = np.arange(len(page))[::-1]
         return x, mirror
 
-    def _read(self, x: np.ndarray, side: str):
+    def _read(self, x: np.ndarray, side: str, keep: bool = True):
         projected = x @ self.weights[f"x{side}"] + self.weights[f"b{side}"]
         recurrent, n = self.weights[f"h{side}"], HIDDEN
         h = np.zeros((x.shape[1], n), dtype=np.float32)
@@ -309,7 +384,8 @@ class Labeller:
             before = c
             c = gates[:, n : 2 * n] * before + gates[:, :n] * new
             bent = np.tanh(c)
-            kept.append((h, before, gates, new, bent))
+            if keep:
+                kept.append((h, before, gates, new, bent))
             h = gates[:, 3 * n :] * bent
             states[t] = h
         return states, kept
@@ -346,6 +422,12 @@ class Labeller:
         score = both @ self.weights["out"] + x @ self.weights["direct"] + self.weights["bias"]
         return score[..., 0], (both, turned, kept_left, kept_right)
 
+    def page_logits(self, page: np.ndarray) -> np.ndarray:
+        """Of one page, in memory of a few figures a block."""
+        x = page[:, None]
+        both = np.concatenate([self._read(x, "l", False)[0], self._read(x[::-1], "r", False)[0][::-1]], axis=2)[:, 0]
+        return (both @ self.weights["out"] + page @ self.weights["direct"] + self.weights["bias"])[:, 0]
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int, seed: int = 0, batch: int = 32) -> None:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(w) for k, w in self.weights.items()}
@@ -393,7 +475,10 @@ class Labeller:
         for place, k in enumerate(order):
             group.append(k)
             following = len(pages[order[place + 1]]) if place + 1 < len(order) else 0
-            if not following or following * (len(group) + 1) > GROUP_BLOCKS:
+            if len(group) == 1 and (not following or following * 2 > GROUP_BLOCKS):
+                out[k] = _sigmoid(self.page_logits(pages[k]))
+                group = []
+            elif not following or following * (len(group) + 1) > GROUP_BLOCKS:
                 x, mirror = self.stack([pages[j] for j in group])
                 score, _ = self.logits(x, mirror)
                 for column, j in enumerate(group):
