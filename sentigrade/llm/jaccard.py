@@ -9,12 +9,13 @@ class, named by a 128-bit hash of the set, and only classes are compared.
 2. A second pass emits the prefix of each class: the first n - ceil(t n) + 1 shingles in that order.
    Shuffled by shingle, those of one class only are dropped, and each row learns the bucket's centre,
    the class whose prefix holds the shingle earliest.
-3. First round: every class is paired with the centres of its buckets.  Further rounds, until one adds
-   no link: in buckets whose classes are still in different components every row is paired with the first
-   rows of a few components.  These rounds are linear in the rows.
-   Last: what stays open is cut by set size and into blocks, and rows of different components are tested
-   against each other where they meet.  Only pairs that pass all filters become rows, so unrelated
-   components of a common bucket cost no pairs, and no link that could join two components is missed.
+3. First round: every class is paired with the centres of its buckets, which is linear in the rows.
+   Second round: the rows of a bucket that are still in different components are tested against each other
+   by the filters where they meet, inside a task; only pairs that pass become rows.  A bucket with more of
+   them than ``PAIRS`` a row gives those with the first rows of a few components instead, and is gone
+   through again with the components merged; once a round adds no link, all its pairs that pass are taken.
+   Unrelated components of a common bucket cost no pairs, and no link that could join two is missed.
+   Hot buckets are cut by set size and into blocks that meet as groups of their own.
 4. Pairs pass the length, positional and suffix filters, and each is verified once on its whole sets.
 
 The positional filter bounds the overlap by what follows the shared shingle on the shorter side.  The
@@ -46,6 +47,7 @@ PERCENT = 85
 CELLS = 1 << 22
 SLICES = 64
 CENTRES = 8
+PAIRS = 8
 BLOCK = 4096
 HOT_PARTS = 256
 BUCKET_ROW = ["h1", "h2", "r1", "r2", "n", "rest", "parts", "visit", "block"]
@@ -338,28 +340,120 @@ def _survivors(table: np.ndarray, left: np.ndarray, right: np.ndarray, percent:
     return found
 
 
-def _of_buckets(rows: DataFrame, keys: list[str], pairs_of: Callable[[np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
-    """Pairs (u, v) that ``pairs_of`` finds in the bucket rows of equal keys.
+def _all_pairs(table: np.ndarray, group: np.ndarray, percent: int, most: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all surviving pairs inside the groups of a sorted table.
 
-    ``pairs_of`` takes a table of whole groups, sorted, with the number of each row's group, and yields
-    positions (left, right).  A task holds a few thousand rows at a time, or one group.
+    With ``most``, a bound for each group, which is written over by what is left of it: the pairs of a
+    group that goes beyond are given up, its bound is then negative.
     """
+    end = np.searchsorted(group, group, side="right")
+    n, visit, block = table[:, N], table[:, VISIT], table[:, BLOCK_AT]
+    left, step = np.arange(len(table)), 0
+    while True:
+        step += 1
+        left = left[left + step < end[left]]
+        left = left[100 * n[left] >= percent * n[left + step]]  # sets only grow to the right
+        if most is not None:
+            left = left[most[group[left]] >= 0]
+        if not len(left):
+            return
+        # Within one block (-1) all rows meet, in a pair of blocks those of different ones.
+        right = left + step
+        at = np.flatnonzero((visit[left] + visit[right] < 2) & ((block[left] < 0) | (block[left] != block[right])))
+        at = at[_survivors(table, left[at], right[at], percent)]
+        if len(at):
+            if most is not None:
+                most -= np.bincount(group[left[at]], minlength=len(most))
+            yield left[at], right[at]
+
+
+def _centre_pairs(table: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of a row with the first rows of up to ``CENTRES`` components of its group."""
+    order = np.lexsort((table[:, ROOT + 1], table[:, ROOT], group))
+    by = np.stack([group[order], table[order, ROOT], table[order, ROOT + 1]], 1)
+    firsts = np.sort(order[np.append(True, (by[1:] != by[:-1]).any(axis=1))])  # of every component in a group
+    starts = np.searchsorted(group[firsts], np.arange(group[-1] + 1))
+    ends = np.append(starts[1:], len(firsts))
+    for k in range(CENTRES):
+        left = np.flatnonzero((starts + k < ends)[group])
+        if not len(left):
+            return
+        right = firsts[starts[group[left]] + k]
+        keep = _survivors(table, left, right, percent)
+        if keep.any():
+            yield left[keep], right[keep]
+
+
+def dealt_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Bucket rows with what forms the groups they meet in: token, band, a and b, and visit and block.
+
+    A bucket is one group, but for the tokens in ``hot``: their rows meet in bands of set size as wide as
+    the length filter, their own and that above it, and a band of more than ``BLOCK`` rows is cut into
+    blocks, each pair of blocks a group.
+    """
+    whole = [F.lit(v).alias(c) for c, v in (("band", -1), ("a", 0), ("b", 0), ("visit", 0), ("block", -1))]
+    plain = rows.join(hot, "token", "left_anti").select("*", *whole)
+    if hot.isEmpty():
+        return plain
+    band = F.floor(F.col("n_band")).cast("int")
+    both = F.array(F.struct(band.alias("band"), F.lit(0).alias("visit")), F.struct((band + 1).alias("band"), F.lit(1).alias("visit")))
+    heavy = rows.join(hot, "token", "left_semi").select("*", F.explode(both).alias("t")).select(*rows.columns, "t.band", "t.visit")
+    counts = heavy.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("visit").alias("low"))
+    useful = counts.where("rows > 1 and low = 0").select("token", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("a"), F.greatest(i, F.col("block")).alias("b"))
+    )
+    cut = heavy.join(useful, ["token", "band"]).withColumn("block", block).withColumn("t", F.explode(tasks))
+    one = F.when(F.col("t.a") == F.col("t.b"), -1).otherwise(F.col("block"))
+    return plain.unionByName(cut.select(*rows.columns, "band", "t.a", "t.b", "visit", one.alias("block")))
+
+
+def candidates(rows: DataFrame, hot: DataFrame, percent: int, bounded: bool) -> DataFrame:
+    """Pairs (u, v) of classes of different components that share a bucket and pass the filters.
+
+    Rows meet inside a task, which holds a few thousand or one group; only pairs that pass become rows.
+    With ``bounded``, a group with more of them than ``PAIRS`` a row gives the pairs with its centres only
+    and a row that names its token (else null).
+    """
+    keys = ["token", "band", "a", "b"]
     names = [*keys, *BUCKET_ROW]
-    flat = rows.select(*keys, "cls.*", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"), "n", "rest", "parts", "visit", "block")
+    width = math.log(1.0001 * 100 / percent)
+    flat = dealt_rows(rows.withColumn("n_band", F.log("n") / width), hot)
+    flat = flat.select(*keys, "cls.*", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"), "n", "rest", "parts", "visit", "block")
     dealt = flat.repartition(*keys).sortWithinPartitions(*keys, "n", "h1", "h2").select(*(F.col(c).cast("long") for c in names))
 
+    def batch_of(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        both = np.concatenate([body[left, :2], body[right, :2]], axis=1)
+        swap = (both[:, 0] > both[:, 2]) | ((both[:, 0] == both[:, 2]) & (both[:, 1] > both[:, 3]))
+        both[swap] = both[swap][:, [2, 3, 0, 1]]
+        both = np.unique(both, axis=0)
+        columns = [pa.nulls(len(both), pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in both.T)]
+        return pa.RecordBatch.from_arrays(columns, ["token", "u1", "u2", "v1", "v2"])
+
+    def found(table: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        body = np.ascontiguousarray(table[:, len(keys) :])
+        if not bounded:
+            for left, right in _all_pairs(body, group, percent, None):
+                yield batch_of(body, left, right)
+            return
+        most = PAIRS * np.bincount(group)
+        pairs = list(_all_pairs(body, group, percent, most))
+        over = most < 0
+        if over.any():
+            rows_over = np.flatnonzero(over[group])
+            numbers = np.cumsum(np.append(False, group[rows_over][1:] != group[rows_over][:-1]))
+            for left, right in _centre_pairs(body[rows_over], numbers, percent):
+                yield batch_of(body[rows_over], left, right)
+            tokens = pa.array(np.unique(table[rows_over, 0]))
+            yield pa.RecordBatch.from_arrays([tokens, *[pa.nulls(len(tokens), pa.int64())] * 4], ["token", "u1", "u2", "v1", "v2"])
+        for left, right in pairs:
+            within = ~over[group[left]]
+            if within.any():
+                yield batch_of(body, left[within], right[within])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(names)), dtype=np.int64)
-
-        def found(table: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            body = np.ascontiguousarray(table[:, len(keys) :])
-            for left, right in pairs_of(body, group):
-                both = np.concatenate([body[left, :2], body[right, :2]], axis=1)
-                swap = (both[:, 0] > both[:, 2]) | ((both[:, 0] == both[:, 2]) & (both[:, 1] > both[:, 3]))
-                both[swap] = both[swap][:, [2, 3, 0, 1]]
-                both = np.unique(both, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], ["u1", "u2", "v1", "v2"])
-
         for batch in batches:
             held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
             if not len(held):
@@ -372,81 +466,10 @@ def _of_buckets(rows: DataFrame, keys: list[str], pairs_of: Callable[[np.ndarray
         if len(held):
             yield from found(held, np.zeros(len(held), dtype=np.int64))
 
-    found = dealt.mapInArrow(run, "u1 long, u2 long, v1 long, v2 long")
-    named = [F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")).alias(c) for c in "uv"]
-    return found.select(*named).distinct()
-
-
-def centre_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a row with the first rows of up to ``CENTRES`` components of its block of a bucket: linear in the rows."""
-    piece = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil(F.col("bucket") / BLOCK)))
-    rows = open_rows.withColumns({"visit": F.lit(0), "block": F.lit(-1), "piece": piece})
-
-    def run(table: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((table[:, ROOT + 1], table[:, ROOT], group))
-        by = np.stack([group[order], table[order, ROOT], table[order, ROOT + 1]], 1)
-        firsts = np.sort(order[np.append(True, (by[1:] != by[:-1]).any(axis=1))])  # of every component in a group
-        starts = np.searchsorted(group[firsts], np.arange(group[-1] + 1))
-        ends = np.append(starts[1:], len(firsts))
-        for k in range(CENTRES):
-            left = np.flatnonzero((starts + k < ends)[group])
-            if not len(left):
-                break
-            right = firsts[starts[group[left]] + k]
-            keep = _survivors(table, left, right, percent)
-            if keep.any():
-                yield left[keep], right[keep]
-
-    return _of_buckets(rows, ["token", "piece"], run)
-
-
-def across_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v) of classes of different components that share a bucket and pass the filters.
-
-    A bucket is cut into bands of set size as wide as the length filter, so a row meets its own band and
-    that above it; a band of more than ``BLOCK`` rows is cut into blocks, each pair of blocks a group of
-    its own.  The filters are applied where the rows meet: only pairs that pass become rows.
-    """
-    width = math.log(1.0001 * 100 / percent)
-    band = F.floor(F.log("n") / width)
-    rows = open_rows.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("visit")), F.struct((band + 1).alias("band"), F.lit(1).alias("visit")))).alias("b"))
-    rows = rows.select("token", "cls", "root", "n", "rest", "parts", "b.band", "b.visit")
-    counts = rows.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("visit").alias("low"))
-    useful = counts.where("rows > 1 and low = 0").select("token", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    tasks = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("a"), F.greatest(i, F.col("block")).alias("b"))
-    )
-    dealt = rows.join(useful, ["token", "band"]).withColumn("block", block).withColumn("t", F.explode(tasks))
-    dealt = dealt.select("token", "band", "t.a", "t.b", "cls", "root", "n", "rest", "parts", "visit", F.when(F.col("t.a") == F.col("t.b"), -1).otherwise(F.col("block")).alias("block"))
-
-    def run(table: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        end = np.searchsorted(group, group, side="right")
-        n, visit, block = table[:, N], table[:, VISIT], table[:, BLOCK_AT]
-        left, step = np.arange(len(table)), 0
-        while True:
-            step += 1
-            left = left[left + step < end[left]]
-            left = left[100 * n[left] >= percent * n[left + step]]  # sets only grow to the right
-            if not len(left):
-                return
-            right = left + step
-            # Within one block (-1) all rows meet, in a pair of blocks those of different ones.
-            at = np.flatnonzero((visit[left] + visit[right] < 2) & ((block[left] < 0) | (block[left] != block[right])))
-            at = at[_survivors(table, left[at], right[at], percent)]
-            if len(at):
-                yield left[at], right[at]
-
-    return _of_buckets(dealt, ["token", "band", "a", "b"], run)
-
-
-def open_buckets(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows, with their root, of buckets that hold several components; ``bucket`` counts the bucket's rows."""
-    rooted = live.join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("bucket"))
-    return rooted.join(mixed.where("low <> high").select("token", "bucket"), "token").select(
-        "token", "cls", "root", "n", "rest", "parts", "bucket"
-    )
+    named = [
+        F.when(F.col("u1").isNotNull(), F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2"))).alias(c) for c in "uv"
+    ]
+    return dealt.mapInArrow(run, "token long, u1 long, u2 long, v1 long, v2 long").select("token", *named)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -477,22 +500,23 @@ def _grouped(documents: DataFrame, key: str, text: str, words: int, percent: int
             sets = sets.unionByName(materialize(whole_sets(documents, unseen, key, text, words), "jaccard-sets"))
         return materialize(verify(pairs, sets, percent), "jaccard-more")
 
-    def merged(links: DataFrame) -> DataFrame:
-        return components(roots.select("u", F.col("root").alias("v")).unionByName(links), "jaccard-merged")
-
-    while True:  # rounds of linear cost, until one adds no link
-        open_rows = materialize(open_buckets(live, roots), "jaccard-open")
-        pairs = materialize(centre_pairs(open_rows, percent).join(checked, ["u", "v"], "left_anti"), "jaccard-centres")
-        if pairs.isEmpty():
-            break
-        checked = checked.unionByName(pairs)
-        more = confirm(pairs)
-        if more.isEmpty():
+    hot = materialize(live.groupBy("token").count().where(F.col("count") > BLOCK).select("token"), "jaccard-hot")
+    open_rows, bounded = live.select("token", "cls", "n", "rest", "parts"), True
+    while True:
+        rooted = open_rows.join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        found = materialize(candidates(rooted, hot, percent, bounded), "jaccard-candidates")
+        pairs = found.where("token is null").select("u", "v").distinct().join(checked, ["u", "v"], "left_anti")
+        pairs = materialize(pairs, "jaccard-further")
+        more = None if pairs.isEmpty() else confirm(pairs)
+        if more is not None and not more.isEmpty():
+            roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), "jaccard-merged")
+        else:
+            more = None
+        over = found.where("token is not null").select("token").distinct()
+        if not bounded or over.isEmpty():
             break
-        roots = merged(more)
-    pairs = materialize(across_pairs(open_rows, percent).join(checked, ["u", "v"], "left_anti"), "jaccard-across")
-    if not pairs.isEmpty():
-        roots = merged(confirm(pairs))
+        # Buckets that held too many pairs, with fewer components now; whole once a round adds no link.
+        open_rows, checked, bounded = open_rows.join(over, "token", "left_semi"), checked.unionByName(pairs), more is not None
     tops = roots.withColumnRenamed("u", "cls")
     grouped = classes.join(tops, "cls", "left").select("cls", "key", "rows", F.coalesce("root", "cls").alias("top"))
     return rows, grouped

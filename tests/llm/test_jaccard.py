@@ -109,22 +109,33 @@ def test_rows_of_other_texts_stay_under_a_repeated_key(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (5, c), (7, ""), (7, ""), (None, a)], key=repr)
 
 
-OPEN = "token long, cls struct<h1:long,h2:long>, root struct<h1:long,h2:long>, n long, rest long, parts long, bucket long"
+OPEN = "token long, cls struct<h1:long,h2:long>, root struct<h1:long,h2:long>, n long, rest long, parts long"
 
 
-def found(pairs):
-    return sorted((r.u.h1, r.v.h1) for r in pairs.collect())
+def found(rows, hot=(), percent=85, bounded=False):
+    tokens = rows.sparkSession.createDataFrame([(t,) for t in hot], "token long")
+    got = jaccard.candidates(rows, tokens, percent, bounded).collect()
+    pairs = {(min(r.u.h1, r.v.h1), max(r.u.h1, r.v.h1)) for r in got if r.token is None}
+    return sorted(pairs), sorted(r.token for r in got if r.token is not None)
 
 
 def test_rows_of_one_component_never_pair(spark):
-    rows = [(1, (k, 0), (0, 0), 10, 9, 0, 301) for k in range(300)] + [(1, (1000, 0), (1000, 0), 10, 9, 0, 301)]
+    rows = [(1, (k, 0), (0, 0), 10, 9, 0) for k in range(300)] + [(1, (1000, 0), (1000, 0), 10, 9, 0)]
     open_rows = spark.createDataFrame(rows, OPEN).repartition(3)
-    assert found(jaccard.across_pairs(open_rows, 85)) == [(k, 1000) for k in range(300)]
-    assert found(jaccard.centre_pairs(open_rows, 85)) == [(k, 1000) for k in range(300)]
+    for bounded in (False, True):
+        assert found(open_rows, bounded=bounded) == ([(k, 1000) for k in range(300)], [])
+
+
+def test_a_bucket_of_many_pairs_gives_those_with_its_centres_first(spark):
+    rows = [(t, (1000 * t + k, 0), (1000 * t + k, 0), 10, 9, 0) for t, size in ((1, 200), (2, 3)) for k in range(size)]
+    open_rows = spark.createDataFrame(rows, OPEN).repartition(3)
+    pairs, tokens = found(open_rows, bounded=True)
+    assert tokens == [1] and len(pairs) <= 200 * jaccard.CENTRES + 3 and {k for pair in pairs for k in pair} == {r[1][0] for r in rows}
+    assert len(found(open_rows)[0]) == 200 * 199 // 2 + 3
 
 
 def passes(a, b, percent):
-    (_, _, r, n, rest, parts, _), (_, _, s, m, other, more, _) = a, b
+    (_, _, r, n, rest, parts), (_, _, s, m, other, more) = a, b
     least = -(-percent * (n + m) // (100 + percent))
     differ = sum(abs((parts >> 8 * k & 255) - (more >> 8 * k & 255)) for k in range(8))
     sizes = 100 * min(n, m) >= percent * max(n, m)
@@ -141,15 +152,15 @@ def test_rows_across_components_pair_where_the_filters_pass(spark, monkeypatch,
             n = rng.randint(1, 30)
             rest = n - 1 - rng.randint(0, n - jaccard.least_overlap(n, 60))
             parts = sum(rng.choice((rest // 8, 1 + rest // 8)) << 8 * j for j in range(8))
-            rows.append((token, (100 * token + k, 0), (rng.randrange(9), 0), n, rest, parts, 60))
+            rows.append((token, (100 * token + k, 0), (rng.randrange(9), 0), n, rest, parts))
     before = spark.conf.get(MANY)
     spark.conf.set(MANY, batch)
     try:
         open_rows = spark.createDataFrame(rows, OPEN).repartition(3)
         want = sorted((a[1][0], b[1][0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and passes(a, b, 60))
-        assert len(want) > 50 and found(jaccard.across_pairs(open_rows, 60)) == want
-        some = found(jaccard.centre_pairs(open_rows, 60))
-        assert some and set(some) <= set(want)
+        assert len(want) > 50 and found(open_rows, hot=(0, 2), percent=60) == (want, [])
+        some, tokens = found(open_rows, hot=(1,), percent=60, bounded=True)
+        assert some and set(some) <= set(want) and set(tokens) <= {0, 1, 2, 3}
     finally:
         spark.conf.set(MANY, before)
 
