@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, jaccard, langid, mixing, parsing, pii, url_filter, vectors, warc
+from . import blocks, bpe, jaccard, langid, merkle, mixing, parsing, pii, secrets, url_filter, vectors, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +81,21 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(secrets.with_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def _words(terms: tuple[str, ...]) -> str:
     return ", ".join(f"'{t}'" for t in terms)
 
