@@ -319,7 +319,8 @@ def report(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     merged = F.array_sort(
         F.transform(F.concat("base", "more"), lambda s: F.struct(s.start.alias("start"), place[s.kind].alias("place"), s.end.alias("end"), s.kind.alias("kind")))
     )
-    counts = [F.size(F.filter("base", lambda s, k=name: s.kind == k)).cast("long").alias(f"n_{name}") for name in NAMES]
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, name))).cast("long").alias(f"n_{name}") for name in NAMES]
     return spans.select(
         key, *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(merged).alias("spans"), F.size("more").cast("long").alias("n_decoded")
     )
