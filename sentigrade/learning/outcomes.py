@@ -21,7 +21,8 @@ from ..functions.text import split_field
 from ..operators.metrics import regression_metrics
 from ..operators.ordering import number_by_hash
 from ..operators.relational import join_games
-from ..session import store
+from ..session import scratch_folder, store
+from . import held_out
 
 # The feature columns of each set.
 STEAM_FEATURES = (
@@ -311,7 +312,11 @@ def revenue_scores(predictions: DataFrame) -> DataFrame:
     return units.select("*", logs.select("r2").scalar().alias("r2"))
 
 
-# --- Tier: logistic regression with held-out folds ----------------------------------------------
+# --- Tier: logistic regression with held-out rows or folds ----------------------------------------------
+
+
+#: Features times rows of a training matrix that is sent to every task: 64 MB of doubles.
+MOST_CELLS = 8_000_000
 
 
 def _tier_model(train: DataFrame, n: int, classes: int, inverse_penalty: float = 1.0):
@@ -362,46 +367,87 @@ def loo_classify(
 ) -> DataFrame | None:
     """Held-out tier predictions: key, actual_tier, predicted_tier, correct.
 
-    Every row is predicted by a model that has not seen it: one model per hashed fold, or one per
-    row where ``folds`` is None; large tables need folds.  A training part with a single tier predicts that tier.
-    None for fewer than five rows.
+    Every row is predicted by a model that has not seen it: one model per row, or one per hashed fold
+    where ``folds`` is a number.  Up to ``MOST_CELLS`` features times rows the training matrix is sent to the
+    executors, which refit the model there; larger tables need a number of folds, each fitted by Spark ML
+    over the whole cluster.  A training part with a single tier predicts that tier.  None for fewer than five rows.
     """
     complete = complete_rows(df, key, tier, features)
     n = complete.count()
     if n < SMALLEST_SAMPLE:
         return None
-    k = n if folds is None else folds
+    if n * max(1, len(features)) <= MOST_CELLS:
+        predicted = _refit_tiers(complete, key, tier, n if folds is None else folds, seed)
+    elif folds is None:
+        raise ValueError(f"{n} rows are too many to leave out one at a time; give a number of folds")
+    else:
+        predicted = _fold_tiers(complete, key, tier, folds, seed, parallelism)
+    return predicted.select(
+        key,
+        F.col(tier).alias("actual_tier"),
+        "predicted_tier",
+        (F.col(tier) == F.col("predicted_tier")).alias("correct"),
+    )
+
+
+def _dealt(complete: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     numbered = number_by_hash(complete.withColumn("_all", F.lit(0)), "_all", key, seed, "_number")
-    dealt = numbered.withColumn("_fold", F.col("_number") % k).drop("_number", "_all")
-    opened = store(dealt, "dealt")
+    return numbered.withColumn("_fold", F.col("_number") % folds).drop("_number", "_all")
+
+
+def _refit_tiers(complete: DataFrame, key: str, tier: str, folds: int, seed: int) -> DataFrame:
+    """key, tier and predicted_tier of all rows by refits on the executors."""
+    spark = complete.sparkSession
+    rows = store(_dealt(complete, key, folds, seed).where(F.col(tier).isin(*values.TIERS)), "dealt")
+    known = rows().select("_fold", tier, "_x").toPandas()
+    names = np.array(values.TIERS)
+    label = pd.Categorical(known[tier], categories=list(names)).codes
+    matrix = np.stack(known["_x"].to_list()).astype(float) if len(known) else np.zeros((0, 0))
+    sent = spark.sparkContext.broadcast((matrix, label, known["_fold"].to_numpy()))
+    kind = dict(complete.dtypes)[key]
+
+    def predict(batches):
+        parts = list(batches)  # no more rows than the matrix that was sent
+        if not parts:
+            return
+        own = pd.concat(parts)
+        x, y, fold = sent.value
+        for number, model in held_out.refits(x, y, fold, np.unique(own["_fold"])):
+            part = own[own["_fold"] == number]
+            found = names[model.predict(np.stack(part["_x"].to_list()).astype(float))]
+            yield pd.DataFrame({key: part[key], tier: part[tier], "predicted_tier": found})
+
+    tasks = min(folds, spark.sparkContext.defaultParallelism)
+    dealt = rows().repartition(tasks, "_fold")
+    return dealt.mapInPandas(predict, f"{key} {kind}, {tier} string, predicted_tier string")
+
+
+def _fold_tiers(complete: DataFrame, key: str, tier: str, k: int, seed: int, parallelism: int) -> DataFrame:
+    """key, tier and predicted_tier of all rows by one Spark ML fit for each fold, written as they end."""
+    opened = store(_dealt(complete, key, k, seed), "dealt")
     counts: dict[int, dict[str, int]] = {f: {} for f in range(k)}
     for r in opened().groupBy("_fold", tier).count().collect():
         counts[r["_fold"]][r[tier]] = r["count"]
     totals = {t: sum(c.get(t, 0) for c in counts.values()) for t in values.TIERS}
+    spark, path = complete.sparkSession, scratch_folder(complete.sparkSession, "predicted")
 
-    def predict(fold: int) -> DataFrame:
+    def predict(fold: int) -> None:
         rows = _with_vector(opened())
-        held_out, train = rows.where(F.col("_fold") == fold), rows.where(F.col("_fold") != fold)
+        held, train = rows.where(F.col("_fold") == fold), rows.where(F.col("_fold") != fold)
         rest = {t: totals[t] - counts[fold].get(t, 0) for t in values.TIERS}
         present = [t for t, c in rest.items() if c > 0]
         if len(present) == 1:
-            return held_out.select(key, tier, F.lit(present[0]).alias("predicted_tier"))
-        model = _tier_model(_with_label(train, tier, present), sum(rest.values()), len(present))
-        names = F.array(*[F.lit(t) for t in present])
-        scored = model.transform(held_out)
-        return scored.select(key, tier, F.get(names, F.col("prediction").cast("int")).alias("predicted_tier"))
+            found = held.select(key, tier, F.lit(present[0]).alias("predicted_tier"))
+        else:
+            model = _tier_model(_with_label(train, tier, present), sum(rest.values()), len(present))
+            names = F.array(*[F.lit(t) for t in present])
+            scored = model.transform(held)
+            found = scored.select(key, tier, F.get(names, F.col("prediction").cast("int")).alias("predicted_tier"))
+        found.write.parquet(f"{path}/fold={fold}")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = list(pool.map(predict, range(k)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.select(
-        key,
-        F.col(tier).alias("actual_tier"),
-        "predicted_tier",
-        (F.col(tier) == F.col("predicted_tier")).alias("correct"),
-    )
+        list(pool.map(predict, range(k)))
+    return spark.read.parquet(path).select(key, tier, "predicted_tier")
 
 
 # --- New games and ablation ---------------------------------------------------------------------

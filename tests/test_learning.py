@@ -1,6 +1,7 @@
 """Folds, TF-IDF, cross-validation, outcome models and saved predictors."""
 
 import math
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sentigrade.learning import features, folds, outcomes, runner, scoring
+from sentigrade.learning import boosting, held_out, features, folds, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
 from sentigrade.plans import flows
 from sentigrade.workload import queries_learning
@@ -176,3 +177,172 @@ def test_logistic_scaling_matches_a_population_scaled_fit(spark, games):
         b -= 0.02 * (p - label).sum()
     expected = w * math.sqrt(30 / 29)
     assert np.allclose(model.coefficients.toArray(), expected, rtol=0.02, atol=0.01)
+
+
+def slope_of(model, x, y, penalty=1.0):
+    """Gradient of the penalised loss at a fit, written out row by row."""
+    z = (x - model.mean) / model.scale
+    total = np.zeros_like(model.theta)
+    for row, label in zip(np.hstack([z, np.ones((len(z), 1))]), y):
+        logits = model.theta @ row
+        if len(logits) == 1:
+            error = np.array([1 / (1 + np.exp(-logits[0])) - (label == model.classes[1])])
+        else:
+            p = np.exp(logits - logits.max())
+            error = p / p.sum() - (label == model.classes)
+        total += error[:, None] * row
+    total[:, :-1] += penalty * model.theta[:, :-1]
+    return total
+
+
+@pytest.mark.parametrize("classes", [2, 3, 4])
+def test_refits_reach_the_optimum_of_the_rows_left(classes):
+    rng = np.random.default_rng(classes)
+    x = rng.normal(size=(40, 5)) * [1, 10, 0.1, 1, 0]
+    y = np.argmax(x[:, :1] * np.arange(classes) + rng.gumbel(size=(40, classes)), axis=1)
+    y[0] = classes + 3  # a class of one row: leaving it out leaves the class out
+    for number, model in held_out.refits(x, y, np.arange(40), np.arange(40)):
+        rest = np.arange(40) != number
+        assert np.array_equal(model.classes, np.unique(y[rest]))
+        assert np.abs(slope_of(model, x[rest], y[rest])).max() < 1e-7
+        alone = held_out.fit(x[rest], y[rest])
+        assert np.allclose(alone.logits(x) - alone.logits(x)[:, :1], model.logits(x) - model.logits(x)[:, :1], atol=1e-6)
+    same = held_out.fit(x, np.ones(40, dtype=int))
+    assert (same.predict(x) == 1).all()
+
+
+def test_separated_classes_have_a_fit():
+    x = np.vstack([np.full((20, 1), -5.0), np.full((20, 1), 5.0), np.full((20, 1), 100.0)])
+    y = np.repeat([0, 1, 2], 20)
+    model = held_out.fit(x, y)
+    assert np.abs(slope_of(model, x, y)).max() < 1e-6 and (model.predict(x) == y).all()
+
+
+@pytest.fixture(scope="module")
+def tiers(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(36, 2))
+    names = np.array(["Flop", "Moderate", "Hit", "Blockbuster"])
+    table = pd.DataFrame({"app_id": range(36), "a": x[:, 0], "b": x[:, 1], "tier": names[np.clip((x[:, 0] + 1.5).astype(int), 0, 3)]})
+    return table, spark.createDataFrame(table)
+
+
+def test_leaving_out_rows_equals_models_trained_alone(tiers):
+    table, df = tiers
+    got = outcomes.loo_classify(df.repartition(3), "app_id", ["a", "b"], "tier").toPandas().set_index("app_id")
+    x = table[["a", "b"]].to_numpy()
+    names = list(outcomes.values.TIERS)
+    y = np.array([names.index(t) for t in table["tier"]])
+    for k in range(36):
+        rest = np.arange(36) != k
+        want = names[int(held_out.fit(x[rest], y[rest]).predict(x[k : k + 1])[0])]
+        assert got.loc[k, "predicted_tier"] == want and got.loc[k, "correct"] == (want == table["tier"][k])
+
+
+def test_folds_by_refits_equal_folds_by_the_cluster(tiers, monkeypatch):
+    _, df = tiers
+    columns = ("app_id", ["a", "b"], "tier")
+    here = {r.app_id: r.predicted_tier for r in outcomes.loo_classify(df, *columns, folds=4).collect()}
+    monkeypatch.setattr(outcomes, "MOST_CELLS", 10)
+    there = {r.app_id: r.predicted_tier for r in outcomes.loo_classify(df, *columns, folds=4).collect()}
+    assert here.keys() == there.keys() and sum(here[k] != there[k] for k in here) <= 1
+    with pytest.raises(ValueError, match="number of folds"):
+        outcomes.loo_classify(df, *columns)
+
+
+def plain_vocabulary(texts, size=10_000):
+    counts = [Counter(words + [" ".join(p) for p in zip(words, words[1:])]) for words in (t.split() for t in texts)]
+    tf, df = sum(counts, Counter()), Counter(t for c in counts for t in c)
+    terms = [t for t in tf if 2 <= df[t] <= 0.95 * len(texts)]
+    return {t: math.log((len(texts) + 1) / (df[t] + 1)) + 1 for t in sorted(terms, key=lambda t: (-tf[t], t))[:size]}
+
+
+def test_fold_statistics_by_subtraction_equal_counts_of_each_part(spark, reviews):
+    rows = {r.row_id: r.cleaned_text for r in reviews.collect()}
+    terms = features.with_terms(reviews.select("row_id", "cleaned_text"))
+    assigned = terms.withColumn("folds", F.array((F.col("row_id") % 3).cast("int"), (F.col("row_id") % 7 % 3).cast("int")))
+    statistics = features.fold_statistics(assigned, "row_id", 2, 3)
+    for place, fold_of in enumerate((lambda k: k % 3, lambda k: k % 7 % 3)):
+        for fold in range(3):
+            train = [t for k, t in rows.items() if fold_of(k) != fold]
+            found = features.Vocabulary.of_fold(statistics, place, fold, 3, len(train), 40)
+            want = plain_vocabulary(train, 40)
+            assert list(found.terms) == list(want) and np.allclose(found.weights, list(want.values()))
+    vectors = {r.row_id: r.features for r in found.vectors(terms, ["row_id"]).collect()}
+    staged = features.apply_stages(terms, found.stages())
+    assert all(np.allclose(vectors[r.row_id].toArray(), r.features.toArray()) for r in staged.collect()) and len(vectors) == 90
+
+
+def test_no_python_for_each_row_in_the_features(spark, reviews):
+    terms = features.with_terms(reviews.select("row_id", "cleaned_text"))
+    plan = features.Vocabulary(("a",), np.ones(1)).vectors(terms, ["row_id"])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "PythonUDF" not in plan and "EvalPython" not in plan
+
+
+def sparse_of(dense):
+    row, feature = np.nonzero(dense)
+    return boosting.Sparse.of(len(dense), row, feature, dense[row, feature])
+
+
+def plain_split(dense, g, h, shape):
+    """Gain of the best split over all features and all values, row by row."""
+    score = lambda a, b: a * a / (b + shape.penalty + 1e-12)
+    best = 0.0
+    for f in range(dense.shape[1]):
+        for value in np.unique(dense[:, f])[1:] if (dense[:, f] == 0).any() else np.unique(dense[:, f]):
+            right = dense[:, f] >= value
+            if min(right.sum(), (~right).sum()) >= max(1, shape.least_rows) and min(h[right].sum(), h[~right].sum()) >= shape.least_curvature:
+                best = max(best, score(g[right].sum(), h[right].sum()) + score(g[~right].sum(), h[~right].sum()) - score(g.sum(), h.sum()))
+    return best
+
+
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        dense = rng.integers(0, 4, (60, 6)) * rng.random((60, 6)).round(1) * (rng.random((60, 6)) < 0.4)
+        dense = np.ceil(dense * 2)  # few values, each its own bin
+        g, h = rng.normal(size=60), np.full(60, 0.25)
+        shape = boosting.Shape(leaves=2, least_curvature=0.5)
+        x = sparse_of(dense)
+        tree, node = boosting.grow(x, boosting.Bins(x), g, h, np.ones(60, dtype=bool), np.ones(6, dtype=bool), shape)
+        assert len(tree.feature) == 3
+        right = dense[:, tree.feature[0]] >= tree.least[0]
+        assert np.array_equal(node == tree.right[0], right)
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1 + 1e-12)
+        gain = score(right) + score(~right) - score(np.ones(60, dtype=bool))
+        assert gain == pytest.approx(plain_split(dense, g, h, shape))
+
+
+@pytest.mark.parametrize("name", ["GradientBoosting", "GradientBoosting31"])
+def test_boosters_keep_their_limits_and_learn(name):
+    rng = np.random.default_rng(6)
+    dense = rng.random((1500, 30)) * (rng.random((1500, 30)) < 0.3)
+    y = ((dense[:, 0] > 0.5) ^ (dense[:, 1] > 0) ^ (rng.random(1500) < 0.05)).astype(float)
+    x, shape = sparse_of(dense), boosting.SHAPES[name]
+    trees = boosting.boost(x, y, np.ones(1500), shape, 1)
+    assert len(trees) == 100
+    for tree in trees:
+        leaves = [k for k, f in enumerate(tree.feature) if f < 0]
+        depth = {0: 0}
+        for k, (a, b) in enumerate(zip(tree.left, tree.right)):
+            if a >= 0:
+                depth[a] = depth[b] = depth[k] + 1
+        assert len(leaves) <= shape.leaves and max(depth.values()) <= shape.depth
+    if name == "GradientBoosting31":
+        assert max(sum(f < 0 for f in t.feature) for t in trees) == 31 and max(sum(f < 0 for f in t.feature) for t in trees[:3]) == 31
+    total = boosting.margins(trees, x)
+    assert ((total > 0) == y).mean() > 0.93
+    assert np.allclose(total[:50], boosting.margins(trees, sparse_of(dense[:50])))
+
+
+def test_all_models_run_and_boosters_are_saved(spark, reviews, tmp_path):
+    results = runner.run_cv(reviews, str(tmp_path / "r"), runner.MODELS, seeds=(0, 1), k=2, models_path=str(tmp_path / "m"), parallelism=2)
+    rows = results.collect()
+    assert len(rows) == 5 * 2 * 2
+    # 45 rows leave the booster of 20 rows a leaf nothing to split.
+    assert min(r.accuracy for r in rows if r.model != "GradientBoosting31") > 0.9
+    for name in ("GradientBoosting", "GradientBoosting31"):
+        model = scoring.load_predictor(spark, str(tmp_path / "m"), name, seed=1, fold=1)
+        scored = scoring.score(model, reviews)
+        assert scored.count() == 90 and (name == "GradientBoosting31" or scored.where("predicted = positive").count() > 80)
+        assert set(scored.columns) == {*reviews.columns, "probability", "predicted"}
