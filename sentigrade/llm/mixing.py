@@ -13,11 +13,13 @@ none gets more than twice its size, the excess is shared again by weight.  A sou
 passes of each block, so no document is taken more than twice.
 
 The driver holds one row for each source (as many as there are weights), nothing that grows with the
-documents.  Positions of documents in their source are prefix sums in two levels over hashed buckets of
-about ``BUCKET_ROWS`` rows, so a source with a third of all rows is not one task.
+documents.  Positions of documents in their source are prefix sums in three levels over hashed buckets of
+about ``BUCKET_ROWS`` different rows, so neither a source nor an id with a third of all rows is one task;
+equal rows are counted before they are dealt and placed one behind the other.
 
 Null texts have no words; rows without words are taken 0 times.  Null keys and repeated rows are rows
-like others.  An empty table gives an empty mix.
+like others.  Key, text and source are read by name, so further columns and their names don't matter.  An empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ MOST_PASSES = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
 BUCKET_ROWS = 512
+RUN_BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -87,16 +90,49 @@ def _shares(sized: DataFrame, block_words: int) -> list[Share]:
     return out
 
 
+def _log_growth(z: int, d: int) -> float:
+    """Logarithm of (z + d)! / z!, free of the cancellation that two logarithms of factorials have."""
+    if min(z, z + d) < 64:
+        return math.lgamma(z + d + 1) - math.lgamma(z + 1)
+    a, b = z + 1.0, z + d + 1.0
+    tail = (1 / b - 1 / a) / 12 - (1 / b**3 - 1 / a**3) / 360
+    return (a - 0.5) * math.log1p(d / a) + d * math.log(b) - d + tail
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` items taken without replacement are good; exact for counts of any size.
+
+    Ratio of uniforms with Stadlober's hat; probabilities are taken relative to the mode's.
+    """
+    low, high, total = max(0, draws - bad), min(good, draws), good + bad
+    if low == high:
+        return low
+    mean = draws * (good / total)
+    spread = math.sqrt(mean * (bad / total) * ((total - draws) / (total - 1)) + 0.5)
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e).
+    width = 1.7155277699214135 * spread + 0.8989161620588988
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if not low <= k <= high:
+            continue
+        d = k - mode
+        share = -(_log_growth(mode, d) + _log_growth(good - mode, -d) + _log_growth(draws - mode, -d) + _log_growth(bad - draws + mode, d))
+        if 2 * math.log(u) <= share:
+            return k
+
+
 def split_counts(counts: np.ndarray, draws: int, seed: list[int]) -> np.ndarray:
     """How ``draws`` slots, drawn without replacement, divide over sources that have ``counts`` slots."""
-    total = int(counts.sum())
-    if total < 1_000_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, draws, method="marginals")
-    # Beyond the generator's range the spread is below one in ten thousand: the means, largest remainder first.
-    exact = counts * (draws / total)
-    taken = np.minimum(np.floor(exact).astype(np.int64), counts)
-    order = np.argsort(-(exact - taken), kind="stable")
-    taken[order[: draws - int(taken.sum())]] += 1
+    rng, rest = np.random.default_rng(seed), int(counts.sum())
+    taken = np.zeros_like(counts)
+    for k, count in enumerate(counts.tolist()):
+        rest -= count
+        taken[k] = hypergeometric(rng, count, rest, draws)
+        draws -= int(taken[k])
     return taken
 
 
@@ -206,6 +242,17 @@ class Mix:
         )
 
 
+def bucket_offsets(rows: DataFrame) -> DataFrame:
+    """Words of a part in the buckets before each: prefix sums over runs of ``RUN_BUCKETS`` buckets, and inside them."""
+    totals = rows.groupBy("part", "bucket").agg(F.sum("words").alias("total")).withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS))
+    before = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    runs = totals.groupBy("part", "run").agg(F.sum("total").alias("sum"))
+    runs = runs.select("part", "run", F.coalesce(F.sum("sum").over(before("part", by="run")), none).alias("run_offset"))
+    inside = F.coalesce(F.sum("total").over(before("part", "run", by="bucket")), none)
+    return totals.withColumn("inside", inside).join(runs, ["part", "run"]).select("part", "bucket", (F.col("run_offset") + F.col("inside")).alias("offset"))
+
+
 def mix(
     documents: DataFrame,
     key: str = "doc_id",
@@ -217,28 +264,31 @@ def mix(
 ) -> Mix:
     """Plans the mix of all rows; the texts are read once and only counted."""
     spark = documents.sparkSession
-    sized = materialize(
-        documents.select(
-            F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
-        ),
-        "mix-sizes",
-    )
-    shares = _shares(sized, block_words)
+    # Rows equal in key, source, size and text are counted once, so that no bucket below holds many.
+    sized = documents.select(
+        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text)).alias("hash"),
+    )
+    sized = materialize(sized.groupBy("key", "source", "size", "hash").agg(F.count("*").alias("copies")), "mix-sizes")
+    shares = _shares(sized.select("source", (F.col("size") * F.col("copies")).alias("size")), block_words)
     numbers = spark.createDataFrame([(s.source, k) for k, s in enumerate(shares)], "name string, part int")
     count = sized.count()
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(-(-count // BUCKET_ROWS) or 1))
-    rows = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", bucket)
-    by_bucket = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("part", "bucket")
-        .agg(F.sum("size").alias("total"))
-        .select("part", "bucket", F.coalesce(F.sum("total").over(by_bucket), F.lit(0)).alias("offset"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "key", "size", "hash"), F.lit(-(-count // BUCKET_ROWS) or 1))
+    rows = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = rows.withColumns({"bucket": bucket, "words": F.col("size") * F.col("copies")})
+    offsets = bucket_offsets(rows)
+    inside = Window.partitionBy("part", "bucket").orderBy("key", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    some = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / BUCKET_ROWS)))
+    each = F.explode(
+        F.sequence(F.col("some") * BUCKET_ROWS, F.least(F.col("copies"), (F.col("some") + 1) * BUCKET_ROWS) - 1)
     )
-    inside = Window.partitionBy("part", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        rows.withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0)))
         .join(offsets, ["part", "bucket"])
-        .select("key", "source", "size", "part", (F.col("offset") + F.col("before")).alias("start"))
+        .withColumn("some", some)
+        .repartition("part", "bucket", "some")
+        .withColumn("copy", each)
+        .select("key", "source", "size", "part", (F.col("offset") + F.col("before") + F.col("copy") * F.col("size")).alias("start"))
     )
     shards = math.ceil(sum(s.slots for s in shares) / shard_slots)
     parts = max(1, min(shards, spark.sparkContext.defaultParallelism * 4, shards))
@@ -264,8 +314,15 @@ def mixed_texts(documents: DataFrame, text: str = "text", source: str = "source"
         .select(
             "_row",
             (F.col("_start") - F.col("_first") * plan.block_words).alias("_skip"),
-            F.transform(
-                F.sequence("_first", F.array_max("_blocks")), lambda block: F.array_contains("_blocks", block)
+            # From one taken block to the next: those between are not, it is.
+            F.flatten(
+                F.zip_with(
+                    "_blocks",
+                    F.concat(F.array(F.col("_first") - 1), "_blocks"),
+                    lambda block, last: F.when(
+                        block.isNotNull(), F.concat(F.array_repeat(F.lit(False), (block - last - 1).cast("int")), F.array(F.lit(True)))
+                    ).otherwise(F.array().cast("array<boolean>")),
+                )
             ).alias("_flags"),
         )
     )

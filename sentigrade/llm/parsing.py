@@ -12,13 +12,16 @@ characters).  The likeness of two fingerprints is the mean over levels of the bo
 Jaccard index of their phrase sets; levels at which both are empty count for nothing, and two empty
 texts are alike.
 
-Null texts count as empty: their fingerprint has no names.  Equal texts have equal fingerprints.
+Null texts count as empty: their fingerprint has no names.  Equal texts have equal fingerprints.  Repeated rows are
+rows of their own, equal ids follow one another by a hash of their text.  Only id and text are read, so further
+columns and their names don't matter.  An empty table gives no rows.
 Memory is bounded by a portion of texts of about ``PORTION`` characters or the longest single text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ LEVELS = (2, 3, 4)
 KEPT = 48
 PORTION = 1_000_000
 BUCKET_ROWS = 2000
+MOST_BUCKETS = 4096
+NULL_PLACE = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -164,54 +169,81 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket_of(cuts: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """Buckets in descending order of the id; null ids come last."""
-    known = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    bucket = len(cuts) - np.searchsorted(cuts, known, side="right")
-    return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, bucket)
+def _cuts(quantiles: list[float], nulls: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (id turned round, hash of the text) at which buckets begin, in order.
+
+    An id that is several quantiles is cut that often, evenly by hash; so are null ids, which come last, once
+    for every ``share`` rows.
+    """
+    ids, times = np.unique(-np.array(quantiles, dtype=np.int64), return_counts=True)
+    found = [*zip(ids.tolist(), times.tolist()), (NULL_PLACE, math.floor(nulls / share))]
+    return (
+        np.array([place for place, count in found for _ in range(count)], dtype=np.int64),
+        np.array([(k + 1) * (1 << 64) // (count + 1) - (1 << 63) for _, count in found for k in range(count)], dtype=np.int64),
+    )
+
+
+def _bucket_of(cuts: tuple[np.ndarray, np.ndarray], place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bucket = np.searchsorted(cuts[0], place, side="left")
+    for value in np.intersect1d(cuts[0], place):
+        rows, low, high = place == value, *np.searchsorted(cuts[0], [value, value + (value < NULL_PLACE)], side="left")
+        high = high if value < NULL_PLACE else len(cuts[0])
+        bucket[rows] += np.searchsorted(cuts[1][low:high], hashes[rows], side="right")
+    return bucket
 
 
 def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Rows dealt to buckets that follow one another in descending order of the id.
+    """Rows dealt to buckets that follow one another in descending order of the id, then of a hash of the text.
 
-    Columns bucket, key, text, tail.  Every bucket also gets, as its tail, the first id of the next one
-    (the last bucket that of the first), so each is complete alone.  The driver holds two ids for each
-    bucket; the texts are moved once.
+    Columns bucket, key, text, tail.  Every bucket also gets, as its tail, the first row of the next one
+    (the last bucket that of the first), so each is complete alone.  The driver holds two places for each of at
+    most ``MOST_BUCKETS`` buckets; the texts are moved once.
     """
-    ids = documents.select(F.col(key).cast("long").alias("key"))
-    count = ids.count()
-    wanted = max(1, -(-count // bucket_rows))
-    quantiles = ids.where("key is not null").approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
-    cuts = np.unique(np.array(quantiles, dtype=np.int64))
+    source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("hash", F.xxhash64("text"))
+    sizes = source.agg(F.count("*").alias("rows"), F.count("key").alias("known")).first()
+    wanted = max(1, min(MOST_BUCKETS, -(-sizes.rows // bucket_rows)))
+    share = sizes.rows / wanted
+    known = min(wanted, math.ceil(sizes.known / share)) if sizes.rows else 1
+    quantiles = source.where("key is not null").approxQuantile("key", [k / known for k in range(1, known)], 0.1 / known) if known > 1 else []
+    cuts = _cuts(quantiles, sizes.rows - sizes.known, max(1.0, share))
+
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = batch.column(0)
+        place = np.where(ids.is_null().to_numpy(zero_copy_only=False), NULL_PLACE, -ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return place, batch.column(1).to_numpy(zero_copy_only=False)
 
     def number(batches):
         for batch in batches:
-            bucket = pa.array(_bucket_of(cuts, batch.column(0)), pa.int64())
-            yield pa.RecordBatch.from_arrays([bucket, batch.column(0)], ["bucket", "key"])
+            place, hashes = places(batch)
+            columns = [pa.array(c) for c in (_bucket_of(cuts, place, hashes), place, hashes)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "place", "hash"])
 
-    heads = {
-        r.bucket: r.head
-        for r in ids.mapInArrow(number, "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("head")).collect()
-    }
+    heads = source.select("key", "hash").mapInArrow(number, "bucket long, place long, hash long")
+    heads = {r.bucket: tuple(r.head) for r in heads.groupBy("bucket").agg(F.min(F.struct("place", "hash")).alias("head")).collect()}
     order = sorted(heads)
     tail_of = {heads[after]: before for before, after in zip(order, order[1:] + order[:1])}
-    head_ids = pa.array(list(tail_of), pa.int64())
+    head_places = np.array(sorted({place for place, _ in tail_of}), dtype=np.int64)
 
     def deal(batches):
         names = ["bucket", "key", "text", "tail"]
+        sent = set()  # of equal rows a task sends one
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            bucket = pa.array(_bucket_of(cuts, ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([bucket, ids, texts, pa.array(np.zeros(len(ids), dtype=bool))], names)
-            heads_here = pa.compute.is_in(ids, head_ids).to_numpy(zero_copy_only=False)
-            if heads_here.any():
-                at = pa.array(np.flatnonzero(heads_here))
-                again = ids.take(at)
-                bucket = pa.array([tail_of[i] for i in again.to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([bucket, again, texts.take(at), pa.array([True] * len(at))], names)
-
-    source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(deal, "bucket long, key long, text string, tail boolean")
+            place, hashes = places(batch)
+            columns = [pa.array(_bucket_of(cuts, place, hashes)), batch.column(0), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(place), dtype=bool))], names)
+            again = []
+            for k in np.flatnonzero(np.isin(place, head_places)).tolist():
+                own = int(place[k]), int(hashes[k])
+                if own in tail_of and own not in sent:
+                    sent.add(own)
+                    again.append((tail_of[own], k))
+            if again:
+                at = pa.array([k for _, k in again])
+                bucket = pa.array([b for b, _ in again], pa.int64())
+                yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(at), batch.column(2).take(at), pa.array([True] * len(at))], names)
+
+    return source.select("key", "hash", "text").mapInArrow(deal, "bucket long, key long, text string, tail boolean")
 
 
 def compare_edited(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,8 @@ Everything is a DataFrame expression.  Counts are formed before the shuffles; a
 all rows share is one row in the joins, and joins of occurrences are split by adaptive execution.
 
 Null texts count as empty and have no spans.  Rows are known by key and hash of the text: repeated rows
-get the same spans, null keys are keys like others.
+get the same spans, null keys are keys like others.  Key and text are read by name, so further columns and their
+names don't matter; an empty table gives no rows.  The cost of a text is in proportion to its length and spans.
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ CANDIDATE = rf"{_MASK}++|(?<![^{_BREAK}])[^{_BREAK}]*[0-9@][^{_BREAK}]*(?:\x20[^
 MOST_WORDS = 19
 _OPENING, _CLOSING = r"^[\x22'(\[{<|,;:]*", r"[\x22')\]}>|.,;:!?#%&*$]*$"
 
-_SPANS = "array<struct<start:int,end:int>>"
+#: Elements of an array, and letters of a text, that are built up at a time.
+SCAN_ITEMS, PIECE = 256, 16_384
 
 
 def _pieces(text: Column, pattern: str, trigger: Column) -> tuple[Column, Column]:
@@ -104,77 +106,143 @@ def _pieces(text: Column, pattern: str, trigger: Column) -> tuple[Column, Column
     )
 
 
+def running(
+    rows: DataFrame, source: str, out: str, merge: Callable[[Column, Column], Column], zero: Column, items: int = SCAN_ITEMS
+) -> DataFrame:
+    """``rows`` with ``out``, what ``merge`` makes of every element of the array ``source`` and those before it.
+
+    Arrays grow by copying, so they are built in pieces of ``items`` elements and each piece is shifted by
+    what the pieces before it add up to: the cost is in proportion to the array.
+    """
+
+    def grown(elements: Column, first: Column) -> Column:
+        return F.aggregate(elements, first, lambda made, x: F.concat(made, F.array(merge(F.element_at(made, -1), x))))
+
+    size = F.size(source)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / items).cast("int")), lambda j: F.slice(source, j * items + 1, items))
+    scans = F.transform(pieces, lambda piece: grown(F.slice(piece, 2, items), F.slice(piece, 1, 1)))
+    rows = rows.withColumn("_scans", F.when(size > 0, scans))
+    before = grown(F.transform(F.slice("_scans", F.lit(1), F.size("_scans") - 1), lambda scan: F.element_at(scan, -1)), F.array(zero))
+    shifted = F.zip_with("_scans", before, lambda scan, last: F.transform(scan, lambda x: merge(last, x)))
+    empty = F.slice(source, 1, 0)
+    return rows.withColumn(out, F.when(F.col("_scans").isNotNull(), F.flatten(shifted)).otherwise(empty)).drop("_scans")
+
+
+def _with_ends(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_ends``, where each of ``_matches`` ends, ``_gaps`` standing between them."""
+    lengths = F.expr("zip_with(slice(_gaps, 1, size(_matches)), _matches, (g, m) -> length(g) + length(m))")
+    return running(rows.withColumn("_lengths", lengths), "_lengths", "_ends", lambda a, b: a + b, F.lit(0)).drop("_lengths")
+
+
 def with_base_spans(documents: DataFrame, text: str) -> DataFrame:
     """``documents`` with an array of (start, end) for each kind, columns named _email, _ip, _card, _phone."""
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
     for kind in KINDS:
         gaps, matches = _pieces(source, kind.pattern, kind.trigger(source))
-        documents = documents.withColumns({"_gaps": gaps, "_matches": matches})
+        documents = _with_ends(documents.withColumns({"_gaps": gaps, "_matches": matches}))
         found = F.expr(
-            f"""aggregate(
-                  sequence(0, size(_matches) - 1),
-                  struct(0 AS at, cast(array() AS {_SPANS}) AS spans),
-                  (s, i) -> struct(
-                    s.at + length(_gaps[i]) + length(_matches[i]) AS at,
-                    CASE WHEN exists(slice(_matches, i + 1, 1), m -> {kind.check})
-                      THEN concat(s.spans, array(struct(s.at + length(_gaps[i]) AS start,
-                                                        s.at + length(_gaps[i]) + length(_matches[i]) AS end)))
-                      ELSE s.spans END AS spans),
-                  s -> s.spans)"""
+            f"""transform(
+                  filter(zip_with(_ends, _matches, (e, m) -> struct(e - length(m) AS start, e AS end, {kind.check} AS ok)), x -> x.ok),
+                  x -> struct(x.start AS start, x.end AS end))"""
         )
-        none = F.expr(f"cast(array() AS {_SPANS})")
-        documents = documents.withColumn(f"_{kind.name}", F.when(F.size("_matches") > 0, found).otherwise(none))
-    return documents.drop("_gaps", "_matches")
+        documents = documents.withColumn(f"_{kind.name}", found)
+    return documents.drop("_gaps", "_matches", "_ends")
+
+
+def _merged(documents: DataFrame, spans: Column, touching: bool) -> DataFrame:
+    """``documents`` with ``_regions``: (start, end, kind, kinds) of spans (start, end, kind) that overlap, and of
+    ``touching`` ones, as one; kind is that of the first span, kinds lists the numbers of all."""
+    documents = documents.withColumn("_spans", F.array_sort(spans)).withColumn("_span_ends", F.expr("transform(_spans, s -> s.end)"))
+    documents = running(documents, "_span_ends", "_most", F.greatest, F.lit(-1))
+    apart = ">" if touching else ">="
+    marked = F.expr(
+        f"""zip_with(_spans, concat(array(-1), slice(_most, 1, greatest(size(_most) - 1, 0))), (s, p) ->
+              struct(s.start AS start, s.kind AS kind, s.start {apart} p AS begins))"""
+    )
+    documents = documents.withColumn("_marked", F.when(F.size("_spans") > 0, marked))
+    regions = F.expr(
+        """zip_with(
+             filter(_marked, x -> x.begins),
+             arrays_zip(
+               filter(zip_with(_most, concat(slice(transform(_marked, x -> x.begins), 2, size(_marked)), array(true)), (m, last) -> if(last, m, null)), m -> m IS NOT NULL),
+               slice(split(array_join(transform(_marked, x -> concat(if(x.begins, ',', ''), x.kind)), ''), ','), 2, size(_marked))),
+             (x, y) -> struct(x.start AS start, y['0'] AS end, x.kind AS kind, y['1'] AS kinds))"""
+    )
+    none = F.expr("cast(array() AS array<struct<start:int,end:int,kind:int,kinds:string>>)")
+    documents = documents.withColumn("_regions", F.coalesce(regions, none))
+    return documents.drop("_spans", "_span_ends", "_most", "_marked")
+
+
+def _rebuilt(documents: DataFrame, text: str, inside: str) -> DataFrame:
+    """``documents`` with ``_parts``: for pieces of the text, (done: with ``inside`` in place of the regions, held: the
+    letters of the regions, ``_MASK`` in front of each).
+
+    ``inside`` is SQL of a region ``r`` and of first, where its letters in the piece begin, and n, their number.
+    The text is cut before it is read by place, as finding a place means counting the letters before it.
+    """
+    documents = documents.withColumn("_pieces", F.when(F.size("_regions") > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))))
+    parts = F.expr(
+        f"""transform(_pieces, (c, j) -> aggregate(
+              transform(filter(_regions, r -> r.end > j * {PIECE} AND r.start < (j + 1) * {PIECE}), r -> struct(
+                r AS r, r.start >= j * {PIECE} AS begins, greatest(r.start - j * {PIECE}, 0) AS first,
+                least(r.end - j * {PIECE}, {PIECE}) - greatest(r.start - j * {PIECE}, 0) AS n)),
+              struct(0 AS at, '' AS done, '' AS held),
+              (s, x) -> struct(
+                x.first + x.n AS at,
+                concat(s.done, substr(c, s.at + 1, x.first - s.at), {inside}) AS done,
+                concat(s.held, if(x.begins, '{_MASK}', ''), substr(c, x.first + 1, x.n)) AS held),
+              s -> struct(concat(s.done, substr(c, s.at + 1)) AS done, s.held AS held)))"""
+    )
+    return documents.withColumn("_parts", parts).drop("_pieces")
 
 
 def with_candidates(documents: DataFrame, text: str) -> DataFrame:
-    """``documents`` with ``_candidates``: (start, end, instance, left, right, base) of every region of base
-    spans and every run of words with a digit or an at sign between them."""
+    """``documents`` with ``_candidates``: (start, end, instance, left, right, base, kinds) of every region of
+    base spans and every run of words with a digit or an at sign between them."""
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    regions = F.expr(
-        f"""aggregate(array_sort(concat({", ".join(f"_{k}" for k in NAMES)})), cast(array() AS {_SPANS}), (s, x) ->
-              CASE WHEN size(s) > 0 AND x.start <= element_at(s, -1).end
-                THEN concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).start AS start, greatest(element_at(s, -1).end, x.end) AS end)))
-                ELSE concat(s, array(x)) END)"""
-    )
-    documents = documents.withColumns({"_source": F.translate(source, _MASK, _OTHER), "_regions": regions})
-    masked = F.expr(
-        f"""aggregate(_regions, struct(0 AS at, '' AS done),
-              (s, x) -> struct(x.end AS at, concat(s.done, substr(_source, s.at + 1, x.start - s.at), repeat('{_MASK}', x.end - x.start)) AS done),
-              s -> concat(s.done, substr(_source, s.at + 1)))"""
-    )
-    documents = documents.withColumn("_masked", F.when(F.size("_regions") > 0, masked).otherwise(F.col("_source")))
+    documents = _merged(documents.withColumn("_source", F.translate(source, _MASK, _OTHER)), _spans_with_kind(), True)
+    documents = _rebuilt(documents, "_source", f"repeat('{_MASK}', x.n)")
+    masked = F.expr("array_join(transform(_parts, p -> p.done), '')")
+    letters = F.expr(f"slice(split(array_join(transform(_parts, p -> p.held), ''), '{_MASK}'), 2, size(_regions))")
+    documents = documents.withColumns({"_masked": F.coalesce(masked, "_source"), "_letters": letters})
     gaps, matches = _pieces(F.col("_masked"), CANDIDATE, F.col("_masked").rlike(f"[0-9@{_MASK}]"))
-    documents = documents.withColumns({"_gaps": gaps, "_matches": matches})
-    kind = "array<struct<start:int,end:int,instance:string,left:string,right:string,base:boolean>>"
+    documents = _with_ends(documents.withColumns({"_gaps": gaps, "_matches": matches}))
+    kind = "array<struct<start:int,end:int,instance:string,left:string,right:string,base:boolean,kinds:string>>"
     word = rf"[^{_SPACE}]++"
     after = r"^[\x22')\]}>|.,;:!?]++"  # punctuation that belongs to a base span
 
-    def gap(i: str, before: str) -> str:
-        return f"CASE WHEN startswith({before}, '{_MASK}') THEN regexp_replace(_gaps[{i}], r\"{after}\", '') ELSE _gaps[{i}] END"
+    def gap(own: str, before: str) -> str:
+        return f"CASE WHEN startswith({before}, '{_MASK}') THEN regexp_replace({own}, r\"{after}\", '') ELSE {own} END"
 
     def nearest(inside: str, beside: str, word_beside: str) -> str:
         return f"""lower(CASE WHEN {inside} <> '' THEN {inside} WHEN startswith({beside}, '{_MASK}') THEN '{_MASK}'
                      ELSE coalesce(regexp_extract({beside}, r'{word_beside}', 0), '') END)"""
 
-    left = nearest(rf"regexp_extract({gap('i', 'get(_matches, i - 1)')}, r'(?<![^{_SPACE}])({word})[{_SPACE}]*+$', 1)", "get(_matches, i - 1)", rf"(?<![^{_SPACE}]){word}$")
-    right = nearest(rf"regexp_extract({gap('i + 1', '_matches[i]')}, r'^[{_SPACE}]*+({word})', 1)", "get(_matches, i + 1)", rf"^{word}")
+    left = nearest(rf"regexp_extract({gap('x.gap', 'x.last')}, r'(?<![^{_SPACE}])({word})[{_SPACE}]*+$', 1)", "x.last", rf"(?<![^{_SPACE}]){word}$")
+    right = nearest(rf"regexp_extract({gap('x.after', 'x.own')}, r'^[{_SPACE}]*+({word})', 1)", "x.next", rf"^{word}")
+    neighbours = F.arrays_zip(
+        F.col("_ends").alias("ends"), F.col("_matches").alias("own"),
+        F.expr("slice(_gaps, 1, size(_matches))").alias("gap"), F.expr("slice(_gaps, 2, size(_matches))").alias("after"),
+        F.expr("concat(array(cast(null AS string)), slice(_matches, 1, size(_matches) - 1))").alias("last"),
+        F.expr("concat(slice(_matches, 2, size(_matches)), array(cast(null AS string)))").alias("next"),
+    )
+    documents = documents.withColumn("_near", F.when(F.size("_matches") > 0, neighbours))
     found = F.expr(
-        f"""aggregate(
-              sequence(0, size(_matches) - 1),
-              struct(0 AS at, cast(array() AS {kind}) AS found),
-              (s, i) -> struct(
-                s.at + length(_gaps[i]) + length(_matches[i]) AS at,
-                concat(s.found, array(struct(
-                  s.at + length(_gaps[i]) AS start, s.at + length(_gaps[i]) + length(_matches[i]) AS end,
-                  CASE WHEN startswith(_matches[i], '{_MASK}') THEN substr(_source, s.at + length(_gaps[i]) + 1, length(_matches[i]))
-                    ELSE _matches[i] END AS instance,
-                  {left} AS left, {right} AS right, startswith(_matches[i], '{_MASK}') AS base))) AS found),
-              s -> s.found)"""
+        f"""transform(_near, x -> struct(
+              x.ends - length(x.own) AS start, x.ends AS end, x.own AS instance, {left} AS left, {right} AS right, startswith(x.own, '{_MASK}') AS base))"""
+    )
+    documents = documents.withColumn("_found", found)
+    both = F.expr(
+        f"""cast(concat(
+              transform(filter(_found, x -> NOT x.base), x -> struct(x.start AS start, x.end AS end, x.instance AS instance, x.left AS left, x.right AS right, x.base AS base, '' AS kinds)),
+              coalesce(zip_with(filter(_found, x -> x.base), zip_with(_letters, _regions, (t, r) -> struct(t AS text, r.kinds AS kinds)),
+                (x, y) -> struct(x.start AS start, x.end AS end, y.text AS instance, x.left AS left, x.right AS right, x.base AS base, y.kinds AS kinds)),
+                cast(array() AS {kind}))) AS {kind})"""
+    )
+    none = F.expr(f"cast(array() AS {kind})")
+    return documents.withColumn("_candidates", F.coalesce(both, none)).drop(
+        "_gaps", "_matches", "_masked", "_source", "_regions", "_parts", "_letters", "_ends", "_near", "_found"
     )
-    return documents.withColumn(
-        "_candidates", F.when(F.size("_matches") > 0, found).otherwise(F.expr(f"cast(array() AS {kind})"))
-    ).drop("_gaps", "_matches", "_masked", "_source", "_regions")
 
 
 def _trimmed(piece: Column) -> Column:
@@ -185,13 +253,11 @@ def _words_of_runs(occurrences: DataFrame) -> DataFrame:
     """A row for each word of a run: its start, it and the ``MOST_WORDS`` words after it, it and those before
     it, how many words follow, and the words left of it and right of it."""
     words = occurrences.where(~F.col("base")).withColumn("words", F.split("instance", " "))
-    words = words.withColumn(
-        "starts",
-        F.expr("aggregate(words, struct(start AS at, cast(array() AS array<int>) AS all), (s, w) -> struct(s.at + length(w) + 1 AS at, concat(s.all, array(s.at)) AS all), s -> s.all)"),
-    )
+    words = running(words.withColumn("sizes", F.expr("transform(words, w -> length(w) + 1)")), "sizes", "ends", lambda a, b: a + b, F.lit(0))
+    words = words.withColumn("starts", F.expr("zip_with(ends, sizes, (e, n) -> e - n)"))
     each = F.expr(
         f"""transform(sequence(0, size(words) - 1), i -> struct(
-              starts[i] AS start, slice(words, i + 1, {MOST_WORDS + 1}) AS next, size(words) - i AS rest,
+              start + starts[i] AS start, slice(words, i + 1, {MOST_WORDS + 1}) AS next, size(words) - i AS rest,
               slice(words, greatest(0, i - {MOST_WORDS - 1}) + 1, least(i + 1, {MOST_WORDS})) AS last,
               CASE WHEN i = 0 THEN left ELSE lower(words[i - 1]) END AS left,
               CASE WHEN i = size(words) - 1 THEN right ELSE lower(words[i + 1]) END AS next_right, right AS right))"""
@@ -219,10 +285,6 @@ def row_key(key: str, text: str) -> dict[str, Column]:
     return {"_key": F.col(key), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))}
 
 
-def _touches(start: Column, end: Column, spans: str) -> Column:
-    return F.exists(spans, lambda s: (s.start < end) & (s.end > start))
-
-
 def discover(rows: DataFrame, rounds: int, min_support: int, min_confidence: float, min_score: float) -> DataFrame:
     """_key, _hash, kind, start, end of the occurrences that contexts discover.
 
@@ -232,8 +294,7 @@ def discover(rows: DataFrame, rounds: int, min_support: int, min_confidence: flo
         rows.where(F.size("_candidates") > 0)
         .withColumn("c", F.explode("_candidates"))
         .select(
-            "_key", "_hash", "c.*",
-            *(_touches(F.col("c.start"), F.col("c.end"), f"_{k}").alias(f"is_{k}") for k in NAMES),
+            "_key", "_hash", "c.*", *(F.col("c.kinds").contains(str(n)).alias(f"is_{k}") for n, k in enumerate(NAMES)),
         )
     )
     regions = materialize(
@@ -328,7 +389,14 @@ def with_spans(
     found = discover(rows, rounds, min_support, min_confidence, min_score)
     number = F.element_at(F.create_map(*(x for k, name in enumerate(NAMES) for x in (F.lit(name), F.lit(k)))), F.col("kind"))
     more = found.groupBy("_key", "_hash").agg(F.collect_set(F.struct(number.alias("kind"), "start", "end")).alias("_more"))
-    longest = F.filter("_more", lambda x: ~F.exists("_more", lambda y: (y.start <= x.start) & (y.end >= x.end) & (y.end - y.start > x.end - x.start)))
+    # By start and falling end a longer span around one comes first: the furthest end so far tells, with its start.
+    order = F.transform("_more", lambda x: F.struct(x.start.alias("start"), (-x.end).alias("end"), x.kind.alias("kind")))
+    more = more.withColumn("_order", F.array_sort(order)).withColumn("_reach", F.expr("transform(_order, x -> struct(-x.end AS end, -x.start AS start))"))
+    more = running(more, "_reach", "_far", F.greatest, F.struct(F.lit(-1).alias("end"), F.lit(0).alias("start")))
+    longest = F.expr(
+        """transform(filter(arrays_zip(_order, _far), x -> NOT (x._far.end > -x._order.end OR -x._far.start < x._order.start)),
+             x -> struct(x._order.kind AS kind, x._order.start AS start, -x._order.end AS end))"""
+    )
     more = more.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), longest.alias("_more"))
     same = rows["_key"].eqNullSafe(F.col("_k")) & (rows["_hash"] == F.col("_h"))
     none = F.expr("cast(array() AS array<struct<kind:int,start:int,end:int>>)")
@@ -337,6 +405,15 @@ def with_spans(
     )
 
 
+def _spans_with_kind() -> Column:
+    return F.concat(
+        *(
+            F.transform(f"_{name}", lambda s, k=k: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(k).alias("kind")))
+            for k, name in enumerate(NAMES)
+        )
+    )
+
+
 def _numbered() -> Column:
     """All base spans as (kind number, start, end), by kind, then start."""
 
@@ -374,16 +451,9 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", **sett
     """
     spans = with_spans(documents, key, text, **settings)
     # Only documents with spans take part in the join; equal rows have equal spans.
-    some = (
-        spans.withColumn("_all", F.concat(_numbered(), "_more"))
-        .where(F.size("_all") > 0)
-        .select(
-            F.col("_key").alias("_k"),
-            F.col("_hash").alias("_h"),
-            F.array_sort(F.transform("_all", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).alias("_all"),
-        )
-        .dropDuplicates(["_k", "_h"])
-    )
+    some = spans.withColumn("_all", F.concat(_numbered(), "_more")).where(F.size("_all") > 0).dropDuplicates(["_key", "_hash"])
+    all_spans = F.transform("_all", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
+    some = _merged(some, all_spans, False).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_regions")
     # The document's own columns travel in one struct, so none can clash.
     rows = documents.select(
         F.struct("*").alias("_doc"),
@@ -391,14 +461,7 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", **sett
         *(c.alias(name) for name, c in row_key(key, text).items()),
     )
     names = ", ".join(f"'[{k.upper()}]'" for k in NAMES)
-    cut = F.expr(
-        f"""aggregate(_all, struct(0 AS at, '' AS done),
-              (s, x) -> CASE WHEN x.start < s.at THEN struct(greatest(s.at, x.end) AS at, s.done AS done)
-                ELSE struct(x.end AS at, concat(s.done, substr(_text, s.at + 1, x.start - s.at), array({names})[x.kind]) AS done) END,
-              s -> concat(s.done, substr(_text, s.at + 1)))"""
-    )
     same = rows["_key"].eqNullSafe(F.col("_k")) & (rows["_hash"] == F.col("_h"))
-    redacted = F.when(F.col("_all").isNull(), F.col("_text")).otherwise(cut)
-    return rows.join(some, same, "left").select(
-        *(redacted.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in documents.columns)
-    )
+    joined = _rebuilt(rows.join(some, same, "left"), "_text", f"if(x.begins, array({names})[x.r.kind], '')")
+    redacted = F.coalesce(F.expr("array_join(transform(_parts, p -> p.done), '')"), F.col("_text"))
+    return joined.select(*(redacted.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in documents.columns))

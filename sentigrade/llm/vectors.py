@@ -93,7 +93,8 @@ def assign(units: DataFrame, centroids: dict[int, np.ndarray], threshold: float,
     ``centroids``: those of every length in bytes of a unit vector.
     """
     chord = math.sqrt(2 * (1 - threshold)) * reach
-    apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) * chord + 1e-9 for size, c in centroids.items()}
+    # Chords between unit vectors from their products, a little too long rather than too short.
+    apart = {size: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0) + 1e-12) * chord + 1e-9 for size, c in centroids.items()}
     lower = {size: np.tril(np.ones(a.shape, dtype=bool), -1) for size, a in apart.items()}
     kind = units.schema["label"].dataType.simpleString()
 

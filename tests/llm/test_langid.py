@@ -1,8 +1,11 @@
 """Language identification: accuracy on held-out rows, and rows without a language."""
 
+import itertools
 import os
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +71,29 @@ def test_accuracy_on_held_out_documents(spark):
     found = langid.predict(documents, langid.learn(documents)).where(langid.held_out(F.col("doc_id")))
     total, right = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert total > 100 and right / total > 0.97
+
+
+def test_an_id_on_many_rows_and_many_codes(spark):
+    rng = random.Random(7)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(8))
+
+    rows = [(1, text("abcde"), "en") for _ in range(2000)] + [(1, text("vwxyz"), "es") for _ in range(2000)] + [(1, rows_text, "en") for rows_text in ["same text here"] * 1500]
+    rows += [(k, text("klmno"), f"x{k % 90}") for k in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn(df, per_language=50, most_languages=5)
+    assert len(model.languages) == 5 and {"en", "es"} <= set(model.languages) and len(model.biases) <= 10
+    guessed, _ = model.predict([text("abcde"), text("vwxyz"), ""])
+    assert guessed == ["en", "es", "und"]
+
+
+def test_predictions_equal_plain_votes():
+    rng = np.random.default_rng(1)
+    names = ["a", "b", "c", "d"]
+    duels = {pair: rng.normal(size=40) for pair in itertools.combinations(names, 2)}
+    best, least = langid.Model.champion(names, duels, 40)
+    for k in range(40):
+        votes = {n: [m[k] if n == a else -m[k] for (a, b), m in duels.items() if n in (a, b)] for n in names}
+        want = max(names, key=lambda n: (sum(v > 0 for v in votes[n]), sum(np.tanh(v) for v in votes[n])))
+        assert names[best[k]] == want and least[k] == min(votes[want])

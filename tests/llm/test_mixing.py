@@ -1,5 +1,7 @@
 """Mixing: targets, permutations, and what every document gives."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,10 +39,40 @@ def test_shards_draw_all_slots():
     assert [c.sum() for c in counts[:-1]] == [64] * 31 and len({tuple(c) for c in counts}) > 20
 
 
-def test_large_counts_split_by_their_means():
+@pytest.mark.parametrize("good, bad, draws", [(1_500_000_000, 2_500_000_000, 2_000_000_000), (3_999_999_000, 1000, 1_000_000_000), (40, 60, 30), (3, 2, 2), (10**12, 10**13, 10**12)])
+def test_draws_have_mean_and_variance_at_every_size(good, bad, draws):
+    rng, n = np.random.default_rng(1), 4000
+    got = np.array([mixing.hypergeometric(rng, good, bad, draws) for _ in range(n)], dtype=float)
+    share, total = good / (good + bad), good + bad
+    mean, variance = draws * share, draws * share * (1 - share) * (total - draws) / (total - 1)
+    assert abs(got.mean() - mean) < 4 * (variance / n) ** 0.5
+    assert abs(got.var() / variance - 1) < 4 * (2 / n) ** 0.5 + 0.03
+    assert got.min() >= max(0, draws - bad) and got.max() <= min(good, draws)
+
+
+def test_small_draws_follow_their_law():
+    rng, n = np.random.default_rng(2), 20_000
+    got = np.bincount([mixing.hypergeometric(rng, 7, 9, 6) for _ in range(n)], minlength=7) / n
+    want = np.array([math.comb(7, k) * math.comb(9, 6 - k) / math.comb(16, 6) for k in range(7)])
+    assert np.abs(got - want).max() < 4 * (0.25 / n) ** 0.5
+
+
+def test_large_counts_are_split_whole():
     counts = np.array([3_000_000_000, 1_000_000_000, 5])
-    left = mixing.split_counts(counts, 2_000_000_000, [1])
-    assert left.sum() == 2_000_000_000 and (left <= counts).all() and abs(left[0] - 1_500_000_000) < 5
+    left = [mixing.split_counts(counts, 2_000_000_000, [k]) for k in range(200)]
+    assert all(x.sum() == 2_000_000_000 and (x <= counts).all() for x in left) and len({x[0] for x in left}) > 150
+
+
+def test_an_id_on_many_rows(spark):
+    rows = [(1, "a b c", "s", k % 2) for k in range(3000)] + [(None, f"w{k} x", "s", 0) for k in range(600)] + [(1, f"w{k}", "s", 0) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, part int").repartition(4)
+    plan = mixing.mix(df, block_words=16, shard_slots=128)
+    placed = plan.rows.select("start", "size").orderBy("start").collect()
+    ends = np.cumsum([0, *(r.size for r in placed)])
+    assert [r.start for r in placed] == ends[:-1].tolist() and len(placed) == 4200
+    got = plan.taken()
+    assert got.count() == 4200 and got.where("taken > 2 * size").count() == 0
+    assert abs(got.agg(F.sum("taken")).first()[0] - 1.5 * ends[-1]) <= 32
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -118,3 +119,35 @@ def test_identifiers_beside_other_words_with_digits(spark):
 def test_no_python_on_the_main_path(letters):
     plan = pii.report(pii.with_spans(letters))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_running_results_in_pieces(spark):
+    F = pii.F
+    rows = [([],), ([4],), ([3, 1, 2],), (list(range(50)),), (None,)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    for items in (1, 2, 7, 256):
+        sums = pii.running(df, "a", "s", lambda x, y: x + y, F.lit(0), items)
+        most = pii.running(sums, "a", "m", F.greatest, F.lit(-1), items).collect()
+        for r in most:
+            want = [sum(r.a[: k + 1]) for k in range(len(r.a))] if r.a else r.a
+            assert r.s == want and r.m == ([max(r.a[: k + 1]) for k in range(len(r.a))] if r.a else r.a)
+
+
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 7)
+    texts = ["mail bob@example.org or +1 (555) 123-4567, 10.0.0.1 now", "é🎉" * 9 + " me@x.org", "4111 1111 1111 1111", "x" * 50, "1.2.3.4,5.6.7.8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == [
+        "mail [EMAIL] or [PHONE], [IP] now", "é🎉" * 9 + " [EMAIL]", "[CARD]", "x" * 50, "[IP],[IP]"]
+    got = {r.doc_id: r for r in pii.report(pii.with_spans(df)).collect()}
+    assert all((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == base(texts[k])[0] for k, r in got.items())
+
+
+def test_a_text_of_many_spans_takes_time_in_proportion(spark):
+    text = " ".join(f"+1 555 {k:07d}" for k in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "1 " * 30_000)], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.report(pii.with_spans(df)).collect()}
+    assert time.time() - begun < 60
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone, got[1].base_sha256) == base(text)[0]
+    assert pii.redact(df.where("doc_id = 1")).first().text == " ".join(["[PHONE]"] * 100_000)
