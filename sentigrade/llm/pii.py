@@ -406,12 +406,10 @@ def with_spans(
 
 
 def _spans_with_kind() -> Column:
-    return F.concat(
-        *(
-            F.transform(f"_{name}", lambda s, k=k: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(k).alias("kind")))
-            for k, name in enumerate(NAMES)
-        )
-    )
+    def with_kind(k: int) -> Column:
+        return F.transform(f"_{NAMES[k]}", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(k).alias("kind")))
+
+    return F.concat(*map(with_kind, range(len(NAMES))))
 
 
 def _numbered() -> Column:
