@@ -229,6 +229,20 @@ def distinct_games(df: DataFrame, column: str = "game_name", approximate: bool =
     return df.agg(counter(column).alias("n_games"))
 
 
+def distinct_sketches(df: DataFrame, column: str, by: Sequence[str] = (), precision: int = 12) -> DataFrame:
+    """One mergeable sketch of the distinct values of ``column`` for each group: a few kilobytes however many rows.
+
+    Sketches of batches can be stored and merged later; values are not read again.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(column).cast("string"), precision).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated number of distinct values per group of stored sketches."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, F.hll_sketch_estimate("sketch").alias("n_distinct"))
+
+
 def imbalance(df: DataFrame, label: str, limit: float = 0.8) -> DataFrame:
     """Majority class, its share, and whether the labels are degenerate or imbalanced."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))

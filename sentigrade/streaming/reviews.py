@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import schemas
 from ..functions.text import word_count
@@ -75,6 +75,46 @@ def dedup_stream(
     )
 
 
+def first_arrivals(
+    stream: DataFrame, output: str, checkpoint: str, keys: Sequence[str], text: str, buckets: int = 64
+) -> StreamingQuery:
+    """Writes the first arrival of each (keys, text), however long ago that was, below ``output``.
+
+    What has arrived is a table of digests in ``buckets`` folders by digest.  A batch keeps one row of each
+    digest, drops those that earlier batches hold, reading only its own buckets, and writes the rest to a
+    folder of its own.  A repeated batch looks at earlier batches only and overwrites its folder, so it
+    gives the same rows.  Nothing is held between batches, so the span is bounded by storage alone.
+    """
+    schema = stream.withColumn("text_digest", F.sha2(F.col(text), 256)).select(*keys, "text_digest").schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("text_digest", F.sha2(F.col(text), 256))
+        own = rows.select(*keys, "text_digest").distinct()
+        own = own.withColumn("bucket", F.pmod(F.xxhash64(*keys, "text_digest"), F.lit(buckets)).cast("int"))
+        if batch_id:
+            past = read_if_present(spark, StructType([*schema.fields, *_PLACE]), f"{output}/arrivals")
+            past = past.where(F.col("batch") < batch_id)
+            same = [own[c].eqNullSafe(past[c]) for c in (*keys, "text_digest")]
+            own = own.join(past, [own["bucket"] == past["bucket"], *same], "left_anti")
+        path = f"{output}/arrivals/batch={batch_id}"
+        own.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+_PLACE = [StructField("batch", IntegerType()), StructField("bucket", IntegerType())]
+
+
+def read_arrivals(spark: SparkSession, output: str, schema: str) -> DataFrame:
+    """The digests that ``first_arrivals`` has written; ``schema`` names keys and text_digest."""
+    fields = StructType.fromDDL(schema)
+    found = read_if_present(spark, StructType([*fields.fields, *_PLACE]), f"{output}/arrivals")
+    return found.select(*fields.fieldNames())
+
+
 def append_stream(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.format("parquet")

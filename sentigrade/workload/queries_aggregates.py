@@ -681,3 +681,16 @@ def spearman_matrix(t):
 )
 def trend_line(t):
     return correlation.trend_line(matrix(t), "ea_mean_review_length", "estimated_revenue_usd")
+
+
+@query(
+    "distinct_by_sketch",
+    """SELECT review_type, count(DISTINCT review_text) AS n_exact, true AS is_near FROM reviews GROUP BY review_type""",
+)
+def distinct_by_sketch(t):
+    """Sketches of every source file, merged by review type, within four standard errors of the exact count."""
+    by_file = aggregates.distinct_sketches(t.reviews, "review_text", ["review_type", "game_name"])
+    near = aggregates.merged_distinct(by_file, ["review_type"])
+    exact = t.reviews.groupBy("review_type").agg(F.count_distinct("review_text").alias("n_exact"))
+    allowed = 4 * 1.04 / 64 * F.col("n_exact") + 1
+    return exact.join(near, "review_type").select("review_type", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= allowed).alias("is_near"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..learning import outcomes
+from ..learning import bayes, outcomes, scoring
 from ..learning.classifiers import MODELS
 from ..learning.features import tfidf_table
 from ..learning.folds import class_weights, stratified_folds
@@ -12,7 +12,7 @@ from ..learning.runner import run_cv
 from ..operators import metrics, relational
 from ..session import scratch_folder
 from ..streaming import reviews as streams
-from .queries_aggregates import _SCORE, _TOTAL, GAME_DOUBLES, game_table_sql, scored, stored_matrix
+from .queries_aggregates import _BINARY, _COUNTS, _SCORE, _TOTAL, GAME_DOUBLES, game_table_sql, scored, stored_matrix
 from .queries_tables import CLEAN
 from .registry import HELPERS, query
 
@@ -88,6 +88,53 @@ def nb_cv(t):
     return _cv(t, ("NaiveBayes",))
 
 
+@query(
+    "nb_folds",
+    rf"""WITH r AS (SELECT row_id, positive, cleaned_text FROM built_reviews WHERE positive IS NOT NULL),
+          f AS (SELECT *, CAST((row_number() OVER (PARTITION BY positive ORDER BY md5('0:' || row_id), row_id) - 1) % 5 AS INT) AS fold FROM r),
+          w AS (SELECT row_id, positive, fold, regexp_extract_all(cleaned_text, '\w\w+') AS w FROM f),
+          terms AS (SELECT row_id, positive, fold,
+                           unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+          counts AS (SELECT row_id, positive, fold, term, count(*) AS tf FROM terms GROUP BY ALL),
+          models AS (SELECT m.fold AS model, count(*) AS n, count(*) FILTER (WHERE positive = 1) AS n1
+                     FROM f JOIN (SELECT DISTINCT fold FROM f) m ON f.fold <> m.fold GROUP BY m.fold),
+          sums AS (SELECT model, term, sum(tf) AS tf, count(*) AS df FROM counts JOIN models ON fold <> model GROUP BY model, term),
+          vocabulary AS (SELECT model, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM sums JOIN models USING (model)
+                         WHERE df >= 2 AND df <= 0.95 * n
+                         QUALIFY row_number() OVER (PARTITION BY model ORDER BY tf DESC, term) <= 10000),
+          raw AS (SELECT model, row_id, positive, fold, term, (1 + ln(tf)) * idf AS x FROM counts JOIN vocabulary USING (term)),
+          weighted AS (SELECT * REPLACE (x / sqrt(sum(x * x) OVER (PARTITION BY model, row_id)) AS x) FROM raw),
+          classes AS (SELECT v.model, v.term, coalesce(sum(x) FILTER (WHERE positive = 0), 0) AS s0, coalesce(sum(x) FILTER (WHERE positive = 1), 0) AS s1
+                      FROM vocabulary v LEFT JOIN weighted t ON t.model = v.model AND t.term = v.term AND t.fold <> v.model GROUP BY v.model, v.term),
+          odds AS (SELECT model, term, ln((s1 + 1) / (sum(s1) OVER p + count(*) OVER p)) - ln((s0 + 1) / (sum(s0) OVER p + count(*) OVER p)) AS odds
+                   FROM classes WINDOW p AS (PARTITION BY model)),
+          told AS (SELECT row_id, sum(x * odds) AS told FROM weighted JOIN odds USING (model, term) WHERE fold = model GROUP BY row_id),
+          scored AS (SELECT fold, positive, CAST(ln(n1) - ln(n - n1) + coalesce(told, 0) > 0 AS INT) AS predicted
+                     FROM f JOIN models ON fold = model LEFT JOIN told USING (row_id))
+       SELECT fold, tp, tn, fp, fn, (tp + tn) / n AS accuracy, (p0 + p1) / 2 AS precision, (r0 + r1) / 2 AS recall, (f0 + f1) / 2 AS f1_score
+       FROM ({_BINARY.format(source=f"SELECT fold, {_COUNTS} FROM scored GROUP BY fold")})""",
+    "accuracy precision recall f1_score",
+)
+def nb_folds(t):
+    return bayes.fold_results(labelled(t), "row_id", "positive", "cleaned_text")
+
+
+@query("saved_model", "SELECT count(*) AS n_rows, count(*) AS n_equal FROM built_reviews")
+def saved_model(t):
+    """A model saved, found by its name and loaded scores every row as it did before."""
+    path, models = scratch_folder(t.spark, "results"), scratch_folder(t.spark, "models")
+    rows = built(t).select("row_id", "cleaned_text", "positive").where("positive IS NOT NULL")
+    run_cv(rows, path, ("LogisticRegression",), seeds=(0,), k=2, models_path=models)
+    loaded = [scoring.load_predictor(t.spark, models, fold=fold) for fold in (0, 1)]
+    again = f"{models}-again"
+    scoring.save_predictor(loaded[0], again, "LogisticRegression", 0, 0)
+    both = built(t).select("row_id", "cleaned_text")
+    for name, model in (("first", loaded[0]), ("second", scoring.load_predictor(t.spark, again))):
+        both = scoring.score(model, both).withColumnsRenamed({"probability": f"{name}_p", "predicted": name})
+    same = (F.col("first_p") == F.col("second_p")) & (F.col("first") == F.col("second")) & F.col("first_p").between(0, 1)
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_equal"))
+
+
 @query("svm_cv")
 def svm_cv(t):
     return _cv(t, ("SVM",))
@@ -185,14 +232,11 @@ def stream_ingest(t):
 
 @query("stream_dedup", "SELECT DISTINCT lang AS app_id, sha256(text) AS text_digest FROM documents")
 def stream_dedup(t):
+    """Copies are dropped however far apart they arrive."""
     output, checkpoint = scratch_folder(t.spark, "dedup"), scratch_folder(t.spark, "dedup-checkpoint")
-    # Documents carry no time; one second apart from 2024 on, as times at the epoch count as late.
-    written = F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("ts")
-    stream = _documents(t).select(F.col("lang").alias("app_id"), F.col("text").alias("review_text"), written)
-    # Ids, and with them times, of one table span days at the most; later copies would pass.
-    single = streams.dedup_stream(stream, "ts", ["app_id"], "review_text", "30 days")
-    streams.append_stream(single.select("app_id", "text_digest"), output, checkpoint).awaitTermination()
-    return t.spark.read.schema("app_id string, text_digest string").parquet(output)
+    stream = _documents(t).select(F.col("lang").alias("app_id"), F.col("text").alias("review_text"))
+    streams.first_arrivals(stream, output, checkpoint, ["app_id"], "review_text").awaitTermination()
+    return streams.read_arrivals(t.spark, output, "app_id string, text_digest string")
 
 
 @query(

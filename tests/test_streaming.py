@@ -1,5 +1,7 @@
 """Streams over landed files give the batch result, also when files land later."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,25 @@ def test_kept_copies_are_released(spark, tmp_path):
 def test_clean_reviews_keeps_order_of_steps(spark):
     df = spark.createDataFrame([("http://x.y/zzzzzzzzzzzzzzzz",), (None,), ("exactly10!",), ("eleven char",)], "review_text string")
     assert [r.cleaned_text for r in clean_reviews(df).collect()] == ["eleven char"]
+
+
+def test_copies_any_time_apart_are_dropped(spark, tmp_path):
+    landed, out, checkpoint = (str(tmp_path / n) for n in ("landed", "out", "checkpoint"))
+    schema = "app_id string, text string"
+    for batch in ([("g", "same"), ("g", "same"), (None, "same"), ("g", None)], [("g", "same"), ("h", "same"), (None, "same")], [("g", None), ("g", "new")], [("g", "same")]):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(landed)
+        stream = streams.file_stream(spark, landed, spark.read.parquet(landed).schema, "parquet")
+        streams.first_arrivals(stream, out, checkpoint, ["app_id"], "text", buckets=4).awaitTermination()
+    found = streams.read_arrivals(spark, out, "app_id string, text_digest string")
+    known = {hashlib.sha256(t.encode()).hexdigest(): t for t in ("same", "new")}
+    got = sorted(((r.app_id, known.get(r.text_digest)) for r in found.collect()), key=repr)
+    assert got == sorted([("g", "same"), (None, "same"), ("g", None), ("h", "same"), ("g", "new")], key=repr)
+
+
+def test_a_repeated_batch_gives_the_same_arrivals(spark, tmp_path):
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    spark.createDataFrame([("g", "a"), ("g", "b")], "app_id string, text string").write.parquet(landed)
+    for attempt in range(2):  # a lost checkpoint starts with the first batch again
+        stream = streams.file_stream(spark, landed, spark.read.parquet(landed).schema, "parquet")
+        streams.first_arrivals(stream, out, str(tmp_path / f"checkpoint{attempt}"), ["app_id"], "text").awaitTermination()
+    assert streams.read_arrivals(spark, out, "app_id string, text_digest string").count() == 2
