@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .parsing import portions
 
-KEEP_WORDS = 500_000
-PORTION = 8_000_000
+KEEP_WORDS = 200_000
+PORTION = 2_000_000
 
 
 class Vocabulary:
