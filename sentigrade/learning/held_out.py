@@ -21,13 +21,15 @@ CLOSE = 1e-9  # length of the gradient, of a loss summed over the rows
 class Fit:
     """Classes, scaling, and a row of weights with the level last for each logit.
 
-    Two classes have one logit, that of the second; more have one each.
+    Two classes have one logit, that of the second; more have one each.  ``inverse`` is that of the
+    curvature at the optimum.
     """
 
     classes: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     theta: np.ndarray
+    inverse: np.ndarray | None = None
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         found = _with_level((x - self.mean) / self.scale) @ self.theta.T
@@ -62,7 +64,8 @@ def _loss(theta: np.ndarray, x: np.ndarray, hot: np.ndarray, penalty: float) ->
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, start: Fit | None = None) -> Fit:
     """The penalised optimum on scaled features; the level is not penalised.
 
-    ``y`` holds whole numbers.  ``start`` shortens the way where it knows the same classes.
+    ``y`` holds whole numbers.  ``start`` shortens the way where it knows the same classes: a row less changes
+    the curvature little, so steps by that of ``start`` need gradients only, and few of them.
     """
     classes = np.unique(y)
     mean, scale = x.mean(axis=0), x.std(axis=0)
@@ -81,10 +84,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, start: Fit | None =
     # Levels of more than two classes may all move by one amount; the last one stays where it is.
     free = np.arange(logits * width - (logits > 1))
     loss, p = _loss(theta, rows, hot, penalty)
-    for _ in range(MOST_STEPS):
-        slope = ((p - hot).T @ rows + theta * weighs).ravel()[free]
-        if np.linalg.norm(slope) <= CLOSE:
-            break
+
+    def slope_of(p: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        return ((p - hot).T @ rows + theta * weighs).ravel()[free]
+
+    def bend_of(p: np.ndarray) -> np.ndarray:
         bend = np.zeros((logits, width, logits, width))
         for a in range(logits):
             for b in range(a, logits):
@@ -94,6 +98,26 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, start: Fit | None =
         bend = bend.reshape(logits * width, -1)[np.ix_(free, free)]
         # A level whose class is separated may have no curvature left.
         bend[np.arange(len(free)), np.arange(len(free))] += 1e-12 * max(1.0, bend.diagonal().max())
+        return bend
+
+    if start is not None and start.inverse is not None and np.array_equal(start.classes, classes):
+        slope = slope_of(p, theta)
+        for _ in range(MOST_STEPS):
+            size = np.linalg.norm(slope)
+            if size <= CLOSE:
+                return Fit(classes, mean, scale, theta)
+            moved = theta.copy()
+            moved.ravel()[free] -= start.inverse @ slope
+            new, q = _loss(moved, rows, hot, penalty)
+            ahead = slope_of(q, moved)
+            if not np.linalg.norm(ahead) < 0.5 * size:
+                break
+            theta, loss, p, slope = moved, new, q, ahead
+    for _ in range(MOST_STEPS):
+        slope = slope_of(p, theta)
+        if np.linalg.norm(slope) <= CLOSE:
+            break
+        bend = bend_of(p)
         step = np.zeros(logits * width)
         step[free] = np.linalg.solve(bend, slope)
         step, length = step.reshape(logits, width), 1.0
@@ -108,7 +132,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, start: Fit | None =
         theta, loss, p = moved, new, q
         if length * np.abs(step).max() < 1e-13:
             break
-    return Fit(classes, mean, scale, theta)
+    return Fit(classes, mean, scale, theta, np.linalg.inv(bend_of(p)))
 
 
 def refits(x: np.ndarray, y: np.ndarray, fold: np.ndarray, wanted: np.ndarray, penalty: float = 1.0) -> Iterator[tuple[int, Fit]]:

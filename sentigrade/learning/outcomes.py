@@ -317,6 +317,7 @@ def revenue_scores(predictions: DataFrame) -> DataFrame:
 
 #: Features times rows of a training matrix that is sent to every task: 64 MB of doubles.
 MOST_CELLS = 8_000_000
+MOST_LEFT_OUT = 50_000
 
 
 def _tier_model(train: DataFrame, n: int, classes: int, inverse_penalty: float = 1.0):
@@ -369,14 +370,15 @@ def loo_classify(
 
     Every row is predicted by a model that has not seen it: one model per row, or one per hashed fold
     where ``folds`` is a number.  Up to ``MOST_CELLS`` features times rows the training matrix is sent to the
-    executors, which refit the model there; larger tables need a number of folds, each fitted by Spark ML
-    over the whole cluster.  A training part with a single tier predicts that tier.  None for fewer than five rows.
+    executors, which refit the model there; beyond, the folds are fitted by Spark ML over the whole cluster.
+    More than ``MOST_LEFT_OUT`` rows, or a larger matrix, need a number of folds, as n refits of n rows
+    cost their square.  A training part with a single tier predicts that tier.  None for fewer than five rows.
     """
     complete = complete_rows(df, key, tier, features)
     n = complete.count()
     if n < SMALLEST_SAMPLE:
         return None
-    if n * max(1, len(features)) <= MOST_CELLS:
+    if n * max(1, len(features)) <= MOST_CELLS and (folds is not None or n <= MOST_LEFT_OUT):
         predicted = _refit_tiers(complete, key, tier, n if folds is None else folds, seed)
     elif folds is None:
         raise ValueError(f"{n} rows are too many to leave out one at a time; give a number of folds")
