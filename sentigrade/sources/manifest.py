@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import block_digest, file_blocks
+
 # Files of a raw folder that are no review sources.
 NOT_TRACKED = ("game_metadata.csv", "game_success_metrics.csv")
+HASH_BYTES = 64 * 1024 * 1024
 
 
 def source_hashes(spark: SparkSession, *folders: str, by_content: bool = True) -> DataFrame:
     """path and md5 of every CSV file, read and hashed by the executors.
 
-    A file is hashed as one value, which holds at most 2 GB.  ``by_content=False`` hashes size and
+    A file is hashed as one value, which holds at most 2 GB (``tree_hashes`` has no limit).  ``by_content=False`` hashes size and
     modification time instead and reads no content.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(list(folders))
@@ -22,6 +28,26 @@ def source_hashes(spark: SparkSession, *folders: str, by_content: bool = True) -
     return files.where(~name.isin(*NOT_TRACKED)).select("path", value.alias("hash"))
 
 
+def tree_hashes(spark: SparkSession, *folders: str, pattern: str = "*.csv", block_bytes: int = HASH_BYTES) -> DataFrame:
+    """path and hash of every file of any size: the md5 of the md5s of its blocks, in order.
+
+    Blocks of ``block_bytes`` are read and hashed apart, a large file by many tasks; how blocks are dealt to tasks makes no
+    difference.  Only digests are brought together, 16 bytes for each block.
+    """
+    blocks = file_blocks(spark, folders, pattern, block_bytes).repartition("path", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [block_digest(*place) for place in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "bytes")))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), pa.array(found, pa.string())], ["path", "block", "digest"])
+
+    digests = blocks.mapInArrow(run, "path string, block long, digest string")
+    ordered = F.array_sort(F.collect_list(F.struct("block", "digest")))
+    joined = F.array_join(F.transform(ordered, lambda b: b.digest), "")
+    name = F.element_at(F.split("path", "/"), -1)
+    return digests.where(~name.isin(*NOT_TRACKED)).groupBy("path").agg(F.md5(joined).alias("hash"))
+
+
 def manifest_diff(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Every path with its state: same, changed, added or removed."""
     joined = current.withColumnRenamed("hash", "current_hash").join(

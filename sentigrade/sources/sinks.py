@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
     """One result table; CSV has a header and writes NULL as a blank field."""
     if kind == "csv":
-        df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode("overwrite").options(**kept).csv(path, header=True, nullValue="", emptyValue="", escape='"')
     else:
         df.write.mode("overwrite").format(kind).save(path)
 

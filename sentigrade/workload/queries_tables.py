@@ -8,7 +8,7 @@ from ..functions import lists, text, values
 from ..learning import outcomes
 from ..operators import aggregates, relational
 from ..session import scratch_folder
-from ..sources import manifest, payloads, readers, registry
+from ..sources import manifest, payloads, readers, registry, sinks
 from .registry import HELPERS, query
 from .views import MODELS
 
@@ -55,6 +55,23 @@ def success_metrics(t):
 # --- Sources ------------------------------------------------------------------------------------
 
 
+@query("split_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, nullif(text, '') AS text FROM documents")
+def split_csv(t):
+    """All texts, line breaks and quotes included, written as CSV and read back in blocks of 64 KB."""
+    path = scratch_folder(t.spark, "csv")
+    sinks.write_result(t.documents.select("doc_id", "source", "text"), path)
+    return readers.split_csv(t.spark, path, ["doc_id", "source", "text"], block_bytes=1 << 16).drop("path", "block", "place")
+
+
+@query("result_round_trip", "SELECT row_id, game_name, review_type, nullif(review_text, '') AS review_text FROM reviews")
+def result_round_trip(t):
+    """A result table as the sink writes it and the reader reads it."""
+    path = scratch_folder(t.spark, "result")
+    sinks.write_result(t.reviews.select("row_id", "game_name", "review_type", "review_text"), path)
+    schema = "row_id bigint, game_name string, review_type string, review_text string"
+    return t.spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+
+
 @query(
     "union_first_wins",
     """SELECT app_id, app_name, developer, CAST(rank AS INT) AS origin FROM (

@@ -1,6 +1,9 @@
 """Files in the collectors' formats: readers, payloads, registry, manifest and the dataset build."""
 
+import csv
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +128,36 @@ def test_discovery_quota(spark):
     assert [r.app_id for r in picked] == [2, 3, 4, 5, 8]
     added = registry.add_to_registry(known, spark.createDataFrame(picked), "validation")
     assert added.where("discovered").count() == 5
+
+
+def odd_table(rng, rows):
+    parts = ["a", "é🎉", "\n", '"', '""', ",", "\r\n", " ", "long " * 9, ""]
+    return [(str(k), "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for k in range(rows)]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 7, 64, 100_000])
+def test_blocks_of_a_file_give_its_records(spark, tmp_path, block_bytes):
+    rng, want = random.Random(block_bytes), []
+    for number in range(3):
+        rows = odd_table(rng, [0, 40, 300][number] if block_bytes > 1 else 12)
+        with open(tmp_path / f"f {number}.csv", "w", newline="", encoding="utf-8") as file:
+            writer = csv.writer(file, lineterminator="\n", quoting=csv.QUOTE_ALL if number == 1 else csv.QUOTE_MINIMAL)
+            writer.writerow(["id", "text"] if number else ["text", "id"])
+            writer.writerows(rows if number else [r[::-1] for r in rows])
+        want += [(k, t or None) for k, t in rows]
+    got = readers.split_csv(spark, str(tmp_path), ["id", "text", "absent"], block_bytes=block_bytes)
+    found = got.collect()
+    assert sorted(((r.id, r.text) for r in found), key=repr) == sorted(want, key=repr) and {r.absent for r in found} == {None}
+    again = sorted((r.path, r.block, r.place, r.id) for r in found)
+    assert [int(r[3]) for r in again if "f 2" in r[0]] == list(range(300 if block_bytes > 1 else 12))
+
+
+def test_a_tree_hash_is_that_of_its_blocks(spark, tmp_path):
+    contents = {"a.csv": b"x" * 1000, "b.csv": b"y", "c.csv": bytes(range(256)) * 10}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    for size in (64, 1000, 10**6):
+        found = {r.path.rsplit("/", 1)[1]: r.hash for r in manifest.tree_hashes(spark, str(tmp_path), block_bytes=size).collect()}
+        for name, content in contents.items():
+            blocks = [content[k : k + size] for k in range(0, max(1, len(content)), size)]
+            assert found[name] == hashlib.md5("".join(hashlib.md5(b).hexdigest() for b in blocks).encode()).hexdigest()
