@@ -122,3 +122,62 @@ SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule,
        coalesce(split_part(fit, ' ', 1), CASE WHEN strict_terms >= 1 OR soft_terms >= 2 THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
 """
+
+
+def _merkle_sql(levels: int = 16, source_levels: int = 12) -> str:
+    """Trees of up to 3 ** ``levels`` leaves, level by level; a tree of one node stays as it is."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+    def climbed(name: str, count: int) -> list[str]:
+        """{name}_nodes0 (tree, i, h, c) up to {name}_nodes{count}, and the runs of each level."""
+        steps = []
+        for k in range(count):
+            steps.append(f"{name}_runs{k} AS MATERIALIZED (SELECT tree, i // 3 AS j, list(h ORDER BY i) AS run, any_value(c) AS c FROM {name}_nodes{k} GROUP BY tree, i // 3)")
+            steps.append(
+                f"{name}_nodes{k + 1} AS MATERIALIZED (SELECT tree, j AS i, CASE WHEN c = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h, "
+                f"(c + 2) // 3 AS c FROM {name}_runs{k})"
+            )
+        return steps
+
+    def folded(name: str, count: int) -> list[str]:
+        """{name}_paths0 (with tree, p, v, proof) up to {name}_paths{count}: position, folded value and proof so far."""
+        return [
+            f"""{name}_paths{k + 1} AS MATERIALIZED (
+              SELECT * EXCLUDE (c, before, after)
+                REPLACE (p // 3 AS p, CASE WHEN c = 1 THEN v ELSE sha256(before || v || after) END AS v, CASE WHEN c = 1 THEN proof ELSE proof || before || after END AS proof)
+              FROM (SELECT f.*, r.c, array_to_string(run[1:p % 3], '') AS before, array_to_string(run[p % 3 + 2:], '') AS after
+                    FROM {name}_paths{k} f JOIN {name}_runs{k} r ON f.tree IS NOT DISTINCT FROM r.tree AND p // 3 = r.j))"""
+            for k in range(count)
+        ]
+
+    bit = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc = f"list_reduce(list_prepend(4294967295, {codes}), lambda s, d: {bit.replace('[x,', '[xor(s, d),')})"
+    return ",\n".join(
+        [
+            f"""WITH rows AS (SELECT doc_id, source, {leaf("text")} AS leaf,
+                   CASE WHEN {crc} & 1 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS changed FROM documents)""",
+            """placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                        count(*) OVER (PARTITION BY source) AS c FROM rows)""",
+            "leaf_nodes0 AS (SELECT source AS tree, place AS i, leaf AS h, c FROM placed)",
+            *climbed("leaf", levels),
+            f"tops AS MATERIALIZED (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS c FROM leaf_nodes{levels})",
+            "top_nodes0 AS (SELECT 0 AS tree, place AS i, subroot AS h, c FROM tops)",
+            *climbed("top", source_levels),
+            "leaf_paths0 AS (SELECT doc_id, source AS tree, source, leaf, place AS p, changed AS v, '' AS proof FROM placed)",
+            *folded("leaf", levels),
+            f"""top_paths0 AS (SELECT doc_id, 0 AS tree, leaf, subroot, place AS p, v, proof
+                  FROM leaf_paths{levels} l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source)""",
+            *folded("top", source_levels),
+        ]
+    ) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, v AS folded_root, v = h AS verified
+FROM top_paths{source_levels} CROSS JOIN (SELECT h FROM top_nodes{source_levels})"""
+
+
+SQL["op11_merkle_manifest"] = _merkle_sql()
