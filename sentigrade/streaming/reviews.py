@@ -33,6 +33,15 @@ def file_stream(
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", **options) -> DataFrame:
+    """The files of a table that is one file or a folder of files.
+
+    A stream takes a single file only by a pattern, so the last letter of ``path`` is made one.
+    """
+    path = path.rstrip("/")
+    return file_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, kind, **options)
+
+
 def review_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Review CSV files as they land, with game and review type from the file name."""
     stream = file_stream(

@@ -214,7 +214,7 @@ def ablation(t):
 
 
 def _documents(t, **options):
-    return streams.file_stream(t.spark, t.folder, t.documents.schema, "parquet", "documents.parquet", **options)
+    return streams.table_stream(t.spark, f"{t.folder}/documents.parquet", t.documents.schema, **options)
 
 
 @query(

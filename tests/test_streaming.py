@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentigrade.operators.aggregates import game_sentiment
 from sentigrade.operators.relational import clean_reviews
 from sentigrade.streaming import reviews as streams
+from sentigrade.workload import QUERIES, run_query
 
 HEADER = "app_id,app_name,review_text,positive\n"
 
@@ -97,3 +98,17 @@ def test_a_repeated_batch_gives_the_same_arrivals(spark, tmp_path):
         stream = streams.file_stream(spark, landed, spark.read.parquet(landed).schema, "parquet")
         streams.first_arrivals(stream, out, str(tmp_path / f"checkpoint{attempt}"), ["app_id"], "text").awaitTermination()
     assert streams.read_arrivals(spark, out, "app_id string, text_digest string").count() == 2
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_queries_read_a_table_of_any_number_of_files(spark, tmp_path, files):
+    rows = [(k, f"review number {k} of a good game", "en", f"src{k % 2}", 30) for k in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table = tmp_path / "documents.parquet"
+    documents.repartition(files).write.parquet(str(table if files > 1 else tmp_path / "written"))
+    if files == 1:
+        table.write_bytes(next((tmp_path / "written").glob("part-*")).read_bytes())
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    found = {name: run_query(QUERIES[name], spark, str(tmp_path)).count() for name in ("stream_ingest", "stream_dedup", "stream_sentiment")}
+    assert found == {"stream_ingest": 40, "stream_dedup": 40, "stream_sentiment": 2}
