@@ -1,47 +1,53 @@
-"""Multinomial naive Bayes over TF-IDF, all folds from one table of term counts."""
+"""Multinomial naive Bayes over TF-IDF, all folds from one table of term sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import binary_metrics
 from ..session import store
-from .features import MAX_DOCUMENT_SHARE, MAX_FEATURES, MIN_DOCUMENTS, fold_statistics, term_array
+from .features import MAX_FEATURES, Vocabulary, fold_statistics, word_array
 from .folds import stratified_folds
 
 
-def fold_vocabularies(statistics: DataFrame, documents: DataFrame, k: int, size: int = MAX_FEATURES) -> DataFrame:
-    """model (the fold left out), term and idf of every training part.
+def class_sums(rows: DataFrame, vocabularies: Sequence[Vocabulary]) -> list[np.ndarray]:
+    """For each model the summed weights of its terms by class, over the rows of the other folds.
 
-    ``statistics`` as of ``fold_statistics`` for one division; ``documents`` has model and n, the part's rows.
-    A fold's sums are taken from those of all, so no part is counted again.
-    """
-    rest = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda f: F.struct(
-            f.alias("model"),
-            *((F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - F.get(c, f)).alias(c) for c in ("tf", "df")),
-        ),
-    )
-    parts = statistics.select("term", F.explode(rest).alias("part")).select("term", "part.*").join(F.broadcast(documents), "model")
-    parts = parts.where((F.col("df") >= MIN_DOCUMENTS) & (F.col("df") <= MAX_DOCUMENT_SHARE * F.col("n")))
-    place = F.row_number().over(Window.partitionBy("model").orderBy(F.col("tf").desc(), "term"))
-    chosen = parts.withColumn("place", place).where(F.col("place") <= size)
-    return chosen.select("model", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-
-
-def log_odds(weighted: DataFrame, vocabulary: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """model, term and what one unit of the term adds to the log-odds of class 1.
-
-    ``weighted``: model, term, label, x of training rows.
+    ``rows``: words, fold, label.  Every task adds up its own rows, so what is shuffled is at most one value for
+    each term, class, model and task.
     """
-    by_class = [F.sum(F.when(F.col("label") == c, F.col("x"))).alias(f"s{c}") for c in (0, 1)]
-    sums = vocabulary.select("model", "term").join(weighted.groupBy("model", "term").agg(*by_class), ["model", "term"], "left")
-    sums = sums.select("model", "term", *(F.coalesce(f"s{c}", F.lit(0.0)).alias(f"s{c}") for c in (0, 1)))
-    totals = sums.groupBy("model").agg(*(F.sum(f"s{c}").alias(f"t{c}") for c in (0, 1)), F.count("*").alias("v"))
-    share = {c: F.log((F.col(f"s{c}") + smoothing) / (F.col(f"t{c}") + smoothing * F.col("v"))) for c in (0, 1)}
-    return sums.join(F.broadcast(totals), "model").select("model", "term", (share[1] - share[0]).alias("odds"))
+    widths = [len(v.terms) for v in vocabularies]
+    starts = np.cumsum([0, *widths]) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(starts[-1])
+        for batch in batches:
+            fold, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            for model, vocabulary in enumerate(vocabularies):
+                own = np.flatnonzero((fold != model) & np.isin(label, (0, 1)))
+                row, place, _, x = vocabulary.entries(batch.column(0).take(pa.array(own)), True)
+                at = place * 2 + label[own].astype(np.int64)[row]
+                total[starts[model] : starts[model + 1]] += np.bincount(at, x, 2 * widths[model])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "x"])
+
+    sums = np.zeros(starts[-1])
+    added = rows.select("words", "fold", "label").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    for r in added.toLocalIterator():
+        sums[r.at] = r.x
+    return [sums[starts[m] : starts[m + 1]].reshape(-1, 2) for m in range(len(widths))]
+
+
+def log_odds(sums: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """What one unit of each term adds to the log-odds of class 1; ``sums`` has a row for each term, a column for each class."""
+    shares = np.log((sums + smoothing) / (sums.sum(axis=0) + smoothing * len(sums)))
+    return shares[:, 1] - shares[:, 0]
 
 
 def fold_predictions(
@@ -50,28 +56,35 @@ def fold_predictions(
     """key, fold, label, score (log-odds) and predicted of every row by the model that has not seen it.
 
     Vocabulary, document frequencies, class sums and priors of each fold's model come from the other folds.
-    A tie is class 0.  The tables of models have k rows, those of terms k times ``size``.
+    A tie is class 0.  Models are k times ``size`` numbers, sent to every task; weights of terms in rows are made
+    again in each pass and never stored.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), term_array(F.col(text)).alias("terms"))
-    folds = stratified_folds(df.select(F.col(key).alias("key"), F.col(label).alias("label")), "key", "label", k, seed)
-    rows = store(rows.join(folds.select("key", "fold"), "key"), "bayes-rows")
-    statistics = store(fold_statistics(rows().withColumn("folds", F.array("fold")), "key", 1, k), "bayes-terms")
-    models = df.sparkSession.range(k).select(F.col("id").cast("int").alias("model"))
-    sizes = rows().groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n1"))
-    trained = models.join(sizes, F.col("fold") != F.col("model")).groupBy("model").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    trained = store(trained, "bayes-models")
-    vocabulary = store(fold_vocabularies(statistics(), trained().select("model", "n"), k, size), "bayes-vocabulary")
-    counts = rows().select("key", "label", "fold", F.explode("terms").alias("term")).groupBy("key", "label", "fold", "term").agg(F.count("*").alias("n"))
-    x = (1 + F.log("n")) * F.col("idf")
-    raw = counts.join(vocabulary(), "term").select("model", "key", "label", "fold", "term", x.alias("x"))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("model", "key")))
-    weighted = store(raw.withColumn("x", F.col("x") / length), "bayes-weights")
-    odds = log_odds(weighted().where("fold <> model"), vocabulary())
-    told = weighted().where("fold = model").join(odds, ["model", "term"]).groupBy("key").agg(F.sum(F.col("x") * F.col("odds")).alias("told"))
-    prior = trained().select(F.col("model").alias("fold"), (F.log("n1") - F.log(F.col("n") - F.col("n1"))).alias("prior"))
-    scored = rows().select("key", "fold", "label").join(told, "key", "left").join(F.broadcast(prior), "fold")
-    score = F.col("prior") + F.coalesce("told", F.lit(0.0))
-    return scored.select(F.col("key").alias(key), "fold", F.col("label").alias(label), score.alias("score"), (score > 0).cast("int").alias("predicted"))
+    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), word_array(F.col(text)).alias("words"))
+    rows = store(rows, "bayes-words")
+    folds = stratified_folds(rows().select("key", "label"), "key", "label", k, seed)
+    opened = store(rows().join(folds.select("key", "fold"), "key"), "bayes-rows")
+    statistics = store(fold_statistics(opened().withColumn("folds", F.array("fold")), "key", 1, k, "words", True), "bayes-terms")
+    counted = opened().groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n1")).collect()
+    trained = {f: [sum(r[c] for r in counted if r.fold != f) for c in ("n", "n1")] for f in range(k)}
+    vocabularies = [Vocabulary.of_fold(statistics(), 0, f, k, trained[f][0], size) for f in range(k)]
+    odds = [log_odds(sums) for sums in class_sums(opened(), vocabularies)]
+    # Without one of the classes there is no prior, as before.
+    priors = [math.log(n1) - math.log(n - n1) if 0 < n1 < n else None for n, n1 in trained.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, told = batch.column(1).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            for model in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == model)
+                row, place, _, x = vocabularies[model].entries(batch.column(3).take(pa.array(own)), True)
+                told[own] = np.bincount(row, x * odds[model][place], len(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(told)], names=[key, "fold", label, "told"])
+
+    kinds = dict(rows().dtypes)
+    source = opened().select("key", "fold", "label", "words")
+    scored = source.mapInArrow(run, f"{key} {kinds['key']}, fold int, {label} {kinds['label']}, told double")
+    prior = F.get(F.array(*(F.lit(p).cast("double") for p in priors)), F.col("fold"))
+    return scored.withColumn("score", prior + F.col("told")).drop("told").withColumn("predicted", (F.col("score") > 0).cast("int"))
 
 
 def fold_results(df: DataFrame, key: str, label: str, text: str, k: int = 5, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sentigrade.learning import boosting, held_out, features, folds, outcomes, runner, scoring
+from sentigrade.learning import bayes, boosting, held_out, features, folds, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
 from sentigrade.plans import flows
 from sentigrade.workload import queries_learning
@@ -346,3 +346,20 @@ def test_all_models_run_and_boosters_are_saved(spark, reviews, tmp_path):
         scored = scoring.score(model, reviews)
         assert scored.count() == 90 and (name == "GradientBoosting31" or scored.where("predicted = positive").count() > 80)
         assert set(scored.columns) == {*reviews.columns, "probability", "predicted"}
+
+
+def test_no_row_for_each_text_and_term_is_shuffled(spark, reviews):
+    table = features.tfidf_table(reviews, "row_id", "cleaned_text")
+    scored = bayes.fold_predictions(reviews, "row_id", "positive", "cleaned_text", 2)
+    terms = reviews.select("row_id", features.word_array(F.col("cleaned_text")).alias("words"), F.array(F.lit(0)).alias("folds"))
+    sums = features.fold_statistics(terms, "row_id", 1, 2, "words", True)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (table, scored, sums)]
+    assert "Exchange" not in plans[0] + plans[1] and "hashpartitioning(row_id" not in plans[2]
+
+
+def test_pairs_end_with_the_text_also_where_a_key_is_repeated(spark):
+    rows = [(1, "aa bb"), (1, "cc dd"), (2, "aa bb cc"), (3, "bb cc dd zz"), (4, None)]
+    found = features.tfidf_table(spark.createDataFrame(rows, "k bigint, t string"), "k", "t").collect()
+    got = {(r.k, r.term): (r.tf, r.df) for r in found}
+    assert got[1, "aa bb"] == (1, 2) and (1, "bb cc") not in got and got[2, "bb cc"] == (1, 2) and got[3, "cc dd"] == (1, 2)
+    assert not any(t == "zz" for _, t in got) and {k for k, _ in got} == {1, 2, 3}
