@@ -363,3 +363,20 @@ def test_pairs_end_with_the_text_also_where_a_key_is_repeated(spark):
     got = {(r.k, r.term): (r.tf, r.df) for r in found}
     assert got[1, "aa bb"] == (1, 2) and (1, "bb cc") not in got and got[2, "bb cc"] == (1, 2) and got[3, "cc dd"] == (1, 2)
     assert not any(t == "zz" for _, t in got) and {k for k, _ in got} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("tiers_seen", [4, 2])
+def test_leaving_out_rows_of_a_large_table_equals_refits(spark, monkeypatch, tiers_seen):
+    rng = np.random.default_rng(11)
+    x = np.hstack([rng.normal(size=(600, 3)), np.zeros((600, 2))])
+    x[:, 3], x[7, 4] = x[:, 0] + x[:, 1], 1.0  # a sum of others, and a column that one row alone fills
+    names = np.array(["Flop", "Moderate", "Hit", "Blockbuster"])
+    at = np.clip((x[:, 0] + rng.normal(size=600) * 0.7 + 1).astype(int), 0, tiers_seen - 1)
+    table = pd.DataFrame(x, columns=list("abcde")).assign(app_id=range(600), tier=names[at])
+    if tiers_seen == 2:
+        table.loc[3, "tier"] = "Hit"  # the only one of its class
+    df, columns = spark.createDataFrame(table), ("app_id", list("abcde"), "tier")
+    want = {r.app_id: r.predicted_tier for r in outcomes.loo_classify(df, *columns).collect()}
+    monkeypatch.setattr(outcomes, "MOST_LEFT_OUT", 100)
+    got = {r.app_id: r.predicted_tier for r in outcomes.loo_classify(df, *columns, any_size=True).collect()}
+    assert got == want and len(got) == 600
