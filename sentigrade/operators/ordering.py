@@ -120,8 +120,8 @@ class ValueCounts:
     value: str
 
 
-def value_counts_in_order(df: DataFrame, groups: Sequence[str], value: str) -> ValueCounts:
-    """Counts each distinct value and the rows below it.
+def value_counts_in_order(df: DataFrame, groups: Sequence[str], value: str, counted: str | None = None) -> ValueCounts:
+    """Counts each distinct value and the rows below it; ``counted`` names a column with the rows a row stands for.
 
     Equal values collapse first, so a value that fills a third of the rows is one row.  The distinct
     values of all groups are then dealt to ranges in their order, written once so that both uses agree
@@ -133,7 +133,7 @@ def value_counts_in_order(df: DataFrame, groups: Sequence[str], value: str) -> V
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg((F.sum(counted) if counted else F.count(F.lit(1))).alias("cnt"))
     )
     ranged = materialize(
         counts.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()), "value-ranges"

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sentigrade.operators import correlation, metrics, nonparametric, tails
+from sentigrade.operators import correlation, metrics, nonparametric, ordering, tails
 
 MODELS = ["a", "b", "c", "d"]
 
@@ -155,6 +155,46 @@ def test_correlations(spark, games, rows):
     assert alone.partial_r == pytest.approx(brute_partial(games["x"], games["y"], games["z"])[0])
 
 
+@pytest.mark.parametrize("rows", [None, 3])
+def test_columns_are_ranked_once_for_pairs_over_the_same_rows(spark, monkeypatch, rows):
+    rng = np.random.default_rng(5)
+    table = pd.DataFrame({c: rng.integers(0, 9, 80).astype(float) for c in ("a", "b", "c", "p", "q", "r", "z")})
+    table.loc[table.index % 7 == 0, "b"] = np.nan
+    table.loc[table.index % 5 == 0, ["c", "q"]] = np.nan
+    table.loc[3:6, "z"] = np.nan
+    table["p"] = table["p"].where(table["b"].notna() | table["c"].notna(), 4.0)
+    written, write = [], ordering.materialize
+
+    def noted(df, label):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ordering, "materialize", noted)
+    df = spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"{c} double" for c in table))
+    found = correlation.correlate_pairs(df, ["a", "b", "c"], ["p", "q", "r"], "z", ["p"], rows=rows).toPandas()
+    found = found.set_index(["feature", "outcome"])
+    assert len(found) == 9
+    for (f, o), row in found.iterrows():
+        kept = table.dropna(subset=[f, o])
+        assert row["n_samples"] == len(kept)
+        assert row["pearson_r"] == pytest.approx(np.corrcoef(kept[f], kept[o])[0, 1])
+        assert row["spearman_r"] == pytest.approx(np.corrcoef(kept[f].rank(), kept[o].rank())[0, 1])
+        if o == "p":
+            partial, n = brute_partial(table[f], table[o], table["z"])
+            assert (row["partial_r"], row["partial_n"]) == (pytest.approx(partial), n)
+    # Rows: all (a p r), known b (b p r), known c or q (a c p q r), both (b q), and the first three with z (x p z).
+    assert written == [(3 + 3 + 5 + 2 + 3 * 3) * 9]
+
+
+def test_a_side_constant_only_where_both_are_known(spark):
+    rows = [(float(i), 0.1 if i < 8 else 0.7, float(i % 3) if i < 8 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "x double, flat double, y double")
+    found = {r.feature: r for r in correlation.correlate_pairs(df, ["x", "flat"], ["y"]).collect()}
+    assert (found["flat"].n_samples, found["flat"].pearson_r, found["flat"].spearman_r) == (8, None, None)
+    assert found["x"].pearson_r is not None
+
+
 def test_small_and_constant_inputs(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 6, "x double, y double, z double")
     assert correlation.partial_spearman(df.limit(3), "x", "y", "z").first().partial_r is None
