@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentigrade.learning import bayes, boosting, held_out, features, folds, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
+from sentigrade.operators import relational
 from sentigrade.plans import flows
 from sentigrade.workload import queries_learning
 
@@ -273,6 +274,35 @@ def test_fold_statistics_by_subtraction_equal_counts_of_each_part(spark, reviews
     assert all(np.allclose(vectors[r.row_id].toArray(), r.features.toArray()) for r in staged.collect()) and len(vectors) == 90
 
 
+def test_features_of_counts_equal_those_of_words(spark, reviews):
+    words = reviews.select("row_id", features.word_array(F.col("cleaned_text")).alias("words"))
+    terms = features.with_terms(reviews).select("terms").collect()
+    known = sorted({t for r in terms for t in r.terms})
+    one, two = (features.Vocabulary(tuple(known[k::3][::-1]), np.arange(1.0, len(known[k::3]) + 1)) for k in (0, 1))
+    both = features.Vocabulary.union([one, two])
+    counted = both.counted(words, ["row_id"], "words", True)
+    for vocabulary in (one, two):
+        want = {r.row_id: r.features for r in vocabulary.vectors(words, ["row_id"], "words", True).collect()}
+        found = {r.row_id: r.features for r in vocabulary.vectors_of_counts(counted, ["row_id"], both).collect()}
+        assert found == want
+
+
+def test_a_saved_model_scores_without_python_for_each_row(spark, reviews):
+    vocabulary = features.Vocabulary(("a",), np.ones(1))
+    model = features.text_model(vocabulary, features.Normalizer(inputCol="features", outputCol="prediction"))
+    plan = model.transform(reviews)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "PythonUDF" not in plan and "EvalPython" not in plan
+
+
+def test_copies_are_dropped_before_texts_are_cleaned(spark):
+    rows = [(1, "a game I liked <b>x</b>", None, 1), (1, "a game I liked <b>x</b>", 1, 2), (1, "A game I liked", 1, 3), (1, "<b>short</b>", 1, 4), (2, None, 1, 5), (2, "a game I liked", 0, 6)]
+    df = spark.createDataFrame([(*r, f"f{r[0]}") for r in rows], "app_id long, review_text string, positive int, row_id long, source_file string")
+    before = relational.dedup_reviews(relational.clean_reviews(df))
+    assert sorted(relational.distinct_reviews(df).collect()) == sorted(before.select(*df.columns, "cleaned_text").collect())
+    found = relational.distinct_reviews(df, labelled=True)
+    assert sorted(r.row_id for r in found.collect()) == sorted(r.row_id for r in before.where("positive IS NOT NULL").collect()) == [3, 6]
+
+
 def test_no_python_for_each_row_in_the_features(spark, reviews):
     terms = features.with_terms(reviews.select("row_id", "cleaned_text"))
     plan = features.Vocabulary(("a",), np.ones(1)).vectors(terms, ["row_id"])._jdf.queryExecution().toString()
