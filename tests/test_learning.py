@@ -1,5 +1,7 @@
 """Folds, TF-IDF, cross-validation, outcome models and saved predictors."""
 
+import dataclasses
+import json
 import math
 from collections import Counter
 from types import SimpleNamespace
@@ -7,9 +9,10 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from sentigrade.learning import bayes, boosting, held_out, features, folds, outcomes, runner, scoring
+from sentigrade.learning import bayes, boosting, by_feature, held_out, features, folds, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
 from sentigrade.operators import relational
 from sentigrade.plans import flows
@@ -410,3 +413,40 @@ def test_leaving_out_rows_of_a_large_table_equals_refits(spark, monkeypatch, tie
     monkeypatch.setattr(outcomes, "MOST_LEFT_OUT", 100)
     got = {r.app_id: r.predicted_tier for r in outcomes.loo_classify(df, *columns, any_size=True).collect()}
     assert got == want and len(got) == 600
+
+
+def labelled_vectors(spark, dense, y):
+    rows = [(float(t), 1.0, Vectors.sparse(dense.shape[1], [int(i) for i in np.flatnonzero(r)], r[r != 0].tolist())) for t, r in zip(y, dense)]
+    return spark.createDataFrame(rows, ["positive", "weight", "features"])
+
+
+def test_boosters_fit_all_rows_of_a_large_table(spark):
+    n = 21_000
+    dense = (np.arange(n)[:, None] % [2, 3] == 0).astype(float)
+    y = (np.arange(n) % 7 < 3) | (np.arange(n) % 2 == 0)
+    df = labelled_vectors(spark, dense, y)
+    shape = boosting.Shape(trees=1, rows=1.0, columns=1.0, leaves=2, penalty=0.0)
+    for most in (boosting.MOST_ENTRIES, 1000):
+        trees = json.loads(boosting.BoostedClassifier(shape, "positive", 0, most).fit(df).getOrDefault("trees"))
+        assert trees[0]["feature"][0] == 0
+        for side, own in (("left", dense[:, 0] == 0), ("right", dense[:, 0] == 1)):
+            want = 0.1 * (y[own] - 0.5).sum() / (0.25 * own.sum())
+            assert trees[0]["value"][trees[0][side][0]] == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["GradientBoosting", "GradientBoosting31"])
+def test_trees_by_feature_equal_those_of_one_task(spark, monkeypatch, name):
+    monkeypatch.setattr(by_feature, "GROUP_ENTRIES", 2000)
+    monkeypatch.setattr(by_feature, "ROUND", 8)
+    rng = np.random.default_rng(6)
+    dense = np.ceil(rng.random((900, 12)) * 64) / 64 * (rng.random((900, 12)) < 0.3)
+    y = ((dense[:, 0] > 0.5) ^ (dense[:, 1] > 0) ^ (rng.random(900) < 0.05)).astype(float)
+    # Enough rows a leaf that no two splits are equally good.
+    shape = dataclasses.replace(boosting.SHAPES[name], trees=2, leaves=7, least_rows=30)
+    x = sparse_of(dense)
+    want = boosting.boost(x, y, np.ones(900), shape, 1)
+    found = boosting.BoostedClassifier(shape, "positive", 1, 100).fit(labelled_vectors(spark, dense, y).coalesce(1))
+    found = [boosting.Tree(**t) for t in json.loads(found.getOrDefault("trees"))]
+    assert [t.feature for t in found] == [t.feature for t in want] and [t.least for t in found] == [t.least for t in want]
+    assert np.allclose(boosting.margins(found, x), boosting.margins(want, x))
+    assert len(want[0].feature) == 13
