@@ -2,13 +2,15 @@
 
 The model of all rows is fitted by Newton steps whose sums are made on the executors.  A row's own model lies close
 to it: a step from there, by the curvature of the whole, gives its logits, and the change of curvature along the step
-bounds how far they are from those of the refitted model.  Where the bound leaves the class open, the row's model is
-refitted over all rows, many rows to a pass.  So all classes are those of the refits, at a bounded number of passes.
+bounds how far they are from those of the refitted model.  A first bound knows the farthest row only; rows it leaves open
+get a second one from sums in which each row counts by its own reach.  Where that leaves the class open, the row's model
+is refitted over all rows, many rows to a pass.  So all classes are those of the refits, at a bounded number of passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,10 @@ from ..session import store
 from .held_out import CLOSE, MOST_STEPS, Fit
 
 #: Models that are refitted in one pass, and tasks of a pass; each sends one array of sums to the driver.
-REFITS = 64
+REFITS = 256
 TASKS = 64
+#: Lengths of a step for which the second bound is made.
+LENGTHS = (0.02, 0.05, 0.1, 0.2, 0.4)
 #: Rounding that a logit may have.
 ROUNDING = 1e-7
 
@@ -64,6 +68,17 @@ def _hot(y: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (y[:, None] == (classes[1:] if len(classes) == 2 else classes)).astype(float)
 
 
+def _curvature(v: np.ndarray, p: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    """Summed curvature of the losses of scaled rows, ``each`` times; by logit and column, twice."""
+    L, w = p.shape[1], v.shape[1]
+    bend = np.zeros((L, w, L, w))
+    for a in range(L):
+        for b in range(a, L):
+            own = p[:, a] * ((a == b) - p[:, b])
+            bend[a, :, b] = bend[b, :, a] = v.T @ (v * (own if each is None else own * each)[:, None])
+    return bend
+
+
 class Whole:
     """The fit of all rows, with the sums that single rows are taken from."""
 
@@ -97,12 +112,7 @@ class Whole:
             full = np.hstack([np.zeros((len(z), 1)), z]) if L == 1 else z
             top = full.max(axis=1)
             loss = (np.log(np.exp(full - top[:, None]).sum(axis=1)) + top - (z * hot).sum(axis=1)).sum()
-            bend = np.zeros((L, w, L, w))
-            for a in range(L):
-                for b in range(a, L):
-                    bend[a, :, b] = v.T @ (v * (p[:, a] * ((a == b) - p[:, b]))[:, None])
-                    bend[b, :, a] = bend[a, :, b]
-            return np.concatenate([[loss], ((p - hot).T @ v).ravel(), bend.ravel()])
+            return np.concatenate([[loss], ((p - hot).T @ v).ravel(), _curvature(v, p).ravel()])
 
         total, size = _summed(self.rows, make), L * w
         loss = total[0] + 0.5 * (theta**2 * self.weighs).sum()
@@ -150,7 +160,35 @@ class Whole:
         return np.where(self.steady, 1.0, found)
 
 
-def _own_models(whole: Whole, x: np.ndarray, y: np.ndarray, farthest: float, softest: float):
+@dataclass(frozen=True)
+class Bounds:
+    """For each of ``LENGTHS``: sums for the change of the slope along a step no longer, and the share of the curvature that may go.
+
+    The third derivative of a row's loss along a step is at most the range of its logits' moves times the curvature, and
+    no logit moves by more than the row's reach r times the length d.  So the slope leaves its linear course by at most
+    d sqrt(s'Ks), K being the sum of r^2 exp(4rd) times the row's curvature, and a row keeps exp(-2rd) of its curvature.
+    """
+
+    slopes: list[np.ndarray]
+    shares: list[float]
+
+    @classmethod
+    def of(cls, rows: DataFrame, whole: Whole) -> Bounds:
+        """``whole`` without the session's objects."""
+
+        def make(x, y, number):
+            v = _scaled(x, whole.mean, whole.scale)
+            p, r = _probabilities(v @ whole.theta.T), whole.reach(v).max(axis=1)
+            parts = [(r**2 * np.exp(np.minimum(4 * r * d, 500)), -np.expm1(-2 * r * d)) for d in LENGTHS]
+            return np.concatenate([_curvature(v, p, each).ravel() for pair in parts for each in pair])
+
+        size = whole.logits * whole.width
+        sums = _summed(rows, make).reshape(len(LENGTHS), 2, size, size)[..., whole.free[:, None], whole.free]
+        root = np.linalg.inv(np.linalg.cholesky(whole.bend))
+        return cls([k for k, _ in sums], [float(np.linalg.eigvalsh(root @ d @ root.T)[-1]) for _, d in sums])
+
+
+def _own_models(whole: Whole, x: np.ndarray, y: np.ndarray, farthest: float, softest: float, bounds: Bounds | None = None):
     """Class of each row by its own model, and whether the bound proves it."""
     L, w, free, lam = whole.logits, whole.width, whole.free, whole.penalty
     v, hot, ratio = _scaled(x, whole.mean, whole.scale), _hot(y, whole.classes), whole.ratio(x)
@@ -168,23 +206,40 @@ def _own_models(whole: Whole, x: np.ndarray, y: np.ndarray, farthest: float, sof
         return step @ whole.bend - (own[:, :, None] * v[:, None, :]).reshape(len(x), -1)[:, free] + more * step
 
     step = -slope @ whole.inverse
-    for _ in range(2):
+    for _ in range(2 if bounds is None else 10):
         step = step - (slope + bent(step)) @ whole.inverse
     left = slope + bent(step)
     length_h = np.sqrt(np.maximum(((step @ whole.bend) * step).sum(axis=1), 0))
     left_h = np.sqrt(np.maximum(((left @ whole.inverse) * left).sum(axis=1), 0))
-    # No logit of any row moves by more than this; a curvature changes by at most the power of twice as much.
-    tau = farthest * length_h + 1e-12
-    off = left_h + length_h * (np.expm1(2 * tau) / (2 * tau) - 1)
     reach = whole.reach(v)
-    share = ((p * (1 - p) if L == 1 else p) * reach**2).sum(axis=1) + np.abs(more).max(axis=1) / softest
-    held = (1 - share) * np.exp(-2 * (tau + 2 * farthest * off))
+    share = ((p * (1 - p) if L == 1 else p) * reach**2).sum(axis=1)
+    if L > 1:
+        # The spread of the logits' moves is at most that around the move of the likeliest class.
+        top = p.argmax(axis=1)[:, None]
+        beside = p * (reach + np.take_along_axis(reach, top, axis=1)) ** 2
+        share = np.minimum(share, beside.sum(axis=1) - np.take_along_axis(beside, top, axis=1)[:, 0])
+    share = share + np.abs(more).max(axis=1) / softest
+    if bounds is None:
+        # No logit of any row moves by more than this; a curvature changes by at most the power of twice as much.
+        tau = farthest * length_h + 1e-12
+        off = left_h + length_h * (np.expm1(2 * tau) / (2 * tau) - 1)
+        held = (1 - share) * np.exp(-2 * (tau + 2 * farthest * off))
+    else:
+        off, held = np.full(len(x), np.inf), np.zeros(len(x))
+        for d, k in zip(LENGTHS, bounds.slopes):
+            fits = (length_h <= d) & np.isinf(off)
+            off[fits] = left_h[fits] + d * np.sqrt(np.maximum(((step[fits] @ k) * step[fits]).sum(axis=1), 0))
+        # Of all models as far as the row's own, which is twice ``off`` from the step at most.
+        for d, gone in reversed([*zip(LENGTHS, bounds.shares)]):
+            fits = length_h + 2 * off <= d
+            held[fits] = 1 - share[fits] - gone
     proven = held >= 0.5
     z = np.einsum("nlw,nw->nl", whole.theta + padded(step), v)
     if L == 1:
         z, reach = np.hstack([np.zeros((len(z), 1)), z]), np.hstack([np.zeros((len(z), 1)), reach])
     best = np.argmax(z, axis=1)
     at = np.arange(len(z))
+    off[~proven] = 0.0
     gap, doubt = z[at, best][:, None] - z, (off / np.maximum(held, 0.5))[:, None] * (reach[at, best][:, None] + reach) + ROUNDING
     gap[at, best] = np.inf
     return whole.classes[best], proven & (gap > doubt).all(axis=1)
@@ -205,11 +260,15 @@ def _refitted(whole: Whole, number: np.ndarray, x: np.ndarray, y: np.ndarray) ->
     own_v, own_hot = _scaled(x, mean, scale), _hot(y, classes)
     last = np.inf
     for _ in range(MOST_STEPS):
-        sent = theta.copy()
+        sent = theta.reshape(-1, w)
 
         def make(x, y, number):
-            v, hot = _scaled(x, mean, scale), _hot(y, classes)
-            return np.stack([(_probabilities(v @ t.T) - hot).T @ v for t in sent]).ravel()
+            total = np.zeros((len(sent) // L, L, w))
+            for start in range(0, len(x), 250):
+                v = _scaled(x[start : start + 250], mean, scale)
+                p = _probabilities((v @ sent.T).reshape(len(v), -1, L))
+                total += (p.reshape(len(v), -1).T @ v).reshape(total.shape) - _hot(y[start : start + 250], classes).T @ v
+            return total.ravel()
 
         slope = _summed(whole.rows, make).reshape(theta.shape) + theta * weighs[:, None, :]
         p = _probabilities(np.einsum("nlw,nw->nl", theta, own_v))
@@ -248,18 +307,25 @@ def predictions(rows: DataFrame, d: int) -> DataFrame:
     sent.__dict__ = {c: v for c, v in whole.__dict__.items() if c != "rows"}
     farthest = float(_summed(rows, lambda x, y, number: np.array([sent.reach(_scaled(x, mean, scale)).max()]), np.maximum)[0])
 
-    def run(batches):
-        for x, y, number, part in _parts(batches, 500):
-            found, proven = _own_models(sent, x, y, farthest, softest)
-            special = _special(sent, x, y)
-            told = pa.array(found.astype(np.int32), mask=~proven | special)
-            yield pa.RecordBatch.from_arrays([pa.array(number), told, part.column(0), pa.array(y), pa.array(special)],
-                                             names=["_number", "_class", "_x", "_y", "_special"])
-
-    made = rows.select("_x", "_y", "_number").mapInArrow(run, f"{schema}, _x array<double>, _y int, _special boolean").select(
-        "_number", "_class", "_special", *(F.when(F.col("_class").isNull(), F.col(c)).alias(c) for c in ("_x", "_y"))
-    )
-    opened = store(made, "left-out")
+    columns = ["_number", "_class", "_x", "_y", "_special"]
+
+    def told(source: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+        def run(batches):
+            for x, y, number, part in _parts(batches, 500):
+                found, proven = _own_models(sent, x, y, farthest, softest, bounds)
+                special = _special(sent, x, y)
+                classes = pa.array(found.astype(np.int32), mask=~proven | special)
+                yield pa.RecordBatch.from_arrays([pa.array(number), classes, part.column(0), pa.array(y), pa.array(special)], names=columns)
+
+        made = source.select("_x", "_y", "_number").mapInArrow(run, f"{schema}, _x array<double>, _y int, _special boolean")
+        return made.select("_number", "_class", "_special", *(F.when(F.col("_class").isNull(), F.col(c)).alias(c) for c in ("_x", "_y")))
+
+    opened = store(told(rows), "left-out")
+    closed = opened().where("_class IS NOT NULL").select("_number", "_class")
+    if opened().where("_class IS NULL AND NOT _special").limit(REFITS + 1).count() > REFITS:
+        again = opened().where("_class IS NULL")
+        opened = store(told(again.repartition(spark.sparkContext.defaultParallelism), Bounds.of(rows, sent)), "left-open")
+        closed = closed.unionByName(opened().where("_class IS NOT NULL").select("_number", "_class"))
     # Rows left open are few where there are many rows; they come in portions, so that models of one pass are bounded.
     solved, portion = [], []
 
@@ -277,4 +343,4 @@ def predictions(rows: DataFrame, d: int) -> DataFrame:
             solve()
     if portion:
         solve()
-    return opened().where("_class IS NOT NULL").select("_number", "_class").unionByName(spark.createDataFrame(solved, schema))
+    return closed.unionByName(spark.createDataFrame(solved, schema))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from sentigrade.learning import bayes, boosting, by_feature, held_out, features, folds, outcomes, runner, scoring
+from sentigrade.learning import bayes, boosting, by_feature, held_out, features, folds, left_out, outcomes, runner, scoring
 from sentigrade.learning.classifiers import TrainingCounts, make_classifier, row_weight
 from sentigrade.operators import relational
 from sentigrade.plans import flows
@@ -450,3 +450,24 @@ def test_trees_by_feature_equal_those_of_one_task(spark, monkeypatch, name):
     assert [t.feature for t in found] == [t.feature for t in want] and [t.least for t in found] == [t.least for t in want]
     assert np.allclose(boosting.margins(found, x), boosting.margins(want, x))
     assert len(want[0].feature) == 13
+
+
+def test_few_rows_of_separated_classes_are_left_open(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.hstack([rng.normal(size=(4000, 2)) * 3, (rng.random((4000, 2)) < 0.01).astype(float)])
+    y = np.digitize(x[:, 0] + 0.3 * rng.normal(size=4000), [-2, 0, 2])
+
+    def summed(rows, make, combine=np.add):
+        return combine.reduce([make(x[s : s + 500], y[s : s + 500], None) for s in range(0, 4000, 500)])
+
+    monkeypatch.setattr(left_out, "_summed", summed)
+    counts = SimpleNamespace(collect=lambda: [{"_y": k, "count": int((y == k).sum())} for k in range(4)])
+    whole = left_out.Whole(SimpleNamespace(groupBy=lambda c: SimpleNamespace(count=lambda: counts)), 4)
+    farthest, softest = whole.reach(left_out._scaled(x, whole.mean, whole.scale)).max(), np.linalg.eigvalsh(whole.bend)[0]
+    first, proven = left_out._own_models(whole, x, y, farthest, softest)
+    assert (~proven).sum() < 100
+    second, again = left_out._own_models(whole, x, y, farthest, softest, left_out.Bounds.of(None, whole))
+    assert (~again).sum() < (~proven).sum()
+    for k in [*np.flatnonzero(again & ~proven)[:15], *np.flatnonzero(proven)[:5]]:
+        rest = np.arange(4000) != k
+        assert held_out.fit(x[rest], y[rest]).predict(x[k : k + 1])[0] == (second if again[k] else first)[k]
