@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -471,3 +472,11 @@ def test_few_rows_of_separated_classes_are_left_open(monkeypatch):
     for k in [*np.flatnonzero(again & ~proven)[:15], *np.flatnonzero(proven)[:5]]:
         rest = np.arange(4000) != k
         assert held_out.fit(x[rest], y[rest]).predict(x[k : k + 1])[0] == (second if again[k] else first)[k]
+
+
+def test_solvers_get_few_tasks_and_long_texts_small_parts():
+    assert [runner._partitions(n, 6) for n in (0, 900, 20_000, 1_200_000)] == [1, 1, 4, 60]
+    words = pa.array([["a"] * n for n in (250_000, 100_000, 10, 10, 400_000)] + [None, []])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), words], ["k", "words"])
+    parts = [part.column(0).to_pylist() for part in features._slices([batch], 1)]
+    assert parts == [[0], [1, 2, 3], [4], [5, 6]]
